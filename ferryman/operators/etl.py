@@ -358,10 +358,13 @@ def type_mapping(df: DataFrame, source_types: Mapping[str, str],
     """cast columns by a source-type -> Spark-type table (try_cast unless strict)."""
     out = {}
     for c, st in source_types.items():
-        key = st.lower()
-        base = key.split("(")[0]
-        tgt = type_map.get(key) or (key.replace(base, type_map.get(base, base), 1) if "(" in key
-                                    else type_map.get(base, key))
+        key = st.lower().replace(" ", "")
+        base, _, params = key.partition("(")
+        mapped = type_map.get(key) or type_map.get(base, base)
+        if params and mapped.startswith("decimal"):
+            tgt = "decimal(" + params  # keep declared precision/scale
+        else:
+            tgt = mapped                # lengths of char/varchar are dropped
         out[c] = F.col(c).cast(tgt) if strict else F.col(c).try_cast(tgt)
     return df.withColumns(out)
 

@@ -30,8 +30,8 @@ def _band() -> F.Column:
     return F.when(q < 10, "small").when(q < 30, "medium").otherwise("large")
 
 
-def staged_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = {}
+def pipeline_steps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    steps: dict[str, DataFrame] = {}
     steps["src"] = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     steps["filter"] = etl.filter_stage(
@@ -57,11 +57,15 @@ def staged_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("qty").cast("decimal(18,2)").alias("sum_qty"),
         F.sum("net").cast("decimal(18,4)").alias("revenue"),
     )
-    return steps["aggregate"]
+    return steps
+
 
+def staged_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline_steps(spark, sf_dir)["aggregate"]
 
-FLAGSHIP_SQL = f"""
-WITH src AS (SELECT l_orderkey, l_quantity, l_extendedprice, l_discount, l_shipdate FROM lineitem),
+
+FLAGSHIP_CTES = f"""
+src AS (SELECT l_orderkey, l_quantity, l_extendedprice, l_discount, l_shipdate FROM lineitem),
 filtered AS (SELECT * FROM src WHERE l_shipdate < TIMESTAMP '{SHIP_CUTOFF}'),
 expr AS (
   SELECT l_orderkey,
@@ -69,16 +73,22 @@ expr AS (
          CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS qty_band,
          CAST(l_quantity AS DECIMAL(12,2)) AS qty
   FROM filtered),
+preagg AS (SELECT DISTINCT l_orderkey, qty_band FROM expr),
+j_orders AS (SELECT p.*, o.o_custkey FROM preagg p JOIN orders o ON o.o_orderkey = p.l_orderkey),
+j_cust AS (SELECT j.*, c.c_nationkey FROM j_orders j JOIN customer c ON c.c_custkey = j.o_custkey),
 joined AS (
   SELECT e.*, coalesce(n.n_name, 'UNKNOWN') AS n_name
   FROM expr e JOIN orders o ON o.o_orderkey = e.l_orderkey
               JOIN customer c ON c.c_custkey = o.o_custkey
-              LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey)
-SELECT n_name, qty_band,
+              LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey),
+agg AS (
+  SELECT n_name, qty_band,
        CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_orders,
        CAST(count(*) AS BIGINT) AS n_lines,
        CAST(sum(qty) AS DECIMAL(18,2)) AS sum_qty,
        CAST(sum(net_price) AS DECIMAL(18,4)) AS revenue
-FROM joined GROUP BY n_name, qty_band"""
+  FROM joined GROUP BY n_name, qty_band)"""
+
+FLAGSHIP_SQL = "WITH " + FLAGSHIP_CTES + "\nSELECT * FROM agg"
 
 query("staged_pipeline", FLAGSHIP_SQL)(staged_pipeline)
