@@ -1,6 +1,8 @@
 """Column-level text functions (all JVM-side, codegen-friendly).
 
-Each returns a ``Column``; none uses a Python UDF.
+Each returns a ``Column``; none uses a Python UDF. The character classes
+follow Python's ``str.split()`` / ``str.strip()`` / ``str.splitlines()`` so
+results equal what the scripts' original Python tooling computed.
 """
 
 from __future__ import annotations
@@ -9,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NL = "\n"
+# Python str.isspace() characters, as a regex class usable by Java and RE2 alike
+PY_WS = r"[\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Python str.splitlines() boundaries
+PY_LINEBREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def _c(c) -> Column:
@@ -22,33 +28,31 @@ def line_count_newlines(c) -> Column:
 
 
 def splitlines_count(c) -> Column:
-    """Python ``len(text.splitlines())`` for ``\\n``-only text.
-
-    0 for the empty text and no extra line after a trailing newline.
-    """
+    """``len(text.splitlines())``: 0 for '', no extra line after a trailing break."""
     c = _c(c)
-    n_nl = F.length(c) - F.length(F.replace(c, F.lit(NL), F.lit("")))
+    n_breaks = F.regexp_count(c, F.lit(PY_LINEBREAK))
+    ends_with_break = c.rlike("(" + PY_LINEBREAK + r")\z")
     return (F.when(F.length(c) == 0, F.lit(0))
-            .otherwise(n_nl + F.when(c.endswith(NL), 0).otherwise(1))).cast("bigint")
+            .otherwise(n_breaks + F.when(ends_with_break, 0).otherwise(1))).cast("bigint")
 
 
 def token_count(c) -> Column:
     """Whitespace token count (``len(text.split())``); empty/blank -> 0."""
     c = _c(c)
-    return F.size(F.filter(F.split(c, r"\s+"), lambda x: x != "")).cast("bigint")
+    return F.size(F.filter(F.split(c, PY_WS + "+"), lambda x: x != "")).cast("bigint")
 
 
 def trim_ws(c) -> Column:
-    """Python ``str.strip()``: removes all leading/trailing whitespace, not only blanks."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: all leading/trailing whitespace, not only blanks."""
+    return F.regexp_replace(_c(c), rf"^{PY_WS}+|{PY_WS}+\z", "")
 
 
 def lstrip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), r"^\s+", "")
+    return F.regexp_replace(_c(c), rf"^{PY_WS}+", "")
 
 
 def rstrip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), r"\s+$", "")
+    return F.regexp_replace(_c(c), rf"{PY_WS}+\z", "")
 
 
 def split_lines(c) -> Column:
@@ -57,12 +61,27 @@ def split_lines(c) -> Column:
 
 
 def splitlines_array(c) -> Column:
-    """Python ``text.splitlines()`` for ``\\n`` text: no trailing empty piece, [] for ''."""
+    """Python ``text.splitlines()``: no trailing empty piece, [] for ''."""
     c = _c(c)
-    body = F.regexp_replace(c, r"\n\z", "")  # \z: absolute end (Java's $ also matches before a final \n)
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(body, NL, -1))
+    body = F.regexp_replace(c, "(" + PY_LINEBREAK + r")\z", "")
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")) \
+        .otherwise(F.split(body, PY_LINEBREAK, -1))
 
 
 def count_char(c, ch: str) -> Column:
     c = _c(c)
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+
+
+# DuckDB twins used by oracle SQL (RE2 accepts the same classes)
+def duck_tokens(x: str) -> str:
+    return f"CAST(len(list_filter(regexp_split_to_array({x}, '{PY_WS}+'), lambda w: w <> '')) AS BIGINT)"
+
+
+def duck_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
+
+
+def duck_splitlines_count(x: str) -> str:
+    return (f"CAST(CASE WHEN length({x}) = 0 THEN 0 ELSE len(regexp_extract_all({x}, '{PY_LINEBREAK}')) + "
+            f"CASE WHEN regexp_matches({x}, '({PY_LINEBREAK})$') THEN 0 ELSE 1 END END AS BIGINT)")

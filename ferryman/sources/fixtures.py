@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryman.functions.text import token_count
+from ferryman.functions.text import duck_tokens, token_count
 from ferryman.sources.tables import table
 
 # --- fixed values (UI lists of the application that defines the data model)
@@ -47,6 +47,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(TARGETS, k % 8).alias("target"),
         _pick(DDL_TYPES, k % 5).alias("ddl_type"),
         F.concat(F.lit("script_"), _s(k), _pick(FIXTURE_EXTS, k % 7)).alias("filename"),
+        _pick(CONV_MODELS, k % 5).alias("model"),
         F.col("text"),
     )
 
@@ -57,6 +58,7 @@ SELECT doc_id AS script_id,
        {_duck_list(TARGETS)}[doc_id % 8 + 1] AS target,
        {_duck_list(DDL_TYPES)}[doc_id % 5 + 1] AS ddl_type,
        concat('script_', CAST(doc_id AS VARCHAR), {_duck_list(FIXTURE_EXTS)}[doc_id % 7 + 1]) AS filename,
+       {_duck_list(CONV_MODELS)}[doc_id % 5 + 1] AS model,
        text
 FROM documents"""
 
@@ -163,11 +165,6 @@ def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-DUCK_TOKENS = "CAST(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) AS BIGINT)"
-
-
-def duck_tokens(x: str) -> str:
-    return DUCK_TOKENS.format(x=x)
 
 
 _DUCK_CODE = """CASE (a.conv_id + a.turn) % 6
