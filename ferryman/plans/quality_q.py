@@ -251,15 +251,15 @@ SELECT job_id, id, reason = '{q.R_SQL_OK}' AS validated, reason
 FROM (SELECT job_id, id, {d_sql_reason('cleaned')} AS reason FROM vc)""",
                               clean_ctes("conv_results", "job_id, id", "code", "vc")))
 def sql_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return cr(spark, sf).select("job_id", "id", q.sql_verdict("code").alias("v")).select("job_id", "id", "v.*")
+    c = q.with_cleaned(cr(spark, sf).select("job_id", "id", "code"), "code")
+    return q.with_sql_verdict(c).select("job_id", "id", "validated", "reason")
 
 
 # D13 (rows-only: the Python parser has no SQL twin) -----------------------
 @query("python_verdict")
 def python_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    c = cr(spark, sf).filter(F.lower("target").isin(q.PYTHON_TARGETS))
-    per_chunk = c.select("job_id", "id", q.python_verdict("code").alias("v")).select("job_id", "id", "v.*")
-    return per_chunk
+    c = cr(spark, sf).filter(F.lower("target").isin(q.PYTHON_TARGETS)).select("job_id", "id", "code")
+    return q.with_python_verdict(q.with_cleaned(c, "code")).select("job_id", "id", "validated", "reason")
 
 
 def _verdict_sql(src_filter: str) -> list[tuple[str, str]]:
@@ -277,9 +277,8 @@ def _verdicts(spark, sf, ok_only=False):
     c = _non_python(cr(spark, sf))
     if ok_only:
         c = c.filter("ok")
-    return c.select("job_id", "id", "target", "ok",
-                    q.sql_or_accept_verdict(F.col("code"), F.col("target")).alias("v")) \
-        .select("job_id", "id", "target", "ok", "v.*")
+    v = q.with_target_verdict(c.select("job_id", "id", "target", "ok", "code"), "code", "target", python=False)
+    return v.select("job_id", "id", "target", "ok", "validated", "reason")
 
 
 # D14 --------------------------------------------------------------------
