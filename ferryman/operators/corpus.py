@@ -51,19 +51,34 @@ DEFAULT_EXT = ".sql"
 RATE_TYPE = "decimal(10,4)"
 
 
+def _norm_path(c: Column) -> Column:
+    # the file index spells local paths file:///x, the reader file:/x
+    return F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+
+
 def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """A1: one row per file; bytes -> UTF-8 with undecodable bytes dropped.
 
     ``binaryFile`` reads each file whole on an executor; partition folders in
     the path become columns. Invalid sequences become U+FFFD under
     ``make_valid_utf8`` and are then removed.
+
+    Spark's file scans skip zero-length files, so those are found as the
+    listed files (the file index the driver already holds) that the scan did
+    not return -- an anti join on paths only, which reads no file content --
+    and added back with empty text.
     """
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
-    return df.withColumn("text", text).drop("content", "modificationTime")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
+    files = df.withColumn("text", text).drop("content", "modificationTime")
+    listed = spark.createDataFrame([(p,) for p in df.inputFiles()], "listed string") \
+        .select(_norm_path(F.col("listed")).alias("path"))
+    empty = listed.join(df.select(_norm_path(F.col("path")).alias("path")), "path", "left_anti") \
+        .select("path", F.lit(0).cast("bigint").alias("length"), F.lit("").alias("text"))
+    return files.unionByName(empty, allowMissingColumns=True)
 
 
 def eligible(df: DataFrame, source: str = "source", target: str = "target",

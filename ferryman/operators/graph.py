@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryman.session import ensure_checkpoint_dir
+from ferryman.session import ensure_checkpoint_dir, materialize
 
 # fixed value: the definition test is case-sensitive, the name pattern is not
 MACRO_NAME_RE = r"(?i)%MACRO\s+(\w+)"
@@ -86,19 +86,22 @@ def cycle_report(levels: DataFrame, group: str, node: str = "node") -> DataFrame
 def lineage_closure(edges: DataFrame, group: str, max_rounds: int = 64) -> DataFrame:
     """All (upstream, node) pairs per group by semi-naive iteration.
 
-    Output size is the closure itself; meant for mapping graphs of bounded
-    size (a handful of stages), not for unbounded groups.
+    Each round joins only the new pairs to the edges and keeps what is not yet
+    known; rounds are cut by writing to the shared checkpoint folder. Output
+    size is the closure itself; meant for mapping graphs of bounded size (a
+    handful of stages), not for unbounded groups.
     """
-    base = edges.select(group, F.col("src").alias("up"), F.col("dst").alias("node")).distinct().checkpoint()
+    base = materialize(edges.select(group, F.col("src").alias("up"), F.col("dst").alias("node"))
+                       .distinct(), "closure_base")
     reach, delta = base, base
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         step = delta.alias("d").join(base.alias("b"), (F.col(f"d.{group}") == F.col(f"b.{group}"))
                                      & (F.col("d.node") == F.col("b.up"))) \
             .select(F.col(f"d.{group}").alias(group), F.col("d.up").alias("up"), F.col("b.node").alias("node"))
-        new = step.join(reach, [group, "up", "node"], "left_anti").distinct().checkpoint()
+        new = materialize(step.join(reach, [group, "up", "node"], "left_anti").distinct(), f"closure_new{i}")
         if new.limit(1).count() == 0:
             break
-        reach = reach.unionByName(new).checkpoint()
+        reach = materialize(reach.unionByName(new), f"closure_reach{i}")
         delta = new
     return reach
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
@@ -60,6 +60,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/ferryman-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint root and read it back.
+
+    Cuts lineage like ``checkpoint()`` but carries no optimizer constraints
+    from the old plan (``checkpoint()`` keeps them, and Spark 4.1 fails to
+    remap them through a later ``union`` of two checkpointed frames).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for the few local-only helpers (tests)."""
     return p[len("file:"):] if p.startswith("file:") else p

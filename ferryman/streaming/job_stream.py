@@ -112,32 +112,47 @@ def incremental_stream(spark: SparkSession, src: str, schema: str, target: str,
                        checkpoint: str) -> None:
     """G11 streaming form: each micro-batch is upserted into ``target`` by key.
 
-    The target is a folder of versions: batch ``b`` writes ``target/v=b`` as
-    (previous version LEFT ANTI batch) UNION ALL batch, never overwriting the
-    version being read; readers take the highest version.
+    The target is a folder of versions: each batch writes the next version
+    ``target/v=N+1`` as (version N LEFT ANTI batch) UNION ALL batch, never
+    overwriting the version being read; readers take the highest committed
+    version. Numbering follows the folder, not the batch id, so a restart
+    with a new checkpoint continues the chain; a replayed batch re-applies an
+    idempotent upsert.
     """
     stream = spark.readStream.schema(schema).parquet(src)
 
     def upsert(df: DataFrame, batch_id: int) -> None:
-        prev = latest_version(spark, target)
+        n, prev = _versions(spark, target)
         new = df.dropDuplicates(list(keys))
         merged = new if prev is None else prev.join(new.select(*keys), list(keys), "left_anti") \
             .unionByName(new.select(*prev.columns))
-        merged.write.mode("overwrite").parquet(f"{target}/v={batch_id:08d}")
+        merged.write.mode("overwrite").parquet(f"{target}/v={n + 1:08d}")
 
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame | None:
+def _versions(spark: SparkSession, target: str) -> tuple[int, DataFrame | None]:
+    """(highest committed version number, its rows); (-1, None) when empty.
+
+    Only folders holding ``_SUCCESS`` count, so a write cut off by a lost
+    executor or driver is ignored and simply redone.
+    """
     jvm = spark.sparkContext._jvm
     jsc = spark.sparkContext._jsc
     p = jvm.org.apache.hadoop.fs.Path(target)
     fs = p.getFileSystem(jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return None
-    vs = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
-    if not vs:
-        return None
-    return spark.read.parquet(f"{target}/{vs[-1]}")
+        return -1, None
+    done = sorted(
+        st.getPath().getName() for st in fs.listStatus(p)
+        if st.getPath().getName().startswith("v=")
+        and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+    if not done:
+        return -1, None
+    return int(done[-1][2:]), spark.read.parquet(f"{target}/{done[-1]}")
+
+
+def latest_version(spark: SparkSession, target: str) -> DataFrame | None:
+    return _versions(spark, target)[1]
