@@ -21,6 +21,18 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a Column lambda).
+
+    ``element_at(transform(array(v), body), 1)``: the lambda variable is
+    bound once per row, so a check that uses an intermediate text several
+    times does not re-run the regexes behind it, even after Catalyst inlines
+    the expression into a pushed-down filter, and an array used inside
+    another lambda is built once per row, not once per element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def line_count_newlines(c) -> Column:
     """``text.count("\\n") + 1`` -- 1 also for the empty text (A4)."""
     c = _c(c)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferryman.functions.text import PY_WS, rstrip_ws, splitlines_array, splitlines_count, trim_ws
+from ferryman.functions.text import PY_WS, let, rstrip_ws, splitlines_array, splitlines_count, trim_ws
 
 # fixed values: patterns of the script grammar
 SAS_BLOCK_COMMENT = r"(?s)/\*.*?\*/"
@@ -57,17 +57,21 @@ def macro_extract(df: DataFrame, text: str = "text", key: str = "script_id") ->
     the same pattern), accumulated in a fold: no second regex pass.
     """
     t = F.col(text)
-    macros = F.regexp_extract_all(t, F.lit(MACRO_RE), 1)
-    pieces = F.split(t, MACRO_RE, -1)
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size(macros) - 1),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, i: F.struct(
-            (acc["pos"] + F.length(F.element_at(pieces, i + 1)) + F.length(F.element_at(macros, i + 1))).alias("pos"),
-            F.concat(acc["starts"], F.array(acc["pos"] + F.length(F.element_at(pieces, i + 1)))).alias("starts")),
-    )["starts"]
-    out = df.select(key, F.when(F.size(macros) > 0, F.arrays_zip(macros.alias("code"), starts.alias("start")))
-                    .alias("m"))
+
+    def with_offsets(mp):
+        m, p = mp["m"], mp["p"]
+        starts = F.aggregate(
+            F.sequence(F.lit(0), F.size(m) - 1),
+            F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
+            lambda acc, i: F.struct(
+                (acc["pos"] + F.length(F.element_at(p, i + 1)) + F.length(F.element_at(m, i + 1))).alias("pos"),
+                F.concat(acc["starts"], F.array(acc["pos"] + F.length(F.element_at(p, i + 1)))).alias("starts")),
+        )["starts"]
+        return F.when(F.size(m) > 0, F.arrays_zip(m.alias("code"), starts.alias("start")))
+
+    # both arrays are built once per row and bound, not rebuilt per fold step
+    out = df.select(key, let(F.struct(F.regexp_extract_all(t, F.lit(MACRO_RE), 1).alias("m"),
+                                      F.split(t, MACRO_RE, -1).alias("p")), with_offsets).alias("m"))
     return out.select(key, F.posexplode("m").alias("macro_no", "m")).select(
         key, (F.col("macro_no") + 1).alias("macro_no"), F.col("m.start").alias("start_pos"),
         (F.col("m.start") + F.length("m.code")).alias("end_pos"), F.col("m.code").alias("code"))
@@ -76,11 +80,13 @@ def macro_extract(df: DataFrame, text: str = "text", key: str = "script_id") ->
 def macro_interleave(df: DataFrame, text: str = "text", key: str = "script_id") -> DataFrame:
     """Non-macro pieces (stripped, blanks dropped) alternating with macros, in order."""
     t = F.col(text)
-    macros = F.regexp_extract_all(t, F.lit(MACRO_RE), 1)
-    pieces = F.split(t, MACRO_RE, -1)
-    seq = F.flatten(F.transform(pieces, lambda p, i: F.array(
-        F.struct(F.lit("code").alias("kind"), trim_ws(p).alias("text")),
-        F.struct(F.lit("macro").alias("kind"), F.try_element_at(macros, i + 1).alias("text")))))
+
+    def interleave(macros):
+        return F.flatten(F.transform(F.split(t, MACRO_RE, -1), lambda p, i: F.array(
+            F.struct(F.lit("code").alias("kind"), trim_ws(p).alias("text")),
+            F.struct(F.lit("macro").alias("kind"), F.try_element_at(macros, i + 1).alias("text")))))
+
+    seq = let(F.regexp_extract_all(t, F.lit(MACRO_RE), 1), interleave)
     kept = F.filter(seq, lambda x: x["text"].isNotNull() & (x["text"] != ""))
     return df.select(key, F.posexplode(kept).alias("piece_no", "p")).select(
         key, (F.col("piece_no") + 1).alias("piece_no"), F.col("p.kind").alias("kind"), F.col("p.text").alias("code"))

@@ -17,7 +17,10 @@ from ferryman.sources import fixtures as fx
 def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Materialise the script corpus as one file per script, then scan the folder."""
     path = scratch_path(spark, "corpus")
-    fx.scripts(spark, sf).select("script_id", "text").write.partitionBy("script_id").text(path)
+    # one folder per script: spread the file creation over all task slots
+    n = 4 * spark.sparkContext.defaultParallelism
+    fx.scripts(spark, sf).select("script_id", "text").repartition(n, "script_id") \
+        .write.partitionBy("script_id").text(path)
     return corpus.corpus_scan(spark, path).select("script_id", "path", "length", "text")
 
 

@@ -31,6 +31,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Folder listing of many partition directories runs as a Spark job with
+    # one task per directory up to this cap (default 10 000). A few tasks per
+    # core lists as fast with far less task overhead.
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism",
+                   str(4 * spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     return spark
 
