@@ -145,13 +145,6 @@ def sequence_key(df: DataFrame, order_cols: Sequence[ColLike], start: int = 1,
         .drop("_pid", "_ln", "_off")
 
 
-def sequence_key_small(df: DataFrame, order_cols: Sequence[ColLike], start: int = 1,
-                       name: str = "sk") -> DataFrame:
-    """F13 for small inputs: one global ``row_number`` window."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*[_col(c) for c in order_cols]))
-                                + F.lit(start - 1)).cast("bigint"))
-
-
 # ----------------------------------------------------------- change capture
 def _row_equal(cols: Sequence[str], l: str, r: str) -> Column:
     eq = F.lit(True)

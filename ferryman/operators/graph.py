@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryman.session import ensure_checkpoint_dir, materialize
+from ferryman.session import materialize, scratch_path
 
 # fixed value: the definition test is case-sensitive, the name pattern is not
 MACRO_NAME_RE = r"(?i)%MACRO\s+(\w+)"
@@ -54,21 +54,45 @@ def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "nod
     """Kahn levels for every group: level 0 = no predecessor, level k = all
     predecessors peeled before round k. Nodes on or behind a cycle keep a
     null level. Returns ``(group, node, level)``.
+
+    Each round works on what is left only: the unpeeled nodes and the edges
+    leaving them. It writes one folder under the shared checkpoint root,
+    ``level=k/state=ready|rem`` (a written table cuts the lineage and is
+    computed once), and the listing tells whether anything was peeled or is
+    left -- no count job. The answer is one glob read of all ``ready`` parts.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    e = edges.select(group, F.col("src").alias(node), F.col("dst").alias("_dst")).filter(F.col(node).isNotNull())
-    state = nodes.select(group, node).withColumn("level", F.lit(None).cast("int")).checkpoint()
-    k = 0
+    spark = nodes.sparkSession
+    base = scratch_path(spark, "peel")
+    rem = nodes.select(group, node).distinct()
+    alive = edges.select(group, F.col("src").alias(node), F.col("dst").alias("_dst")) \
+        .filter(F.col(node).isNotNull())
+    k, left = 0, rem
     while max_rounds is None or k < max_rounds:
-        rem = state.filter(F.col("level").isNull()).select(group, node)
-        blocked = e.join(rem, [group, node], "left_semi").select(group, F.col("_dst").alias(node))
-        ready = rem.join(blocked, [group, node], "left_anti").withColumn("_new", F.lit(k))
-        state = state.join(ready, [group, node], "left") \
-            .select(group, node, F.coalesce("level", "_new").alias("level")).checkpoint()
-        if state.filter(F.col("level") == k).limit(1).count() == 0:
+        alive = materialize(alive.join(rem, [group, node], "left_semi"), f"peel_edges{k}")
+        blocked = alive.select(group, F.col("_dst").alias(node), F.lit(True).alias("_b")).distinct()
+        flagged = rem.join(blocked, [group, node], "left").select(
+            group, node, F.when(F.col("_b"), "rem").otherwise("ready").alias("state"))
+        out = f"{base}/level={k}"
+        flagged.write.mode("overwrite").partitionBy("state").parquet(out)
+        has_ready, has_rem = _exists(spark, f"{out}/state=ready"), _exists(spark, f"{out}/state=rem")
+        left = spark.read.parquet(f"{out}/state=rem") if has_rem else None
+        if not has_ready or not has_rem:
             break
-        k += 1
-    return state
+        rem, k = left, k + 1
+    schema = f"{group} {nodes.schema[group].simpleString()}, {node} {nodes.schema[node].simpleString()}"
+    peeled = (spark.read.option("basePath", base).parquet(f"{base}/level=*/state=ready")
+              .select(group, node, F.col("level").cast("int").alias("level"))
+              if _exists(spark, f"{base}/level=0/state=ready") or k > 0
+              else spark.createDataFrame([], schema).withColumn("level", F.lit(None).cast("int")))
+    if left is None:
+        return peeled
+    return peeled.unionByName(left.select(group, node, F.lit(None).cast("int").alias("level")))
+
+
+def _exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def dependency_order(levels: DataFrame, group: str, node: str = "node") -> DataFrame:

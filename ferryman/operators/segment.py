@@ -147,8 +147,9 @@ def pieces_from_cuts(lines: Column, cuts: Column, joiner: str = "\n") -> Column:
     ends = F.when((F.size(cuts) > 0) & (F.element_at(cuts, -1) == n), cuts) \
         .otherwise(F.concat(cuts, F.array(n)))
     ends = F.when(n == 0, F.array().cast("array<int>")).otherwise(ends)
-    return F.transform(ends, lambda e, j: F.array_join(
-        F.slice(lines, _prev(ends, j) + 1, e - _prev(ends, j)), joiner))
+    # ends is bound once; referenced inside the lambda it would be rebuilt per piece
+    return let(ends, lambda es: F.transform(es, lambda e, j: F.array_join(
+        F.slice(lines, _prev(es, j) + 1, e - _prev(es, j)), joiner)))
 
 
 def _prev(arr: Column, j: Column) -> Column:
@@ -246,10 +247,10 @@ def terminator_blocks(arrs: DataFrame, key: str = "script_id") -> DataFrame:
     n = F.size("lines")
     ends = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("is_term", i + 1)
                                 & (F.element_at("depth", i + 1) == 0)), lambda i: i + 1)
-    ends = F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.when((F.size(ends) > 0) & (F.element_at(ends, -1) == n), ends).otherwise(F.concat(ends, F.array(n))))
-    blocks = F.transform(ends, lambda e, j: F.struct(
-        _prev(ends, j).alias("lo"), e.alias("hi")))
+    ends = let(ends, lambda e: F.when(n == 0, F.array().cast("array<int>")).otherwise(
+        F.when((F.size(e) > 0) & (F.element_at(e, -1) == n), e).otherwise(F.concat(e, F.array(n)))))
+    # bound once: used inside the lambda below, it would be rebuilt per block
+    blocks = let(ends, lambda es: F.transform(es, lambda e, j: F.struct(_prev(es, j).alias("lo"), e.alias("hi"))))
     out = arrs.select(key, "lines", "depth", "is_term", F.posexplode(blocks).alias("block_no", "b"))
     rng = lambda c: F.slice(c, F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo"))
     return out.select(key, (F.col("block_no") + 1).alias("block_no"),
