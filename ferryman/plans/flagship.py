@@ -25,6 +25,9 @@ def _net_price() -> F.Column:
             * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
 
 
+BANDS = ("small", "medium", "large")
+
+
 def _band() -> F.Column:
     q = F.col("l_quantity")
     return F.when(q < 10, "small").when(q < 30, "medium").otherwise("large")
@@ -39,9 +42,21 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     steps["expression"] = etl.expression(steps["filter"], {
         "net_price": _net_price(), "qty_band": _band(),
         "qty": F.col("l_quantity").cast("decimal(12,2)")})
-    # partial aggregate before the big joins: rows per (order, band) instead of per line
-    steps["preagg"] = steps["expression"].groupBy("l_orderkey", "qty_band").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("qty").alias("qty"), F.sum("net_price").alias("net"))
+    # Aggregate before the big joins: rows per (order, band) instead of per line.
+    # Grouped on l_orderkey alone (one conditional aggregate per band, then the
+    # bands unfolded), so the result stays hash-partitioned on l_orderkey and a
+    # sort-merge join with orders at scale reuses it instead of shuffling again.
+    e, band_aggs = steps["expression"], []
+    for b in BANDS:
+        m = F.col("qty_band") == b
+        band_aggs += [F.count_if(m).cast("bigint").alias(f"n_{b}"),
+                      F.sum(F.when(m, F.col("qty"))).alias(f"q_{b}"),
+                      F.sum(F.when(m, F.col("net_price"))).alias(f"v_{b}")]
+    per_order = e.groupBy("l_orderkey").agg(*band_aggs)
+    unfolded = per_order.select("l_orderkey", F.inline(F.array(*[
+        F.struct(F.lit(b).alias("qty_band"), F.col(f"n_{b}").alias("n_lines"),
+                 F.col(f"q_{b}").alias("qty"), F.col(f"v_{b}").alias("net")) for b in BANDS])))
+    steps["preagg"] = unfolded.filter(F.col("n_lines") > 0)
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     steps["join_orders"] = etl.joiner(steps["preagg"], orders, "l_orderkey", "inner")
