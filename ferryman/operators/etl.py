@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryman.plans.sizing import maybe_broadcast
+from ferryman.session import materialize
 
 ColLike = str | Column
 
@@ -131,10 +132,12 @@ def sequence_key(df: DataFrame, order_cols: Sequence[ColLike], start: int = 1,
     cols = [_col(c) for c in order_cols]
     # after the range shuffle and local sort, monotonically_increasing_id is
     # (partition << 33) + position-in-partition: a local row number, no window
-    numbered = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_ln", F.monotonically_increasing_id()
-                            - F.shiftleft(F.col("_pid").cast("bigint"), 33) + 1))
+    # written once (see keyed_row_number): counts and rows must come from the
+    # same range partitioning, and its bounds are sampled per computation
+    numbered = materialize(df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+                           .withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_ln", F.monotonically_increasing_id()
+                                       - F.shiftleft(F.col("_pid").cast("bigint"), 33) + 1), "seq_key")
     counts = numbered.groupBy("_pid").agg(F.max("_ln").alias("_cnt"))
     # one row per partition (bounded by the partition count, safe to broadcast)
     offsets = counts.withColumn(
@@ -145,6 +148,39 @@ def sequence_key(df: DataFrame, order_cols: Sequence[ColLike], start: int = 1,
         .drop("_pid", "_ln", "_off")
 
 
+def keyed_row_number(df: DataFrame, keys: Sequence[str], order_cols: Sequence[ColLike],
+                     name: str = "rn") -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order_cols)`` that
+    never sends one key's rows to one task.
+
+    A plain window hash-partitions on the key, so a key holding a third of
+    the rows is numbered by one task. Here the rows are range-partitioned on
+    (keys, order): a hot key spreads over several ranges. Each partition
+    numbers its rows locally; a small table with one row per (key, partition)
+    -- count and first local position -- gets per-key offsets by a window
+    over at most #partitions rows per key, and is joined back on
+    (key, partition), a composite key that carries no skew.
+    """
+    kc = [F.col(k) for k in keys]
+    oc = [_col(c) for c in order_cols]
+    # Written once to the shared checkpoint folder: the range bounds come from
+    # a sample seeded by the RDD id, so two computations of this frame could
+    # place rows in different partitions; both uses below must see one copy.
+    numbered = materialize(df.repartitionByRange(*kc, *oc).sortWithinPartitions(*kc, *oc)
+                           .withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_ln", F.monotonically_increasing_id()
+                                       - F.shiftleft(F.col("_pid").cast("bigint"), 33)), "keyed_rn")
+    runs = numbered.groupBy(*keys, "_pid").agg(F.min("_ln").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    cond = F.col("r._pid") == F.col("n._pid")
+    for k in keys:
+        cond = cond & F.col(f"n.{k}").eqNullSafe(F.col(f"r.{k}"))
+    out = numbered.alias("n").join(runs.alias("r"), cond)
+    rn = (F.col("n._ln") - F.col("r._first") + F.col("r._off") + 1).cast("int").alias(name)
+    return out.select(*[F.col(f"n.{c}") for c in df.columns], rn)
+
+
 # ----------------------------------------------------------- change capture
 def _row_equal(cols: Sequence[str], l: str, r: str) -> Column:
     eq = F.lit(True)

@@ -3,14 +3,17 @@
 Events are ``(job_id, event_id, ts, step, status)``; the event order within a
 job is ``(ts, event_id)``. Per-job aggregates use ``max_by``/``min_by`` in
 one hash aggregation (partial aggregation map-side, so a hot job costs one
-small partial row per task, not a skewed shuffle).
+small partial row per task, not a skewed shuffle). Per-event positions use
+``keyed_row_number`` (range-partitioned), never a window hashed on the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferryman.operators.etl import keyed_row_number
+
 TOTAL_STEPS = 6          # fixed value: progress denominator of the runner
 PROGRESS_CAP = 99
 TERMINAL = ["finished", "failed", "stopped"]
@@ -27,9 +30,8 @@ def progress(n: Column) -> Column:
 
 def step_progress(ev: DataFrame) -> DataFrame:
     """Progress after each job's n-th step."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    return ev.withColumn("step_no", F.row_number().over(w)) \
-        .withColumn("progress", progress(F.col("step_no"))) \
+    n = keyed_row_number(ev.select("job_id", "event_id", "ts"), ["job_id"], ["ts", "event_id"], "step_no")
+    return n.withColumn("progress", progress(F.col("step_no"))) \
         .select("job_id", "event_id", "step_no", "progress")
 
 
@@ -57,9 +59,8 @@ def job_log(ev: DataFrame, sep: str = ":") -> DataFrame:
     Kept as rows rather than one string per job, so a very large job never
     becomes one value; ``job_log_text`` folds it when a single text is wanted.
     """
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    return ev.select("job_id", F.row_number().over(w).alias("seq"), "ts",
-                     F.concat_ws(sep, "step", "status").alias("entry"))
+    e = ev.select("job_id", "event_id", "ts", F.concat_ws(sep, "step", "status").alias("entry"))
+    return keyed_row_number(e, ["job_id"], ["ts", "event_id"], "seq").select("job_id", "seq", "ts", "entry")
 
 
 def job_log_text(ev: DataFrame, sep: str = ":", joiner: str = " > ") -> DataFrame:
@@ -69,9 +70,15 @@ def job_log_text(ev: DataFrame, sep: str = ":", joiner: str = " > ") -> DataFram
 
 
 def step_transitions(ev: DataFrame, end: str = "END") -> DataFrame:
-    """E5: counts of step -> next step per job trace (last step -> END)."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    t = ev.select(F.col("step").alias("from_step"), F.lead("step", 1, end).over(w).alias("to_step"))
+    """E5: counts of step -> next step per job trace (last step -> END).
+
+    ``lead`` as an equi-join of each event to the one numbered after it on
+    (job, seq): that pair is unique, so a hot job spreads evenly.
+    """
+    n = keyed_row_number(ev.select("job_id", "event_id", "ts", "step"), ["job_id"], ["ts", "event_id"], "seq")
+    nxt = n.select("job_id", (F.col("seq") - 1).alias("seq"), F.col("step").alias("to_step"))
+    t = n.join(nxt, ["job_id", "seq"], "left").select(
+        F.col("step").alias("from_step"), F.coalesce(F.col("to_step"), F.lit(end)).alias("to_step"))
     return t.groupBy("from_step", "to_step").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -89,3 +89,24 @@ def test_type_mapping_keeps_decimal_scale_drops_char_length(spark):
     df = spark.createDataFrame([("12.345", "ab")], "x string, y string")
     out = etl.type_mapping(df, {"x": "DECIMAL(10,3)", "y": "CHAR(2)"})
     assert dict(out.dtypes) == {"x": "decimal(10,3)", "y": "string"}
+
+
+def test_keyed_row_number_matches_window_and_splits_hot_key(spark):
+    # one key holds most rows; a null key is numbered like any other
+    rows = [(1, i, i * 7 % 1000) for i in range(3000)] + [(k, i, i) for k in range(2, 60) for i in range(5)] \
+        + [(None, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "k int, id int, v int").repartition(6)
+    got = etl.keyed_row_number(df, ["k"], ["v", "id"], "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")))
+    def key(r):
+        return (r.k is None, r.k or 0, r.id, r.v, r.rn)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    # AQE would coalesce this tiny input into one partition; at scale it only
+    # merges up to the advisory size, so look at the ranges themselves
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = df.repartitionByRange("k", "v", "id").withColumn("p", F.spark_partition_id()) \
+            .filter("k = 1").select("p").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spread > 1
