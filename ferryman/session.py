@@ -9,19 +9,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "ferryman") -> SparkSession:
     """Build (or reuse) a session with AQE on, UI off and UTC time.
 
-    On a cluster the master and memory come from spark-submit; ``master`` is
-    only passed by tests and the bench.
+    On a cluster the master, memory and shuffle partition count come from
+    spark-submit and are left alone (``getOrCreate`` would otherwise apply
+    builder options to the running session). ``master`` and
+    ``shuffle_partitions`` are passed by tests and the bench only. With AQE,
+    a generous initial partition count is coalesced to the advisory size at
+    run time, and skewed join partitions are split.
     """
     b = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
+        b = b.master(master).config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     spark = (
-        b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -30,7 +33,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    if master:
+        spark.sparkContext.setLogLevel("ERROR")
     # Folder listing of many partition directories runs as a Spark job with
     # one task per directory up to this cap (default 10 000). A few tasks per
     # core lists as fast with far less task overhead.
