@@ -398,9 +398,13 @@ def type_mapping(df: DataFrame, source_types: Mapping[str, str],
     return df.withColumns(out)
 
 
-def hash_partition(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """hash-partition by key (the Hash partitioner stage)."""
-    return df.repartition(n, *keys)
+def hash_partition(df: DataFrame, n: int | None, keys: Sequence[str]) -> DataFrame:
+    """hash-partition by key (the Hash partitioner stage).
+
+    ``n=None`` takes the session's shuffle partition count (sized for the
+    cluster), which AQE may coalesce -- a key still lands in one partition.
+    """
+    return df.repartition(*keys) if n is None else df.repartition(n, *keys)
 
 
 def join_hint(df: DataFrame, hint: str) -> DataFrame:

@@ -498,7 +498,7 @@ def type_mapping(spark: SparkSession, sf: str) -> DataFrame:
 @query("hash_partition")
 def hash_partition(spark: SparkSession, sf: str) -> DataFrame:
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return etl.hash_partition(li, 8, ["l_orderkey"]).withColumn("pid", F.spark_partition_id())
+    return etl.hash_partition(li, None, ["l_orderkey"]).withColumn("pid", F.spark_partition_id())
 
 
 # F38 --------------------------------------------------------------------
