@@ -71,6 +71,8 @@ def step_transitions(spark: SparkSession, sf: str) -> DataFrame:
 @query("job_state_stream")
 def job_state_stream(spark: SparkSession, sf: str) -> DataFrame:
     src = scratch_path(spark, "step_events_src")
-    job_stream.write_event_files(ev(spark, sf), src)
+    n_files = job_stream.write_event_files(ev(spark, sf), src)
+    # about four micro-batches whatever the cluster size
     return job_stream.job_state_stream(spark, src, scratch_path(spark, "job_state_out"),
-                                       scratch_path(spark, "job_state_ckpt"))
+                                       scratch_path(spark, "job_state_ckpt"),
+                                       max_files_per_trigger=max(1, n_files // 4))

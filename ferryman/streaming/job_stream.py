@@ -25,9 +25,16 @@ OUT_SCHEMA = ("job_id long, n_steps long, latest_step string, latest_status stri
               "progress int, outcome string")
 
 
-def write_event_files(ev: DataFrame, path: str, n_files: int = 8) -> None:
-    """Lay events down as ``n_files`` parquet files, each a ts range."""
-    ev.repartitionByRange(n_files, "ts").sortWithinPartitions("ts", "event_id").write.parquet(path)
+def write_event_files(ev: DataFrame, path: str, n_files: int | None = None) -> int:
+    """Lay events down as parquet files, each a ts range; returns the count.
+
+    Default: one file per shuffle partition of the session, so the write is
+    as parallel as the cluster and each file a bounded slice.
+    """
+    spark = ev.sparkSession
+    n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ev.repartitionByRange(n, "ts").sortWithinPartitions("ts", "event_id").write.parquet(path)
+    return n
 
 
 def _merge_state(key, pdfs, state):
