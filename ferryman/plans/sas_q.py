@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ferryman.operators import etl, sas
 from ferryman.plans.registry import query
 from ferryman.session import scratch_path
-from ferryman.sources.tables import table
+from ferryman.sources.tables import literal_table, table
 
 
 # G1 ---------------------------------------------------------------------
@@ -114,7 +114,7 @@ SELECT o.o_orderkey, coalesce(f.label, 'OTHER') AS prio_label
 FROM orders o LEFT JOIN (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in _PRIO_FMT) + """) f(start, label)
   ON f.start = o.o_orderpriority""")
 def proc_format_table(spark: SparkSession, sf: str) -> DataFrame:
-    fmt = spark.createDataFrame(_PRIO_FMT, "start string, label string")
+    fmt = literal_table(spark, _PRIO_FMT, ["start", "label"])
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return sas.proc_format_table(o, "o_orderpriority", fmt, out="prio_label").drop("o_orderpriority")
 

@@ -24,3 +24,20 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temp views for the SQL-first operators."""
     for n in names:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def literal_table(spark: SparkSession, rows, columns) -> DataFrame:
+    """A small constant table as an inline ``VALUES`` relation.
+
+    Unlike ``createDataFrame`` (an RDD of unknown size to the optimizer), this
+    is a local relation with a known size, so a size-checked broadcast of it
+    can pass. Values are bound as named SQL parameters, never spliced in.
+    """
+    args, tuples = {}, []
+    for i, row in enumerate(rows):
+        names = []
+        for j, v in enumerate(row):
+            args[f"v{i}_{j}"] = v
+            names.append(f":v{i}_{j}")
+        tuples.append("(" + ", ".join(names) + ")")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({', '.join(columns)})", args=args)
