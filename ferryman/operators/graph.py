@@ -110,24 +110,36 @@ def cycle_report(levels: DataFrame, group: str, node: str = "node") -> DataFrame
 def lineage_closure(edges: DataFrame, group: str, max_rounds: int = 64) -> DataFrame:
     """All (upstream, node) pairs per group by semi-naive iteration.
 
-    Each round joins only the new pairs to the edges and keeps what is not yet
-    known; rounds are cut by writing to the shared checkpoint folder. Output
-    size is the closure itself; meant for mapping graphs of bounded size (a
-    handful of stages), not for unbounded groups.
+    Each round joins only the pairs found last round to the edges and keeps
+    the ones not known yet. Rounds append to one folder under the shared
+    checkpoint root as ``round=i`` partitions: the known pairs are one read of
+    that folder, a round that finds nothing writes no partition (the listing
+    says so, no count job), and lineage is cut every round. Output size is
+    the closure itself; meant for mapping graphs of bounded size (a handful of
+    stages), not for unbounded groups.
     """
-    base = materialize(edges.select(group, F.col("src").alias("up"), F.col("dst").alias("node"))
-                       .distinct(), "closure_base")
-    reach, delta = base, base
-    for i in range(max_rounds):
-        step = delta.alias("d").join(base.alias("b"), (F.col(f"d.{group}") == F.col(f"b.{group}"))
+    spark = edges.sparkSession
+    base = scratch_path(spark, "closure")
+    keys = [group, "up", "node"]
+
+    def append(df: DataFrame, i: int) -> bool:
+        df.withColumn("round", F.lit(i)).write.mode("append").partitionBy("round").parquet(base)
+        return _exists(spark, f"{base}/round={i}")
+
+    e = edges.select(group, F.col("src").alias("up"), F.col("dst").alias("node")).distinct()
+    if not append(e, 0):
+        return e
+    hop = spark.read.parquet(f"{base}/round=0")
+    delta = hop
+    for i in range(1, max_rounds):
+        known = spark.read.parquet(base).select(*keys)
+        step = delta.alias("d").join(hop.alias("b"), (F.col(f"d.{group}") == F.col(f"b.{group}"))
                                      & (F.col("d.node") == F.col("b.up"))) \
             .select(F.col(f"d.{group}").alias(group), F.col("d.up").alias("up"), F.col("b.node").alias("node"))
-        new = materialize(step.join(reach, [group, "up", "node"], "left_anti").distinct(), f"closure_new{i}")
-        if new.limit(1).count() == 0:
+        if not append(step.join(known, keys, "left_anti").distinct(), i):
             break
-        reach = materialize(reach.unionByName(new), f"closure_reach{i}")
-        delta = new
-    return reach
+        delta = spark.read.parquet(f"{base}/round={i}")
+    return spark.read.parquet(base).select(*keys)
 
 
 def with_made_cycles(edges: DataFrame, nodes: DataFrame, group: str, node: str, every: int = 5) -> DataFrame:
