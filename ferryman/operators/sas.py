@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryman.plans.sizing import maybe_broadcast
 
@@ -123,13 +124,25 @@ def incremental_model(target: DataFrame, source: DataFrame, ts: str, keys: Seque
     one scalar aggregate; the literal filter then reaches the parquet scan),
     merged by unique key: (target LEFT ANTI new) UNION ALL new.
     """
-    if watermark is None:
-        watermark = target.agg(F.max(ts)).first()[0]
-    new = source if watermark is None else source.filter(F.col(ts) > F.lit(watermark))
+    wm = F.lit(watermark) if watermark is not None else _max_literal(target, ts)
+    new = source if wm is None else source.filter(F.col(ts) > wm)
     kept = target.join(new.select(*keys), on=list(keys), how="left_anti")
     return kept.unionByName(new.select(*target.columns))
 
 
+def _max_literal(df: DataFrame, col: str) -> Column | None:
+    """``max(col)`` as a literal of the column's own type (one scalar to the
+    driver), rebuilt exactly: epoch microseconds for zoned timestamps, the
+    value's text for everything else -- never a Python datetime, which would
+    pass through the driver's local time zone."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, T.TimestampType):
+        us = df.agg(F.unix_micros(F.max(col))).first()[0]
+        return None if us is None else F.timestamp_micros(F.lit(us))
+    txt = df.agg(F.max(col).cast("string")).first()[0]
+    return None if txt is None else F.lit(txt).cast(dt)
+
+
 def test_not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Failing-row count per column (one aggregation pass)."""
     wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])

@@ -77,7 +77,10 @@ def job_state_stream(spark: SparkSession, src: str, out: str, checkpoint: str,
     """
     ev = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
           .parquet(src)
-          .withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))))
+          # microseconds from the epoch on the zone-free value: no session
+          # time zone (and no DST fold) enters the event order
+          .withColumn("ts_us", F.timestamp_diff(
+              "MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))))
     states = ev.select("job_id", "event_id", "ts_us", "step", "status").groupBy("job_id") \
         .applyInPandasWithState(_merge_state, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
