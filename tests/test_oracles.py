@@ -37,3 +37,28 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert "revenue" in df.columns
+
+
+TZ_KEYS = ["staged_pipeline", "step_progress", "job_latest", "job_outcome", "job_log", "step_transitions",
+           "sort_stage", "runtime_params", "load_timestamp", "sas_scalars", "incremental_model", "cobol_date",
+           "filter_stage"]
+
+
+@pytest.mark.parametrize("key", TZ_KEYS)
+def test_results_do_not_depend_on_session_time_zone(spark, con, key):
+    """The driver's own session need not be UTC: results must not move."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        r = compare(spark, key, registry.queries()[key], registry.oracle_sql().get(key), SF_SMOKE, con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert r["status"] == "ok", r
+
+
+def test_stream_state_does_not_depend_on_session_time_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        la = sorted(registry.queries()["job_state_stream"](spark, SF_SMOKE).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert la == sorted(registry.queries()["job_state_stream"](spark, SF_SMOKE).collect())
