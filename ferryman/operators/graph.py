@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ferryman.session import materialize, scratch_path
 
 # fixed value: the definition test is case-sensitive, the name pattern is not
-MACRO_NAME_RE = r"(?i)%MACRO\s+(\w+)"
+# (?U): \w and \s as Python's (Unicode letters), not Java's ASCII default
+MACRO_NAME_RE = r"(?iU)%MACRO\s+(\w+)"
 
 
 def macro_defs(chunks: DataFrame, group: str = "script_id", seq: str = "seq", code: str = "code") -> DataFrame:
@@ -41,7 +42,7 @@ def macro_edges(chunks: DataFrame, defs: DataFrame, group: str = "script_id", se
     grows with token length, never with chunks x definitions.
     """
     toks = chunks.select(group, F.col(seq).alias("dst"),
-                         F.explode(F.array_distinct(F.regexp_extract_all(F.col(code), F.lit(r"%(\w+)"), 1)))
+                         F.explode(F.array_distinct(F.regexp_extract_all(F.col(code), F.lit(r"(?U)%(\w+)"), 1)))
                          .alias("tok"))
     prefixes = toks.select(group, "dst", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("tok")), lambda k: F.substring("tok", 1, k))).alias("name"))

@@ -77,3 +77,14 @@ def test_lineage_closure(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "d")], "g bigint, src string, dst string")
     got = {(r.up, r.node) for r in graph.lineage_closure(e, "g").collect()}
     assert got == {("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("b", "d"), ("a", "d")}
+
+
+def test_macro_names_take_unicode_word_characters(spark):
+    # Python's \w includes non-ASCII letters: %fooé is its own macro, not %foo
+    ch = spark.createDataFrame([
+        (1, 1, "%MACRO fooé;\n%MEND;"),
+        (1, 2, "call %fooé;"),
+        (1, 3, "call %foo;")], "script_id bigint, seq int, code string")
+    defs = graph.macro_defs(ch)
+    assert [r.name for r in defs.collect()] == ["fooé"]
+    assert sorted((r.src, r.dst) for r in graph.macro_edges(ch, defs).collect()) == [(1, 2)]
