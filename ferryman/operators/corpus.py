@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferryman.functions.num import py_round
 from ferryman.functions.text import line_count_newlines, splitlines_count, token_count
 
 # fixed values: allowed upload extensions per source platform (UI contract)
@@ -133,10 +134,13 @@ def rate_columns(model: Column) -> dict[str, Column]:
 
 
 def usd(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:
-    """tokens/1000 x rate, rounded to 6 places, in exact decimal arithmetic."""
-    per = F.lit("0.001").cast("decimal(4,3)")
-    raw = (tokens_in.cast("decimal(20,0)") * rate_in * per + tokens_out.cast("decimal(20,0)") * rate_out * per)
-    return F.round(raw, 6).cast("decimal(18,6)")
+    """``round((in/1e3)*rate_in + (out/1e3)*rate_out, 6)`` exactly as the
+    reference's Python floats give it: the same double operations in the same
+    order, then Python's rounding of the binary value (``py_round``)."""
+    k = F.lit(1000.0)
+    x = (tokens_in.cast("double") / k) * rate_in.cast("double") \
+        + (tokens_out.cast("double") / k) * rate_out.cast("double")
+    return py_round(x, 6)
 
 
 def cost_estimate(df: DataFrame, text: str = "text", model: str = "model") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferryman.functions.num import duck_py_round
 from ferryman.functions.text import duck_splitlines_count, duck_tokens, token_count
 from ferryman.operators import corpus
 from ferryman.plans.registry import query
@@ -88,8 +89,9 @@ FROM {src} s LEFT JOIN (
 
 
 def usd_sql(tin: str, tout: str, rin: str, rout: str) -> str:
-    return (f"CAST(round(CAST({tin} AS DECIMAL(20,0)) * {rin} * CAST(0.001 AS DECIMAL(4,3)) + "
-            f"CAST({tout} AS DECIMAL(20,0)) * {rout} * CAST(0.001 AS DECIMAL(4,3)), 6) AS DECIMAL(18,6))")
+    x = (f"(CAST({tin} AS DOUBLE) / 1000.0) * CAST({rin} AS DOUBLE) + "
+         f"(CAST({tout} AS DOUBLE) / 1000.0) * CAST({rout} AS DOUBLE)")
+    return duck_py_round(x, 6)
 
 
 # A6 ---------------------------------------------------------------------
