@@ -49,13 +49,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3);
     it is read, never replaced. Tests and the bench run without one, and only
-    then a local temp folder is used.
+    then -- on a ``local`` master -- a local temp folder is used. A cluster
+    without the setting is refused: a machine-local folder would leave each
+    executor writing its own disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         d = tempfile.mkdtemp(prefix="ferryman-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not (hasattr(sc, "getCheckpointDir") and sc.getCheckpointDir()):
