@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 NL = "\n"
 # Python str.isspace() characters, as a regex class usable by Java and RE2 alike
 PY_WS = r"[\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# the same 29 characters as a plain set, for the trim functions
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 # Python str.splitlines() boundaries
 PY_LINEBREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
@@ -55,16 +58,20 @@ def token_count(c) -> Column:
 
 
 def trim_ws(c) -> Column:
-    """Python ``str.strip()``: all leading/trailing whitespace, not only blanks."""
-    return F.regexp_replace(_c(c), rf"^{PY_WS}+|{PY_WS}+\z", "")
+    """Python ``str.strip()``: all leading/trailing whitespace, not only blanks.
+
+    ``btrim`` with the whitespace set touches only the two ends of the text;
+    a regex ``^ws+|ws+$`` would scan all of it.
+    """
+    return F.btrim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def lstrip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), rf"^{PY_WS}+", "")
+    return F.ltrim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def rstrip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), rf"{PY_WS}+\z", "")
+    return F.rtrim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def split_lines(c) -> Column:
