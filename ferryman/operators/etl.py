@@ -7,14 +7,16 @@ explicit sinks (``target_write``, ``partitioned_write``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryman.plans.sizing import maybe_broadcast
 from ferryman.session import materialize
+from ferryman.sources.tables import literal_table
 
 ColLike = str | Column
 
@@ -290,18 +292,30 @@ def null_safe_equal(a: ColLike, b: ColLike) -> Column:
 
 
 # ------------------------------------------------------------ data checks
-def stage_counts(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """row count per stage and the change from the previous stage.
-
-    The per-stage counts are one global aggregate each (partial counts, one
-    row out), unioned; the diff is a window over ``len(stages)`` rows.
+def stage_counts(build: Callable[[Callable[[str, DataFrame], DataFrame]], DataFrame]) -> DataFrame:
+    """row count per stage and the change from the previous stage, in ONE
+    execution of the pipeline.
+
+    ``build(tap)`` builds the pipeline, passing each stage through ``tap``,
+    which adds an observation (``observe``: a count collected as the rows flow
+    by) and returns the observed frame for the next stage to build on. The
+    final stage then runs once to the ``noop`` sink and the counts come back
+    as metrics -- instead of one aggregate per stage, each re-running the
+    pipeline up to it. The result is a small ``VALUES`` table; the diff is a
+    window over ``len(stages)`` rows.
     """
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "rows")
-        for i, (name, df) in enumerate(stages, 1)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    taps: list[tuple[str, Observation]] = []
+
+    def tap(name: str, df: DataFrame) -> DataFrame:
+        o = Observation(f"stage_{len(taps)}_{uuid.uuid4().hex[:8]}")
+        taps.append((name, o))
+        return df.observe(o, F.count(F.lit(1)).alias("rows"))
+
+    final = build(tap)
+    final.write.format("noop").mode("overwrite").save()
+    rows = [(i, name, int(o.get["rows"])) for i, (name, o) in enumerate(taps, 1)]
+    u = literal_table(final.sparkSession, rows, ["stage_no", "stage", "rows"]).select(
+        F.col("stage_no").cast("int").alias("stage_no"), "stage", F.col("rows").cast("bigint").alias("rows"))
     w = Window.orderBy("stage_no")
     return u.withColumn("rows_delta", (F.col("rows") - F.lag("rows", 1).over(w)).cast("bigint"))
 

@@ -361,8 +361,7 @@ counts AS (""" + "\nUNION ALL ".join(
     for i, s in enumerate(_STAGES, 1)) + """)
 SELECT stage_no, stage, rows, CAST(rows - lag(rows) OVER (ORDER BY stage_no) AS BIGINT) AS rows_delta FROM counts""")
 def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    steps = flagship.pipeline_steps(spark, sf)
-    return etl.stage_counts([(s, steps[s]) for s in _STAGES])
+    return etl.stage_counts(lambda tap: flagship.pipeline_steps(spark, sf, tap)["aggregate"])
 
 
 # F27 --------------------------------------------------------------------

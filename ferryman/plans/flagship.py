@@ -33,8 +33,20 @@ def _band() -> F.Column:
     return F.when(q < 10, "small").when(q < 30, "medium").otherwise("large")
 
 
-def pipeline_steps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    steps: dict[str, DataFrame] = {}
+class _Steps(dict):
+    """Named steps; every assignment passes through ``tap`` (identity unless
+    a caller observes the steps, F26), so later steps build on the tapped one."""
+
+    def __init__(self, tap):
+        super().__init__()
+        self._tap = tap
+
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        super().__setitem__(name, self._tap(name, df) if self._tap else df)
+
+
+def pipeline_steps(spark: SparkSession, sf_dir: str, tap=None) -> dict[str, DataFrame]:
+    steps: dict[str, DataFrame] = _Steps(tap)
     steps["src"] = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     steps["filter"] = etl.filter_stage(
