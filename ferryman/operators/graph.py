@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryman.session import materialize, scratch_path
+from ferryman.session import materialize, path_exists, scratch_path
 
 # fixed value: the definition test is case-sensitive, the name pattern is not
 # (?U): \w and \s as Python's (Unicode letters), not Java's ASCII default
@@ -75,7 +75,7 @@ def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "nod
             group, node, F.when(F.col("_b"), "rem").otherwise("ready").alias("state"))
         out = f"{base}/level={k}"
         flagged.write.mode("overwrite").partitionBy("state").parquet(out)
-        has_ready, has_rem = _exists(spark, f"{out}/state=ready"), _exists(spark, f"{out}/state=rem")
+        has_ready, has_rem = path_exists(spark, f"{out}/state=ready"), path_exists(spark, f"{out}/state=rem")
         left = spark.read.parquet(f"{out}/state=rem") if has_rem else None
         if not has_ready or not has_rem:
             break
@@ -83,19 +83,13 @@ def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "nod
     schema = f"{group} {nodes.schema[group].simpleString()}, {node} {nodes.schema[node].simpleString()}"
     peeled = (spark.read.option("basePath", base).parquet(f"{base}/level=*/state=ready")
               .select(group, node, F.col("level").cast("int").alias("level"))
-              if _exists(spark, f"{base}/level=0/state=ready") or k > 0
+              if path_exists(spark, f"{base}/level=0/state=ready") or k > 0
               else spark.createDataFrame([], schema).withColumn("level", F.lit(None).cast("int")))
     if left is None:
         return peeled
     return peeled.unionByName(left.select(group, node, F.lit(None).cast("int").alias("level")))
 
 
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def dependency_order(levels: DataFrame, group: str, node: str = "node") -> DataFrame:
     """Definitions before uses, ties by node order: ``(level, node)``."""
     from pyspark.sql import Window
@@ -125,7 +119,7 @@ def lineage_closure(edges: DataFrame, group: str, max_rounds: int = 64) -> DataF
 
     def append(df: DataFrame, i: int) -> bool:
         df.withColumn("round", F.lit(i)).write.mode("append").partitionBy("round").parquet(base)
-        return _exists(spark, f"{base}/round={i}")
+        return path_exists(spark, f"{base}/round={i}")
 
     e = edges.select(group, F.col("src").alias("up"), F.col("dst").alias("node")).distinct()
     if not append(e, 0):

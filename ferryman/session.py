@@ -85,6 +85,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Hadoop FileSystem existence check (any scheme the cluster mounts)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for the few local-only helpers (tests)."""
     return p[len("file:"):] if p.startswith("file:") else p

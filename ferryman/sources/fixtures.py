@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferryman.functions.text import duck_tokens, token_count
+from ferryman.session import path_exists, scratch_path
 from ferryman.sources.tables import table
 
 # --- fixed values (UI lists of the application that defines the data model)
@@ -138,7 +139,29 @@ def _conv_code(kind: Column, t: Column, turn: Column) -> Column:
                                 F.lit("from a import b\nimport os"))))
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk-level conversion results, derived from ``conversations`` by a
+    self-join (assistant turn <- the user turn before it).
+
+    In a deployment this is a table the conversion job wrote once; here it is
+    derived once per application and ``sf_dir`` and written under the shared
+    checkpoint folder, so the family-D queries that use it several times scan
+    a written table (pruned per use) instead of repeating the self-join in
+    every branch. A folder without ``_SUCCESS`` is rewritten.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    path = _WRITTEN.get(key)
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+        path = scratch_path(spark, "conv_results")
+        conv_results_plan(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
+def conv_results_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     a = c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("a_text"))
     u = c.filter(F.col("role") == "user").select(
