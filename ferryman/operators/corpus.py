@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryman.functions.num import py_round
 from ferryman.functions.text import line_count_newlines, splitlines_count, token_count
@@ -181,7 +182,12 @@ def output_names(filename: Column, target: Column) -> dict[str, Column]:
 
 
 def write_csv_all_quoted(df: DataFrame, path: str) -> None:
-    """Every field quoted, quotes doubled, ``\\n`` line ends, header row."""
+    """Every field quoted, quotes doubled, ``\\n`` line ends, header row, and
+    a backslash in the data written as two (the escape character escapes
+    itself, as Python's csv writer does with ``escapechar='\\\\'``)."""
+    bs = F.lit("\\")
+    df = df.select(*[F.replace(F.col(f.name), bs, F.lit("\\\\")).alias(f.name)
+                     if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
     (df.write.mode("overwrite").option("header", True).option("quoteAll", True)
      .option("escape", '"').option("lineSep", "\n")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -189,8 +195,11 @@ def write_csv_all_quoted(df: DataFrame, path: str) -> None:
 
 
 def read_csv_all_quoted(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    """Reads what :func:`write_csv_all_quoted` wrote, undoing the backslash escape."""
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+          .option("escape", '"').csv(path))
+    return df.select(*[F.replace(F.col(f.name), F.lit("\\\\"), F.lit("\\")).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

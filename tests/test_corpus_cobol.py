@@ -31,6 +31,7 @@ def test_csv_sink_round_trip_with_quotes_and_newlines(spark, tmpdir_path):
     text = "".join(open(os.path.join(tmpdir_path, "csv", f)).read() for f in os.listdir(tmpdir_path + "/csv")
                    if f.endswith(".csv"))
     assert '"say ""hi"", ok"' in text
+    assert '"back\\\\slash"' in text            # a backslash is written as two, as Python's csv does
 
 
 def test_cost_estimate_integer_truncation(spark):
