@@ -58,6 +58,23 @@ def _norm_path(c: Column) -> Column:
     return F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
 
 
+def utf8_ignore(raw: Column) -> Column:
+    """``bytes.decode("utf-8", errors="ignore")`` on a binary column, JVM-side.
+
+    ``make_valid_utf8`` turns each invalid sequence into U+FFFD, which is then
+    removed. A U+FFFD that was already in the file is valid text and must stay,
+    so it is escaped first (U+E000 as the escape character, itself escaped):
+    the bytes EF BF BD are always a genuine U+FFFD, so a plain replace on the
+    raw bytes finds exactly those.
+    """
+    esc, rep = "\ue000", "\ufffd"
+    s = F.replace(raw.cast("string"), F.lit(esc), F.lit(esc + "\ue001"))
+    s = F.replace(s, F.lit(rep), F.lit(esc + "\ue002"))
+    s = F.replace(F.make_valid_utf8(s), F.lit(rep), F.lit(""))
+    s = F.replace(s, F.lit(esc + "\ue002"), F.lit(rep))
+    return F.replace(s, F.lit(esc + "\ue001"), F.lit(esc))
+
+
 def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """A1: one row per file; bytes -> UTF-8 with undecodable bytes dropped.
 
@@ -74,7 +91,7 @@ def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> Data
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
+    text = utf8_ignore(F.col("content"))
     files = df.withColumn("text", text).drop("content", "modificationTime")
     listed = spark.createDataFrame([(p,) for p in df.inputFiles()], "listed string") \
         .select(_norm_path(F.col("listed")).alias("path"))

@@ -63,3 +63,15 @@ def test_cobol_date_invalid_is_null_and_zeros(spark):
 def test_occurs_slices(spark):
     df = spark.createDataFrame([("000100020003",)], "b string")
     assert df.select(cobol.occurs(F.col("b"), 3, 4)).first()[0] == ["0001", "0002", "0003"]
+
+
+def test_utf8_ignore_matches_python_decode(spark):
+    import random
+    rnd = random.Random(3)
+    alphabet = [b"a", b"\n", b"\xc3\xa9", b"\xef\xbf\xbd", b"\xee\x80\x80", b"\xee\x80\x81", b"\xee\x80\x82",
+                b"\xff", b"\xc3", b"\xe2\x82", b"\xf0\x9f\x98\x80", b"\xf0\x9f", b"\x80", b"\xed\xa0\x80"]
+    blobs = [b"".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, b binary")
+    got = {r.i: r.t for r in df.select("i", corpus.utf8_ignore(F.col("b")).alias("t")).collect()}
+    bad = [(blobs[i], got[i]) for i in got if got[i] != blobs[i].decode("utf-8", errors="ignore")]
+    assert not bad, bad[:3]
