@@ -321,18 +321,23 @@ def stage_counts(build: Callable[[Callable[[str, DataFrame], DataFrame]], DataFr
 
 
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """null and distinct counts for every column in one aggregation pass."""
-    cols = list(cols or df.columns)
-    aggs = []
-    for c in cols:
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"))
+    """null and distinct counts for every column.
+
+    One aggregate per column, unioned: each reads its own column only and
+    shuffles that column's (map-side de-duplicated) values. Several
+    ``count(DISTINCT)`` in one aggregate would instead be planned as an
+    ``Expand`` that copies every row once per column.
+    """
+    parts = []
+    for c in list(cols or df.columns):
         d = F.approx_count_distinct(c) if approx else F.count_distinct(F.col(c))
-        aggs.append(d.alias(f"{c}__distinct"))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__nulls").cast("bigint").alias("null_count"),
-                 F.col(f"{c}__distinct").cast("bigint").alias("distinct_count"))
-        for c in cols])).alias("p")).select("p.*")
+        parts.append(df.agg(F.count_if(F.col(c).isNull()).cast("bigint").alias("null_count"),
+                            d.cast("bigint").alias("distinct_count"))
+                     .select(F.lit(c).alias("column_name"), "null_count", "distinct_count"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def type_fail_count(c: ColLike, to: str) -> Column:
