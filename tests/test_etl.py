@@ -110,3 +110,17 @@ def test_keyed_row_number_matches_window_and_splits_hot_key(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert spread > 1
+
+
+def test_range_numbering_exact_when_bounds_are_sampled(spark):
+    # enough rows that range partitioning samples instead of seeing every key:
+    # the numbered frame must be computed once, or counts and rows disagree
+    n = 300_000
+    df = spark.range(0, n).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("hot")) \
+        .withColumn("k", F.when(F.col("hot") == 1, F.lit(0)).otherwise(F.col("id") % 97)).repartition(16)
+    sk = etl.sequence_key(df.select("id"), ["id"], start=1, name="sk")
+    assert sk.filter(F.col("sk") != F.col("id") + 1).count() == 0
+    rn = etl.keyed_row_number(df.select("k", "id"), ["k"], ["id"], "rn")
+    ref = df.select("k", "id").withColumn("ref", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    assert rn.join(ref, ["k", "id"]).filter(F.col("rn") != F.col("ref")).count() == 0
+    assert rn.count() == n
