@@ -16,13 +16,10 @@ from ferryman.sources import fixtures as fx
 # A1 (rows-only) -----------------------------------------------------------
 @query("corpus_scan")
 def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Materialise the script corpus as one file per script, then scan the folder."""
-    path = scratch_path(spark, "corpus")
-    # one folder per script: spread the file creation over all task slots
-    n = 4 * spark.sparkContext.defaultParallelism
-    fx.scripts(spark, sf).select("script_id", "text").repartition(n, "script_id") \
-        .write.partitionBy("script_id").text(path)
-    return corpus.corpus_scan(spark, path).select("script_id", "path", "length", "text")
+    """Scan the script corpus laid down as one file per script (the files are
+    written once per application from ``documents``, as a deployment would
+    already have them)."""
+    return corpus.corpus_scan(spark, fx.script_files(spark, sf)).select("script_id", "path", "length", "text")
 
 
 # A2 ---------------------------------------------------------------------

@@ -142,6 +142,30 @@ def _conv_code(kind: Column, t: Column, turn: Column) -> Column:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def _written_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Folder holding ``write(path)``'s output, written once per application
+    and ``sf_dir`` under the shared checkpoint folder (rewritten when its
+    ``_SUCCESS`` marker is missing)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    path = _WRITTEN.get(key)
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+        path = scratch_path(spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return path
+
+
+def script_files(spark: SparkSession, sf_dir: str) -> str:
+    """The script corpus as files, one folder ``script_id=<id>`` per script
+    (the input of the A1 folder scan), written once; returns the folder."""
+    def write(path: str) -> None:
+        # one folder per script: spread the file creation over all task slots
+        n = 4 * spark.sparkContext.defaultParallelism
+        scripts(spark, sf_dir).select("script_id", "text").repartition(n, "script_id") \
+            .write.partitionBy("script_id").text(path)
+    return _written_once(spark, sf_dir, "script_files", write)
+
+
 def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk-level conversion results, derived from ``conversations`` by a
     self-join (assistant turn <- the user turn before it).
@@ -152,12 +176,8 @@ def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a written table (pruned per use) instead of repeating the self-join in
     every branch. A folder without ``_SUCCESS`` is rewritten.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    path = _WRITTEN.get(key)
-    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
-        path = scratch_path(spark, "conv_results")
-        conv_results_plan(spark, sf_dir).write.parquet(path)
-        _WRITTEN[key] = path
+    path = _written_once(spark, sf_dir, "conv_results",
+                         lambda p: conv_results_plan(spark, sf_dir).write.parquet(p))
     return spark.read.parquet(path)
 
 
