@@ -26,9 +26,10 @@ LAYOUT = [
 
 
 def read_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the records as a flat text file, read it back with the text source."""
-    path = scratch_path(spark, "cobol_records")
-    fx.cobol_records(spark, sf).select("rec").write.text(path)
+    """Read the records from a flat text file with the text source (the file
+    is input, laid down once per application from the record fixture)."""
+    path = fx.written_once(spark, sf, "cobol_records",
+                           lambda p: fx.cobol_records(spark, sf).select("rec").write.text(p))
     return spark.read.text(path).withColumnRenamed("value", "rec")
 
 

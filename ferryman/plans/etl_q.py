@@ -9,6 +9,7 @@ from ferryman.operators import etl
 from ferryman.plans import flagship
 from ferryman.plans.registry import query
 from ferryman.session import scratch_path
+from ferryman.sources import fixtures as fx
 from ferryman.sources.tables import table
 
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -27,8 +28,9 @@ def source_read(spark: SparkSession, sf: str) -> DataFrame:
 # F2 ---------------------------------------------------------------------
 @query("file_read", "SELECT *, false AS is_corrupt FROM customer")
 def file_read(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "file_read")
-    _t(spark, sf, "customer").write.mode("overwrite").option("header", True).csv(path)
+    # the flat file is input: laid down once per application from ``customer``
+    path = fx.written_once(spark, sf, "customer_csv", lambda p: _t(spark, sf, "customer").write
+                           .option("header", True).csv(p))
     df = etl.file_read(spark, path, CUSTOMER_SCHEMA)
     return df.select(*[c for c in df.columns if c != "_corrupt_record"],
                      F.col("_corrupt_record").isNotNull().alias("is_corrupt"))

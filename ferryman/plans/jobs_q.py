@@ -70,8 +70,10 @@ def step_transitions(spark: SparkSession, sf: str) -> DataFrame:
 # E6 (rows-only: stateful stream) ------------------------------------------
 @query("job_state_stream")
 def job_state_stream(spark: SparkSession, sf: str) -> DataFrame:
-    src = scratch_path(spark, "step_events_src")
-    n_files = job_stream.write_event_files(ev(spark, sf), src)
+    # the event files are the stream's input: laid down once per application
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = fx.written_once(spark, sf, f"step_events_{n_files}",
+                          lambda p: job_stream.write_event_files(ev(spark, sf), p, n_files))
     # about four micro-batches whatever the cluster size
     return job_stream.job_state_stream(spark, src, scratch_path(spark, "job_state_out"),
                                        scratch_path(spark, "job_state_ckpt"),

@@ -142,7 +142,7 @@ def _conv_code(kind: Column, t: Column, turn: Column) -> Column:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
-def _written_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+def written_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     """Folder holding ``write(path)``'s output, written once per application
     and ``sf_dir`` under the shared checkpoint folder (rewritten when its
     ``_SUCCESS`` marker is missing)."""
@@ -163,7 +163,7 @@ def script_files(spark: SparkSession, sf_dir: str) -> str:
         n = 4 * spark.sparkContext.defaultParallelism
         scripts(spark, sf_dir).select("script_id", "text").repartition(n, "script_id") \
             .write.partitionBy("script_id").text(path)
-    return _written_once(spark, sf_dir, "script_files", write)
+    return written_once(spark, sf_dir, "script_files", write)
 
 
 def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a written table (pruned per use) instead of repeating the self-join in
     every branch. A folder without ``_SUCCESS`` is rewritten.
     """
-    path = _written_once(spark, sf_dir, "conv_results",
+    path = written_once(spark, sf_dir, "conv_results",
                          lambda p: conv_results_plan(spark, sf_dir).write.parquet(p))
     return spark.read.parquet(path)
 
