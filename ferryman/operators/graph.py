@@ -57,7 +57,8 @@ def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "nod
     null level. Returns ``(group, node, level)``.
 
     Each round works on what is left only: the unpeeled nodes and the edges
-    leaving them. It writes one folder under the shared checkpoint root,
+    leaving them (the edge set is re-written every fourth round). It writes
+    one folder under the shared checkpoint root,
     ``level=k/state=ready|rem`` (a written table cuts the lineage and is
     computed once), and the listing tells whether anything was peeled or is
     left -- no count job. The answer is one glob read of all ``ready`` parts.
@@ -69,7 +70,9 @@ def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "nod
         .filter(F.col(node).isNotNull())
     k, left = 0, rem
     while max_rounds is None or k < max_rounds:
-        alive = materialize(alive.join(rem, [group, node], "left_semi"), f"peel_edges{k}")
+        alive = alive.join(rem, [group, node], "left_semi")
+        if k % 4 == 0:  # the edge set shrinks with the nodes; cut its lineage every 4 rounds
+            alive = materialize(alive, f"peel_edges{k}")
         blocked = alive.select(group, F.col("_dst").alias(node), F.lit(True).alias("_b")).distinct()
         flagged = rem.join(blocked, [group, node], "left").select(
             group, node, F.when(F.col("_b"), "rem").otherwise("ready").alias("state"))
