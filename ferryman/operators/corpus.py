@@ -82,10 +82,11 @@ def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> Data
     the path become columns. Invalid sequences become U+FFFD under
     ``make_valid_utf8`` and are then removed.
 
-    Spark's file scans skip zero-length files, so those are found as the
-    listed files (the file index the driver already holds) that the scan did
-    not return -- an anti join on paths only, which reads no file content --
-    and added back with empty text.
+    Spark's file scans skip zero-length files. When the file index lists more
+    files than the scan returns, the missing ones are found as listed paths
+    the scan did not return -- an anti join on paths only, which reads no
+    file content -- and added back with empty text; otherwise no path list
+    leaves the JVM.
     """
     r = spark.read.format("binaryFile")
     if glob:
@@ -93,6 +94,10 @@ def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> Data
     df = r.load(path)
     text = utf8_ignore(F.col("content"))
     files = df.withColumn("text", text).drop("content", "modificationTime")
+    # usual case, no empty file: the index's length (one number from the JVM)
+    # equals a path-only count of the scan (no file content is read)
+    if len(df._jdf.inputFiles()) == df.select("path").count():
+        return files
     listed = spark.createDataFrame([(p,) for p in df.inputFiles()], "listed string") \
         .select(_norm_path(F.col("listed")).alias("path"))
     empty = listed.join(df.select(_norm_path(F.col("path")).alias("path")), "path", "left_anti") \
