@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ferryman.operators import graph, segment as sg, xmlcat
 from ferryman.plans.registry import query
 from ferryman.plans.segment_q import B7_BUDGET, _b7_sql_ctes
+from ferryman.session import materialize
 from ferryman.sources import fixtures as fx
 
 # chunks the graph is built on: greedy budget chunks of the comment-free script
@@ -21,7 +22,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _defs_edges(spark, sf):
-    ch = chunks(spark, sf)
+    # chunked once and written: nodes, definitions and use tokens all read it
+    ch = materialize(chunks(spark, sf), "sas_chunks")
     defs = graph.macro_defs(ch)
     return ch, defs, graph.macro_edges(ch, defs)
 
@@ -121,7 +123,9 @@ SELECT p_partkey AS mapping_id, s.stage, s.level, s.n_upstream
 FROM part, (VALUES ('SQ', 0, CAST(0 AS BIGINT)), ('EXP', 1, CAST(1 AS BIGINT)), ('AGG', 2, CAST(2 AS BIGINT)))
   s(stage, level, n_upstream)""")
 def flow_order(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = xmlcat.parse_mappings(fx.mapping_xml(spark, sf))
+    # parsed once and written: the Kahn rounds and the closure both start from
+    # its nodes and edges, which would otherwise re-parse every document
+    parsed = materialize(xmlcat.parse_mappings(fx.mapping_xml(spark, sf)), "mappings_parsed")
     edges = xmlcat.connectors(parsed).select("mapping_id", F.col("from_stage").alias("src"),
                                              F.col("to_stage").alias("dst"))
     nodes = parsed.select("mapping_id", F.explode("m.TRANSFORMATION._NAME").alias("node"))
