@@ -74,11 +74,6 @@ def rstrip_ws(c) -> Column:
     return F.rtrim(_c(c), F.lit(PY_WS_CHARS))
 
 
-def split_lines(c) -> Column:
-    """``text.split("\\n")`` (keeps a trailing empty piece, like Python)."""
-    return F.split(_c(c), NL, -1)
-
-
 def splitlines_array(c) -> Column:
     """Python ``text.splitlines()``: no trailing empty piece, [] for ''."""
     c = _c(c)
@@ -87,11 +82,6 @@ def splitlines_array(c) -> Column:
         .otherwise(F.split(body, PY_LINEBREAK, -1))
 
 
-def count_char(c, ch: str) -> Column:
-    c = _c(c)
-    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
-
-
 # DuckDB twins used by oracle SQL (RE2 accepts the same classes)
 def duck_tokens(x: str) -> str:
     return f"CAST(len(list_filter(regexp_split_to_array({x}, '{PY_WS}+'), lambda w: w <> '')) AS BIGINT)"

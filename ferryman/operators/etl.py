@@ -8,7 +8,7 @@ explicit sinks (``target_write``, ``partitioned_write``).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -434,7 +434,3 @@ def join_hint(df: DataFrame, hint: str) -> DataFrame:
 def runtime_params(spark: SparkSession, sql: str, params: Mapping[str, object]) -> DataFrame:
     """job parameters as named SQL parameters (no string splicing)."""
     return spark.sql(sql, args=dict(params))
-
-
-def ensure_cols(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.select(*cols)

@@ -10,8 +10,6 @@ executor recomputes one round, not the whole loop.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +145,3 @@ def with_made_cycles(edges: DataFrame, nodes: DataFrame, group: str, node: str,
     made = ends.select(group, F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         ends.select(group, F.col("b").alias("src"), F.col("a").alias("dst")))
     return edges.select(group, "src", "dst").unionByName(made).dropDuplicates([group, "src", "dst"])
-
-
-def nodes_of(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -90,12 +89,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def local_path(p: str) -> str:
-    """Strip a ``file:`` scheme for the few local-only helpers (tests)."""
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
-def is_local_dir(p: str) -> bool:
-    return os.path.isdir(local_path(p))

@@ -124,3 +124,11 @@ def test_range_numbering_exact_when_bounds_are_sampled(spark):
     ref = df.select("k", "id").withColumn("ref", F.row_number().over(Window.partitionBy("k").orderBy("id")))
     assert rn.join(ref, ["k", "id"]).filter(F.col("rn") != F.col("ref")).count() == 0
     assert rn.count() == n
+
+
+def test_reject_split_and_sort_within(spark):
+    df = spark.createDataFrame([(3, None), (1, "bad qty"), (2, None)], "k int, reject_reason string")
+    assert sorted(r.k for r in etl.good_rows(df).collect()) == [2, 3]
+    assert [r.k for r in etl.error_rows(df).collect()] == [1]
+    s = etl.sort_within(df.coalesce(1), ["k"])
+    assert [r.k for r in s.collect()] == [1, 2, 3]
