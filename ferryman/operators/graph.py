@@ -3,9 +3,9 @@
 Graphs are edge tables ``(group, src, dst)``, one graph per group (script or
 mapping). Ordering is Kahn's algorithm run for all groups at once: each round
 is one anti join (no driver-side graph, no per-group collect); the number of
-rounds is the longest path plus one. The node-state frame is checkpointed to
-the shared checkpoint folder every round, so lineage stays short and a lost
-executor recomputes one round, not the whole loop.
+rounds is the longest path plus one. Each round works on the unordered nodes
+only and writes its result to the shared checkpoint folder, so lineage stays
+short and a lost executor recomputes one round, not the whole loop.
 """
 
 from __future__ import annotations
