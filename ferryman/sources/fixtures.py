@@ -4,6 +4,11 @@ Each fixture is a plain projection of a driver table, written twice: once as
 a Spark DataFrame builder and once as DuckDB SQL text (``DUCK[name]``) so an
 oracle query can derive the same rows independently. Everything grows with
 the source table; nothing is synthesised from fixed small input.
+
+Inputs that a deployment would already hold as files or tables -- the script
+corpus as files, the conversion-results table (a self-join here), flat and
+record files, stream sources -- are derived once per application and
+``sf_dir`` and written under the shared checkpoint folder (``written_once``).
 """
 
 from __future__ import annotations
