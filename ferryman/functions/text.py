@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NL = "\n"
+# fixed values: Python's whitespace (str.isspace) and line-break (str.splitlines) characters
 # Python str.isspace() characters, as a regex class usable by Java and RE2 alike
 PY_WS = r"[\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # the same 29 characters as a plain set, for the trim functions

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ferryman.operators.etl import keyed_row_number
 
-TOTAL_STEPS = 6          # fixed value: progress denominator of the runner
+# fixed values: progress denominator and cap of the runner, terminal statuses
+TOTAL_STEPS = 6
 PROGRESS_CAP = 99
 TERMINAL = ["finished", "failed", "stopped"]
 

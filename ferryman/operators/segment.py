@@ -325,6 +325,7 @@ def sas_chunks(df: DataFrame, text: str = "text", key: str = "script_id", budget
         key, chunk_id(F.col("seq")).alias("id"), trim_ws(F.col("code")).alias("code"), "seq")
 
 
+# fixed values: chunk labels of the whole-script sources and the PL/SQL source names
 WHOLE_LABELS = {"snowflake": "Snowflake", "informatica": "Informatica", "datastage": "Datastage", "cobol": "COBOL"}
 PLSQL_SOURCES = ["oracle", "plsql"]
 
