@@ -346,7 +346,7 @@ def retry_triage(spark: SparkSession, sf: str) -> DataFrame:
 
 # D19 --------------------------------------------------------------------
 @query("apply_fixes", with_cr(f"""
-SELECT c.job_id, c.id, coalesce(t.retry_code, c.code) AS code, t.retry_code IS NOT NULL AS was_fixed
+SELECT c.job_id, c.id, coalesce({duck_trim('t.retry_code')}, c.code) AS code, t.retry_code IS NOT NULL AS was_fixed
 FROM (SELECT * FROM conv_results WHERE ok AND {_NONPY}) c
 LEFT JOIN (SELECT * FROM triage2 WHERE outcome = 'fixed') t ON t.job_id = c.job_id AND t.id = c.id""",
                               _triage_sql()))
