@@ -309,7 +309,7 @@ def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # D17 --------------------------------------------------------------------
-_QUEUE_SQL = """SELECT v.job_id, v.id, v.reason, r.code AS generated_code, r.source_code
+_QUEUE_SQL = """SELECT v.job_id, v.id, v.reason, r.code AS generated_code, coalesce(r.source_code, '') AS source_code
 FROM tvv v JOIN conv_results r ON r.job_id = v.job_id AND r.id = v.id WHERE NOT v.validated"""
 
 
