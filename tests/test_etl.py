@@ -132,3 +132,12 @@ def test_reject_split_and_sort_within(spark):
     assert [r.k for r in etl.error_rows(df).collect()] == [1]
     s = etl.sort_within(df.coalesce(1), ["k"])
     assert [r.k for r in s.collect()] == [1, 2, 3]
+
+
+def test_literal_table_binds_values_and_has_a_size(spark):
+    from ferryman.plans.sizing import estimated_bytes
+    from ferryman.sources.tables import literal_table
+    rows = [("it's", "x'); DROP TABLE t; --"), ("a\nb", "")]
+    t = literal_table(spark, rows, ["start", "label"])
+    assert sorted(tuple(r) for r in t.collect()) == sorted(rows)
+    assert estimated_bytes(t) < 10_000          # a local relation, not an RDD of unknown size
