@@ -53,3 +53,21 @@ def test_step_numbers_dense_per_job(spark):
     g = sp.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.max("step_no").alias("hi"),
                                  F.count_distinct("step_no").alias("d"))
     assert g.filter((F.col("hi") != F.col("n")) | (F.col("d") != F.col("n"))).count() == 0
+
+
+def test_sas_blocks_follow_the_generator_parameters(spark):
+    """Parse-free: a script's block count and kinds follow from doc_id alone
+    (1 + doc_id % 6 pieces, reversed when doc_id % 3 == 0, kind by (doc_id + i) % 4)."""
+    kinds = ["DATA", "PROC", "%MACRO", "PROC"]
+    s = fx.sas_scripts(spark, SF_CHECK)
+    blocks = sg.sas_blocks(s).select("script_id", "block_no", F.upper(F.split(F.ltrim("code"), r"\s")[0]).alias("kind"))
+    got: dict[int, list[tuple[int, str]]] = {}
+    for r in blocks.collect():
+        got.setdefault(r.script_id, []).append((r.block_no, r.kind))
+    ids = [r.script_id for r in s.select("script_id").collect()]
+    assert ids and set(got) == set(ids)
+    for d in ids:
+        order = list(range(1, 2 + d % 6))
+        if d % 3 == 0:
+            order.reverse()
+        assert [k for _, k in sorted(got[d])] == [kinds[(d + i) % 4] for i in order], d
