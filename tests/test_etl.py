@@ -141,3 +141,13 @@ def test_literal_table_binds_values_and_has_a_size(spark):
     t = literal_table(spark, rows, ["start", "label"])
     assert sorted(tuple(r) for r in t.collect()) == sorted(rows)
     assert estimated_bytes(t) < 10_000          # a local relation, not an RDD of unknown size
+
+
+def test_get_spark_leaves_a_running_session_partitions_alone(spark):
+    from ferryman.session import get_spark
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        s = get_spark()                      # as on a cluster: no master passed
+        assert s.conf.get("spark.sql.shuffle.partitions") == "13"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
