@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import minhash, substring_dedup, suffix_dedup
 from .tables import table
 
 
@@ -13,12 +13,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op8_minhash_near_dedup, op10_suffix_dedup)}
 
 #: None of the ten can be put in DuckDB SQL that is quick enough on whole tables; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}

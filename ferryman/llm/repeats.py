@@ -84,7 +84,7 @@ def split_classes(rows: DataFrame, last: bool = False) -> tuple[DataFrame, DataF
     repeated = rows.join(again, ["key", "ctx"], "left_semi").select("rid", "pack")
     if last:
         return repeated, None, classes
-    several = classes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
+    several = keep(classes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key"), "several")
     open_rows = classes.join(several, "key", "left_semi").select("one.rid", "one.pack", "key")
     return repeated, open_rows, classes
 

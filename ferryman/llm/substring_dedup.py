@@ -31,9 +31,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
     """(rid, packs) for documents that hold repeating windows, by seed and extend."""
     spark = docs.sparkSession
     seeds = keep(anchors(docs, word_units, window, seed_words), "seeds")
-    shared = seeds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # written, so that the join is of two plain tables and Spark can split a hot seed's rows
+    shared = keep(seeds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
     found = keep(seeds.join(shared, "key", "left_semi"), "shared-seeds")
-    drop(spark, seeds)
+    drop(spark, seeds, shared)
     runs = repeated_windows(docs, found, word_units, window, (1,))
     drop(spark, found)
     return runs

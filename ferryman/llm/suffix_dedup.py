@@ -77,8 +77,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, batches
     family = IndexFamily(spark)
     for i in range(batches):
         family.add(suffixes.filter(F.col("batch") == i).select("key"))
-    found = keep(suffixes.select("rid", "key", "ctx", "pack").join(family.matched(), "key", "left_semi"), "matched-suffixes")
-    drop(spark, suffixes, *family.levels.values(), *family.matches)
+    matched = keep(family.matched(), "matched-keys")
+    found = keep(suffixes.select("rid", "key", "ctx", "pack").join(matched, "key", "left_semi"), "matched-suffixes")
+    drop(spark, suffixes, matched, *family.levels.values(), *family.matches)
     runs = repeated_windows(docs, found, byte_units, window, (16, 1))
     drop(spark, found)
     return runs
