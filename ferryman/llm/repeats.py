@@ -42,9 +42,9 @@ def byte_units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return byte_codes()[data], off
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
+def with_row_id(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and a row id from both; rows equal in both share it, which is harmless (they repeat each other)."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
 
 
 def _row_batch(rid, key, ctx, q, back, width) -> pa.RecordBatch:
