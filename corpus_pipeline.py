@@ -29,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeating 35-word windows; a document may become empty."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substring_dedup.remove_repeats(docs, carry=rest).withColumn("text", F.col("kept_text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = substring_dedup.remove_repeats(docs, carry=rest)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,9 +95,11 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     Rows equal in doc_id and text stand once, with the repetitions of all of them.
     """
     taken = mix(docs, weights, max_epochs, seed).filter("taken > 0").groupBy("rid").agg(F.sum("repeats").alias("repeats"), F.sum("part").alias("part"))
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text")).dropDuplicates(["rid"]).join(taken, "rid")
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("part").cast("int")), " ")
-    whole = F.when(F.col("repeats") > 0, F.array_repeat("text", F.col("repeats").cast("int"))).otherwise(F.array().cast("array<string>"))
+    # the document travels as one column, so that no name of its own clashes
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct("*").alias("doc")).dropDuplicates(["rid"]).join(taken, "rid")
+    text = F.col("doc.text")
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.col("part").cast("int")), " ")
+    whole = F.when(F.col("repeats") > 0, F.array_repeat(text, F.col("repeats").cast("int"))).otherwise(F.array().cast("array<string>"))
     part = F.when(F.col("part") > 0, F.array(first_words)).otherwise(F.array().cast("array<string>"))
-    rows = rows.select(*[c for c in docs.columns if c != "text"], F.explode(F.concat(whole, part)).alias("text"))
-    return rows.select(docs.columns)
+    rows = rows.select("doc", F.explode(F.concat(whole, part)).alias("taken_text"))
+    return rows.select(*[F.col("taken_text").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

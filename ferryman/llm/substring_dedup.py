@@ -41,7 +41,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row, and the columns to ``carry`` along.
+    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row, and the columns to ``carry`` along in the struct ``carried``.
 
     ``kept_text`` is the unchanged text where nothing is removed, else the kept words
     joined by one space. ``kept_sha256`` is of the kept words joined by one space.
@@ -63,8 +63,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
                     text = kept.decode()
                 texts.append(text)
                 sha.append(hashlib.sha256(b" ".join(kept.split())).hexdigest())
-            arrays = [column(batch, "doc_id"), *(column(batch, c) for c in carry), pa.array(words.count.astype(np.int64)), pa.array(lost), pa.array(sha), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *carry, "n_words", "n_removed", "kept_sha256", "kept_text"])
+            arrays = [column(batch, "doc_id"), column(batch, "carried"), pa.array(words.count.astype(np.int64)), pa.array(lost), pa.array(sha), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "carried", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    schema = docs.select("doc_id", *carry).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
+    schema = docs.select("doc_id", "carried").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
     return docs.join(runs, "rid", "left").mapInArrow(task, schema)

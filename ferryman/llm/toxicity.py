@@ -32,6 +32,8 @@ TRIGRAMS = 4096
 MAX_WORDS, MIN_DOCS = 20_000, 5
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1_200, 2_400, 20_000
 EPOCHS, BATCH, RATE = 4, 192, 0.01
+#: few labelled rows are gone over more often, for so many steps at least
+MIN_STEPS = 200
 FOLDS = 5
 
 
@@ -225,6 +227,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     suspicion = sums[np.minimum(start + WINDOW, text.off[of + 1])] - sums[start]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
+    epochs = max(epochs, -(-MIN_STEPS // -(-(len(y) + min(2 * len(y), int((y[of] == 0).sum()))) // BATCH)))
     for epoch in range(epochs):
         order = np.lexsort((-suspicion, of))
         worst = order[np.r_[True, of[order][1:] != of[order][:-1]]]
@@ -238,7 +241,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 model.p[k] -= RATE * (1 - epoch / (epochs + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        if epoch in (1, 2):
+        if epoch in (epochs // 4, epochs // 2):
             suspicion = model.logits(text, start, of).astype(np.float64)
     # the limit of 0.5 goes where the fit rows are told apart best
     score = model.worst(text)

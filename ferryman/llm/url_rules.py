@@ -73,7 +73,7 @@ def tokens():
 
 def mine(pages: DataFrame, labels: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = MIN_LIFT) -> DataFrame:
     """rule_id, tokens, confidence, support of the rules "tokens -> block"."""
-    number = F.expr("try_cast(element_at(regexp_extract_all(url, '[0-9]+', 0), -1) as bigint)")
+    number = F.expr("try_cast(try_element_at(regexp_extract_all(url, '[0-9]+', 0), -1) as bigint)")
     bad = F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad")
     label = labels.groupBy("doc_id").agg(bad)
     baskets = pages.withColumn("doc_id", number).join(label, "doc_id").select(F.array_append("tokens", F.when(F.col("bad") == 1, BLOCK).otherwise(ALLOW)).alias("items"))
