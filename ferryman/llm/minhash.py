@@ -9,8 +9,9 @@ if 100 * intersection >= 75 * union; components are by smallest doc_id reachable
 3. Banding: classes that agree on all rows of a band share a bucket. At a resemblance of 0.75
    a pair misses all 40 bands with a chance of 2.5e-7.
 4. Stars: each class in a bucket is compared with the bucket's smallest. Components of these
-   links come first; then all pairs of a bucket that are still in different components are
-   compared too. So a bucket of thousands of near copies costs one comparison each, and no
+   links come first. Members of buckets that still hold different components are then paired
+   by an exact prefix filter on their rarest shingles. So a bucket of thousands of near copies
+   costs one comparison each, documents that share a frequent passage only make no pairs, and no
    link between different components is left out.
 5. A pair is compared by set sizes, then by signature, then by the full sets.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -130,6 +131,39 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that can reach the limit, by an exact prefix filter.
+
+    With each set in one order of all shingles, rare ones first, two sets that reach the limit
+    share one of their first n - ceil(n * PERCENT / 100) + 1 shingles, and from the first one
+    that they share, both have enough left for the intersection that the limit asks for. A passage in thousands of documents
+    comes last in the order, so documents that have only that in common make no pair.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in blocks(batches):
+            values, at = sets_of(data, off)
+            size = np.diff(at)
+            rows = [np.repeat(column(batch, c).to_numpy(), size) for c in ("doc_id", "part")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.repeat(size, size)), pa.array(values.view(np.int64))], names=["node", "part", "n", "gram"])
+
+    held = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "part", "text")
+    grams = keep(held.mapInArrow(task, "node long, part long, n long, gram long"), "open-shingles")
+    several = keep(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
+    own = Window.partitionBy("node")
+    # a shingle's place in its set's order: after all shingles that no other open set has
+    shared = grams.join(several, "gram").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("df", "gram")))
+    prefix = keep(shared.filter(F.col("place") <= F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")).select("gram", "node", "part", "n", "place"), "prefixes")
+    one = prefix.select("gram", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("place").alias("ia"))
+    two = prefix.select("gram", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
+    near = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    # from the first common shingle on, enough must be left in both sets for the limit
+    near = near & ((100 + PERCENT) * (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) >= PERCENT * (F.col("na") + F.col("nb")))
+    pairs = keep(one.join(two, "gram").filter(near).select("a", "b").distinct(), "open-pairs")
+    drop(nodes.sparkSession, grams, several, prefix)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
@@ -152,11 +186,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     labelled = keep(labelled, "labelled")
     mixed = keep(labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket"), "mixed-buckets")
-    left = keep(labelled.join(mixed, "bucket", "left_semi"), "open-members")
-    one = left.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"))
-    two = left.select("bucket", F.col("node").alias("b"), F.col("part").alias("pb"))
-    rest = one.join(two, "bucket").filter("a < b and pa <> pb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = keep(_linked(keep(_promising(keep(rest, "rest"), held), "near-rest"), texts), "rest-links")
+    left = keep(labelled.join(mixed, "bucket", "left_semi").select("node", "part").distinct(), "open-nodes")
+    rest = _sharing_rare(left, texts).join(stars, ["a", "b"], "left_anti")
+    more = keep(_linked(keep(_promising(rest, held), "near-rest"), texts), "rest-links")
     final = keep(components(links.unionAll(more)), "components")
 
     of_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component"))
