@@ -38,7 +38,10 @@ class Vocabulary:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelled: list[bytes]):
         self.pieces, self.byte_ids, self.spelled = pieces, byte_ids, spelled
-        self.longest = max(map(len, pieces), default=0)
+        #: length of the longest piece that ends with a character
+        self.longest: dict[str, int] = {}
+        for p in pieces:
+            self.longest[p[-1]] = max(len(p), self.longest.get(p[-1], 0))
         #: score of a byte: worse than any piece
         self.byte_score = min((s for _, s in pieces.values()), default=0.0) - 10.0
 
@@ -80,7 +83,7 @@ def encode_sorted(words: list[str], vocabulary: Vocabulary) -> Iterator[list[int
         del score[shared + 1 :], back[shared + 1 :], piece[shared + 1 :]
         for end in range(shared + 1, n + 1):
             best, start, found = float("-inf"), end - 1, -1
-            for begin in range(max(0, end - longest), end):
+            for begin in range(max(0, end - longest.get(word[end - 1], 0)), end):
                 hit = pieces.get(word[begin:end])
                 if hit is not None and score[begin] + hit[1] > best:
                     best, start, found = score[begin] + hit[1], begin, hit[0]
