@@ -10,6 +10,8 @@ short and a lost executor recomputes one round, not the whole loop.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,7 @@ def macro_edges(chunks: DataFrame, defs: DataFrame, group: str = "script_id", se
     return e.select(group, F.col("def_seq").alias("src"), "dst").dropDuplicates([group, "src", "dst"])
 
 
-def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node",
-                max_rounds: int | None = None) -> DataFrame:
+def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node") -> DataFrame:
     """Kahn levels for every group: level 0 = no predecessor, level k = all
     predecessors peeled before round k. Nodes on or behind a cycle keep a
     null level. Returns ``(group, node, level)``.
@@ -67,7 +68,7 @@ def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "nod
     alive = edges.select(group, F.col("src").alias(node), F.col("dst").alias("_dst")) \
         .filter(F.col(node).isNotNull())
     k, left = 0, rem
-    while max_rounds is None or k < max_rounds:
+    while True:
         alive = alive.join(rem, [group, node], "left_semi")
         if k % 4 == 0:  # the edge set shrinks with the nodes; cut its lineage every 4 rounds
             alive = materialize(alive, f"peel_edges{k}")
@@ -103,7 +104,7 @@ def cycle_report(levels: DataFrame, group: str, node: str = "node") -> DataFrame
     return levels.filter(F.col("level").isNull()).select(group, node)
 
 
-def lineage_closure(edges: DataFrame, group: str, max_rounds: int = 64) -> DataFrame:
+def lineage_closure(edges: DataFrame, group: str) -> DataFrame:
     """All (upstream, node) pairs per group by semi-naive iteration.
 
     Each round joins only the pairs found last round to the edges and keeps
@@ -127,7 +128,7 @@ def lineage_closure(edges: DataFrame, group: str, max_rounds: int = 64) -> DataF
         return e
     hop = spark.read.parquet(f"{base}/round=0")
     delta = hop
-    for i in range(1, max_rounds):
+    for i in count(1):
         known = spark.read.parquet(base).select(*keys)
         step = delta.alias("d").join(hop.alias("b"), (F.col(f"d.{group}") == F.col(f"b.{group}"))
                                      & (F.col("d.node") == F.col("b.up"))) \
