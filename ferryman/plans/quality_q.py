@@ -20,8 +20,10 @@ def cr(spark, sf):
     return fx.conv_results(spark, sf)
 
 
-def _non_python(df):
-    return df.filter(~F.lower(F.col("target")).isin(q.PYTHON_TARGETS))
+def _reason_class(df):
+    """The parser's message is its own; the query gives the kind of failure."""
+    return df.withColumn("reason", F.when(F.col("reason").startswith("SyntaxError:"), "SyntaxError")
+                         .otherwise(F.col("reason")))
 
 
 # ------------------------------------------------------------------ SQL kit
@@ -151,15 +153,15 @@ def numeric_id_order(spark: SparkSession, sf: str) -> DataFrame:
 
 # D3 ---------------------------------------------------------------------
 @query("result_ledger", with_cr("""
-SELECT r.job_id, r.id, r.ok AS success, c.source_code AS input_source_code, r.code AS output_pyspark_code,
+SELECT r.job_id, r.id, r.ok AS success, c.source_code AS input_source_code, """ + ", ".join(
+    f"CASE WHEN r.target = '{t}' THEN r.code END AS output_{t}_code" for t in fx.CONV_TARGETS) + """,
        r.input_tokens, r.output_tokens, r.input_tokens + r.output_tokens AS total_tokens
-FROM conv_results r JOIN conv_results c ON c.job_id = r.job_id AND c.id = r.id
-WHERE r.target = 'pyspark'"""))
+FROM conv_results r JOIN conv_results c ON c.job_id = r.job_id AND c.id = r.id"""))
 def result_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    c = cr(spark, sf).filter(F.col("target") == "pyspark")
-    results = c.select("job_id", "id", "ok", "code", "input_tokens", "output_tokens")
+    c = cr(spark, sf)
+    results = c.select("job_id", "id", "ok", "code", "target", "input_tokens", "output_tokens")
     chunks = c.select("job_id", "id", "source_code")
-    return q.result_ledger(results, chunks, "pyspark")
+    return q.result_ledger(results, chunks, fx.CONV_TARGETS)
 
 
 # D4 ---------------------------------------------------------------------
@@ -255,34 +257,52 @@ def sql_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return q.with_sql_verdict(c).select("job_id", "id", "validated", "reason")
 
 
-# D13 (rows-only: the Python parser has no SQL twin) -----------------------
-@query("python_verdict")
-def python_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    c = cr(spark, sf).filter(F.lower("target").isin(q.PYTHON_TARGETS)).select("job_id", "id", "code")
-    return q.with_python_verdict(q.with_cleaned(c, "code")).select("job_id", "id", "validated", "reason")
+# The Python parser has no SQL twin; which Python texts parse follows from the fixture's
+# parameters (``fixtures.conv_results_plan``), so the oracles need none.
+_PY_GOOD = "(job_id + turn) % 6 <> 4"
+_PY_RETRY_GOOD = f"({_PY_GOOD} OR job_id % 3 <> 0)"
+_GOOD = f"('{q.R_SQL_OK}', '{q.R_PY_OK}', '{q.R_NO_RULE}')"
+
+
+def d_py_reason(x, parses, comments=True):
+    mid = f"WHEN NOT {d_meaningful(x)} THEN '{q.R_COMMENTS}' " if comments else ""
+    return f"CASE WHEN {x} = '' THEN '{q.R_EMPTY}' {mid}WHEN {parses} THEN '{q.R_PY_OK}' ELSE 'SyntaxError' END"
+
+
+def d_reason(x, parses, comments=True):
+    return (f"CASE WHEN lower(target) IN {_PY} THEN {d_py_reason(x, parses, comments)} "
+            f"WHEN lower(target) IN {_SQLT} THEN {d_sql_reason(x, comments)} ELSE '{q.R_NO_RULE}' END")
 
 
 def _verdict_sql(src_filter: str) -> list[tuple[str, str]]:
-    return clean_ctes(f"(SELECT * FROM conv_results WHERE {src_filter})", "job_id, id, target, ok", "code", "tv") + [
-        ("tverdict", f"""SELECT job_id, id, target, ok, CASE WHEN lower(target) IN {_SQLT}
-                THEN {d_sql_reason('cleaned')} ELSE '{q.R_NO_RULE}' END AS reason FROM tv"""),
-        ("tvv", f"""SELECT *, reason IN ('{q.R_SQL_OK}', '{q.R_NO_RULE}') AS validated FROM tverdict"""),
+    return clean_ctes(f"(SELECT * FROM conv_results WHERE {src_filter})", "job_id, id, turn, target, ok", "code", "tv") + [
+        ("tverdict", f"SELECT job_id, id, target, ok, {d_reason('cleaned', _PY_GOOD)} AS reason FROM tv"),
+        ("tvv", f"SELECT *, reason IN {_GOOD} AS validated FROM tverdict"),
     ]
 
 
-_NONPY = f"lower(target) NOT IN {_PY}"
+# D13 --------------------------------------------------------------------
+@query("python_verdict", with_cr(f"""
+SELECT job_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(count(*) FILTER (WHERE validated) AS BIGINT) AS n_valid,
+       CAST(count(*) FILTER (WHERE reason = '{q.R_EMPTY}') AS BIGINT) AS n_empty,
+       CAST(count(*) FILTER (WHERE reason = '{q.R_COMMENTS}') AS BIGINT) AS n_comments,
+       CAST(count(*) FILTER (WHERE reason = 'SyntaxError') AS BIGINT) AS n_unparsed
+FROM tvv GROUP BY job_id""", _verdict_sql(f"lower(target) IN {_PY}")))
+def python_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    c = cr(spark, sf).filter(F.lower("target").isin(q.PYTHON_TARGETS)).select("job_id", "id", "code")
+    return q.python_rollup(q.with_python_verdict(q.with_cleaned(c, "code")))
 
 
 def _verdicts(spark, sf, ok_only=False):
-    c = _non_python(cr(spark, sf))
+    c = cr(spark, sf)
     if ok_only:
         c = c.filter("ok")
-    v = q.with_target_verdict(c.select("job_id", "id", "target", "ok", "code"), "code", "target", python=False)
-    return v.select("job_id", "id", "target", "ok", "validated", "reason")
+    v = q.with_target_verdict(c.select("job_id", "id", "target", "ok", "code"), "code", "target")
+    return _reason_class(v.select("job_id", "id", "target", "ok", "validated", "reason"))
 
 
 # D14 --------------------------------------------------------------------
-@query("target_verdict", with_cr("SELECT job_id, id, target, validated, reason FROM tvv", _verdict_sql(_NONPY)))
+@query("target_verdict", with_cr("SELECT job_id, id, target, validated, reason FROM tvv", _verdict_sql("true")))
 def target_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return _verdicts(spark, sf).drop("ok")
 
@@ -292,10 +312,10 @@ def target_verdict(spark: SparkSession, sf: str) -> DataFrame:
 SELECT l.job_id, l.id, l.ok AS success, coalesce(v.validated, false) AS validated,
        coalesce(v.reason, '{q.R_NOT_VALIDATED}') AS reason,
        CASE WHEN coalesce(v.validated, false) THEN 'passed' ELSE 'validation_failed' END AS validation_status
-FROM (SELECT * FROM conv_results WHERE {_NONPY}) l LEFT JOIN tvv v ON v.job_id = l.job_id AND v.id = l.id""",
-                                 _verdict_sql(f"{_NONPY} AND ok")))
+FROM conv_results l LEFT JOIN tvv v ON v.job_id = l.job_id AND v.id = l.id""",
+                                 _verdict_sql("ok")))
 def apply_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    ledger = _non_python(cr(spark, sf)).select("job_id", "id", F.col("ok").alias("success"))
+    ledger = cr(spark, sf).select("job_id", "id", F.col("ok").alias("success"))
     return q.apply_verdicts(ledger, _verdicts(spark, sf, ok_only=True))
 
 
@@ -303,7 +323,7 @@ def apply_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 @query("verdict_counts", with_cr("""
 SELECT job_id, CAST(count(*) FILTER (WHERE validated) AS BIGINT) AS n_passed,
        CAST(count(*) FILTER (WHERE NOT validated) AS BIGINT) AS n_failed, bool_and(validated) AS all_passed
-FROM tvv GROUP BY job_id""", _verdict_sql(f"{_NONPY} AND ok")))
+FROM tvv GROUP BY job_id""", _verdict_sql("ok")))
 def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
     return q.verdict_counts(_verdicts(spark, sf, ok_only=True))
 
@@ -313,7 +333,7 @@ _QUEUE_SQL = """SELECT v.job_id, v.id, v.reason, r.code AS generated_code, coale
 FROM tvv v JOIN conv_results r ON r.job_id = v.job_id AND r.id = v.id WHERE NOT v.validated"""
 
 
-@query("review_queue", with_cr(_QUEUE_SQL, _verdict_sql(f"{_NONPY} AND ok")))
+@query("review_queue", with_cr(_QUEUE_SQL, _verdict_sql("ok")))
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     c = cr(spark, sf)
     return q.review_queue(_verdicts(spark, sf, ok_only=True), c.select("job_id", "id", "code"),
@@ -324,18 +344,16 @@ def _triage(spark, sf):
     c = cr(spark, sf)
     queue = q.review_queue(_verdicts(spark, sf, ok_only=True), c.select("job_id", "id", "code"),
                            c.select("job_id", "id", "source_code"))
-    return q.retry_triage(queue, c.select("job_id", "id", "target", "retry_code"), python=False)
+    return _reason_class(q.retry_triage(queue, c.select("job_id", "id", "target", "retry_code")))
 
 
 def _triage_sql():
-    return _verdict_sql(f"{_NONPY} AND ok") + [("queue", _QUEUE_SQL)] + clean_ctes(
-        "(SELECT q.job_id, q.id, r.target, r.retry_code FROM queue q JOIN conv_results r USING (job_id, id))",
-        "job_id, id, target, retry_code", "retry_code", "rc", marker_step=False) + [
-        ("triage", f"""SELECT job_id, id, retry_code, CASE WHEN lower(target) IN {_SQLT}
-                THEN {d_sql_reason('cleaned', comments=False)} ELSE '{q.R_NO_RULE}' END AS reason FROM rc"""),
+    return _verdict_sql("ok") + [("queue", _QUEUE_SQL)] + clean_ctes(
+        "(SELECT q.job_id, q.id, r.turn, r.target, r.retry_code FROM queue q JOIN conv_results r USING (job_id, id))",
+        "job_id, id, turn, target, retry_code", "retry_code", "rc", marker_step=False) + [
+        ("triage", f"SELECT job_id, id, retry_code, {d_reason('cleaned', _PY_RETRY_GOOD, comments=False)} AS reason FROM rc"),
         ("triage2", f"""SELECT job_id, id, retry_code, reason,
-                CASE WHEN reason IN ('{q.R_SQL_OK}', '{q.R_NO_RULE}') THEN 'fixed' ELSE 'manual' END AS outcome
-                FROM triage""")]
+                CASE WHEN reason IN {_GOOD} THEN 'fixed' ELSE 'manual' END AS outcome FROM triage""")]
 
 
 # D18 --------------------------------------------------------------------
@@ -347,11 +365,11 @@ def retry_triage(spark: SparkSession, sf: str) -> DataFrame:
 # D19 --------------------------------------------------------------------
 @query("apply_fixes", with_cr(f"""
 SELECT c.job_id, c.id, coalesce({duck_trim('t.retry_code')}, c.code) AS code, t.retry_code IS NOT NULL AS was_fixed
-FROM (SELECT * FROM conv_results WHERE ok AND {_NONPY}) c
+FROM (SELECT * FROM conv_results WHERE ok) c
 LEFT JOIN (SELECT * FROM triage2 WHERE outcome = 'fixed') t ON t.job_id = c.job_id AND t.id = c.id""",
                               _triage_sql()))
 def apply_fixes(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _non_python(cr(spark, sf)).filter("ok").select("job_id", "id", "code")
+    chunks = cr(spark, sf).filter("ok").select("job_id", "id", "code")
     return q.apply_fixes(chunks, _triage(spark, sf)).select("job_id", "id", "code", "was_fixed")
 
 

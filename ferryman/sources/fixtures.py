@@ -187,8 +187,14 @@ def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_results_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a Python target (``conv_id % 4 = 0``) carry Python: the text as one string
+    literal, so that by the parameters alone kind 3 is comments only, kind 4 doesn't parse,
+    and all other kinds do; retried, kind 4 still doesn't parse where ``conv_id % 3 = 0``."""
     c = table(spark, sf_dir, "conversations")
-    a = c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("a_text"))
+    is_py = F.col("conv_id") % 4 == 0
+    literal = F.concat(F.lit('note = "'), F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), F.lit('"'))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.when(is_py, literal).otherwise(F.col("text")).alias("a_text"))
     u = c.filter(F.col("role") == "user").select(
         F.col("conv_id").alias("u_conv"), (F.col("turn") + 1).alias("u_next"), F.col("text").alias("u_text"))
     j = a.join(u, (a.conv_id == u.u_conv) & (a.turn == u.u_next), "inner")
@@ -205,7 +211,7 @@ def conv_results_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(CONV_TARGETS, F.col("conv_id") % 4).alias("target"),
         _pick(CONV_MODELS, F.col("conv_id") % 5).alias("model"),
         F.lit("llm").alias("stage"),
-        (F.when(kind == 4, F.concat(F.col("a_text"), F.lit(" ()")))
+        (F.when((kind == 4) & ~(is_py & (F.col("conv_id") % 3 == 0)), F.concat(F.col("a_text"), F.lit(" ()")))
          .otherwise(_conv_code(kind, F.col("a_text"), F.col("turn")))).alias("retry_code"),
     ).withColumns({
         "input_tokens": token_count("source_code"),
@@ -235,8 +241,10 @@ FROM (
     {_duck_list(CONV_TARGETS)}[a.conv_id % 4 + 1] AS target,
     {_duck_list(CONV_MODELS)}[a.conv_id % 5 + 1] AS model,
     'llm' AS stage,
-    CASE WHEN (a.conv_id + a.turn) % 6 = 4 THEN concat(a.text, ' ()') ELSE {_DUCK_CODE} END AS retry_code
-  FROM conversations a JOIN conversations u
+    CASE WHEN (a.conv_id + a.turn) % 6 = 4 AND a.conv_id % 12 <> 0 THEN concat(a.text, ' ()') ELSE {_DUCK_CODE} END AS retry_code
+  FROM (SELECT conv_id, turn, role, CASE WHEN conv_id % 4 = 0
+          THEN concat('note = "', regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), '"') ELSE text END AS text
+        FROM conversations) a JOIN conversations u
     ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
   WHERE a.role = 'assistant'
 ) t"""
