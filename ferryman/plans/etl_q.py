@@ -495,11 +495,15 @@ def type_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return etl.type_mapping(staged, _SRC_TYPES)
 
 
-# F37 (rows-only) ----------------------------------------------------------
-@query("hash_partition")
+# F37 --------------------------------------------------------------------
+@query("hash_partition", """
+SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_partitions
+FROM lineitem GROUP BY l_orderkey""")
 def hash_partition(spark: SparkSession, sf: str) -> DataFrame:
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return etl.hash_partition(li, None, ["l_orderkey"]).withColumn("pid", F.spark_partition_id())
+    dealt = etl.hash_partition(li, None, ["l_orderkey"]).withColumn("pid", F.spark_partition_id())
+    # every key's rows are in one partition
+    return dealt.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pid").alias("n_partitions"))
 
 
 # F38 --------------------------------------------------------------------

@@ -23,7 +23,7 @@ def with_ev(body):
 
 # E1 ---------------------------------------------------------------------
 @query("step_progress", with_ev("""
-SELECT job_id, event_id, CAST(n AS INTEGER) AS step_no,
+SELECT job_id, event_id, CAST(n AS BIGINT) AS step_no,
        CAST(least(99, floor(CAST(n AS DOUBLE) / 6 * 100)) AS INTEGER) AS progress
 FROM (SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM step_events)"""))
 def step_progress(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +51,7 @@ def job_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 # E4 ---------------------------------------------------------------------
 @query("job_log", with_ev("""
-SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS INTEGER) AS seq, ts,
+SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS BIGINT) AS seq, ts,
        concat_ws(':', step, status) AS entry
 FROM step_events"""))
 def job_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,8 +67,13 @@ def step_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.step_transitions(ev(spark, sf))
 
 
-# E6 (rows-only: stateful stream) ------------------------------------------
-@query("job_state_stream")
+# E6 ---------------------------------------------------------------------
+@query("job_state_stream", with_ev(f"""
+SELECT job_id, CAST(count(*) AS BIGINT) AS n_steps, arg_max(step, (ts, event_id)) AS latest_step,
+       arg_max(status, (ts, event_id)) AS latest_status,
+       CAST(least(99, floor(CAST(count(*) AS DOUBLE) / 6 * 100)) AS INTEGER) AS progress,
+       coalesce(arg_min(status, (ts, event_id)) FILTER (WHERE status IN {_TERM}), 'running') AS outcome
+FROM step_events GROUP BY job_id"""))
 def job_state_stream(spark: SparkSession, sf: str) -> DataFrame:
     # the event files are the stream's input: laid down once per application
     n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,20 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ferryman.operators.jobs import PROGRESS_CAP, TERMINAL, TOTAL_STEPS
+from ferryman.operators.jobs import job_state
 
 EVENT_SCHEMA = "job_id bigint, event_id bigint, ts timestamp_ntz, step string, status string"
 
-STATE_SCHEMA = ("n long, l_ts long, l_eid long, l_step string, l_status string, "
-                "t_ts long, t_eid long, t_status string")
-OUT_SCHEMA = ("job_id long, n_steps long, latest_step string, latest_status string, "
-              "progress int, outcome string")
-
 
 def write_event_files(ev: DataFrame, path: str, n_files: int | None = None) -> int:
     """Lay events down as parquet files, each a ts range; returns the count.
@@ -37,52 +30,20 @@ def write_event_files(ev: DataFrame, path: str, n_files: int | None = None) -> i
     return n
 
 
-def _merge_state(key, pdfs, state):
-    """Per-job state: count, latest (ts, event_id) event, first terminal event.
-
-    Every field is an order-free merge (count, max, min), so micro-batches
-    arriving out of ts order still give the batch answer.
-    """
-    if state.exists:
-        n, l_ts, l_eid, l_step, l_status, t_ts, t_eid, t_status = state.get
-    else:
-        n, l_ts, l_eid, l_step, l_status, t_ts, t_eid, t_status = 0, None, None, None, None, None, None, None
-    for pdf in pdfs:
-        if pdf.empty:
-            continue
-        n += len(pdf)
-        pdf = pdf.sort_values(["ts_us", "event_id"])
-        last = pdf.iloc[-1]
-        if l_ts is None or (int(last.ts_us), int(last.event_id)) > (l_ts, l_eid):
-            l_ts, l_eid, l_step, l_status = int(last.ts_us), int(last.event_id), last.step, last.status
-        term = pdf[pdf.status.isin(TERMINAL)]
-        if len(term):
-            first = term.iloc[0]
-            if t_ts is None or (int(first.ts_us), int(first.event_id)) < (t_ts, t_eid):
-                t_ts, t_eid, t_status = int(first.ts_us), int(first.event_id), first.status
-    state.update((n, l_ts, l_eid, l_step, l_status, t_ts, t_eid, t_status))
-    prog = min(PROGRESS_CAP, int(n / TOTAL_STEPS * 100))
-    yield pd.DataFrame({"job_id": [int(key[0])], "n_steps": [n], "latest_step": [l_step],
-                        "latest_status": [l_status], "progress": [prog],
-                        "outcome": [t_status if t_status is not None else "running"]})
-
-
 def job_state_stream(spark: SparkSession, src: str, out: str, checkpoint: str,
                      max_files_per_trigger: int = 2) -> DataFrame:
-    """Per-job state over a stream (``applyInPandasWithState``, update mode).
+    """Per-job state over a stream: the batch aggregation (count, ``max_by``,
+    ``min_by`` with a filter) in update mode. All of it merges in any order, so
+    micro-batches out of ts order give the batch answer, and a hot job costs each
+    task one partial row.
 
     Each micro-batch's updated states are appended to ``out`` with their
     batch id; the current state per job is the row of the latest batch.
     Runs to completion with an ``availableNow`` trigger.
     """
     ev = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-          .parquet(src)
-          # microseconds from the epoch on the zone-free value: no session
-          # time zone (and no DST fold) enters the event order
-          .withColumn("ts_us", F.timestamp_diff(
-              "MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))))
-    states = ev.select("job_id", "event_id", "ts_us", "step", "status").groupBy("job_id") \
-        .applyInPandasWithState(_merge_state, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+          .parquet(src))
+    states = job_state(ev)
 
     def sink(df: DataFrame, batch_id: int) -> None:
         df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
@@ -102,7 +63,8 @@ def current_state(spark: SparkSession, out: str) -> DataFrame:
 
 def job_latest_stream(spark: SparkSession, src: str, out: str, checkpoint: str) -> DataFrame:
     """E2 streaming: ``groupBy(job).agg(max_by)`` in complete mode, each batch
-    rewriting the result folder (small: one row per job)."""
+    writing the next version of the result (one row per job) as its own folder, so
+    that readers of an earlier one are not disturbed."""
     ev = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src)
     agg = ev.groupBy("job_id").agg(
         F.max_by(F.struct("step", "status", "ts"), F.struct("ts", "event_id")).alias("l"),
@@ -110,12 +72,12 @@ def job_latest_stream(spark: SparkSession, src: str, out: str, checkpoint: str)
 
     def sink(df: DataFrame, batch_id: int) -> None:
         df.select("job_id", "l.step", "l.status", F.col("l.ts").alias("latest_ts"), "n_events") \
-            .write.mode("overwrite").parquet(out)
+            .write.mode("overwrite").parquet(f"{out}/v={batch_id:08d}")
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return latest_version(spark, out)
 
 
 def incremental_stream(spark: SparkSession, src: str, schema: str, target: str, keys: Sequence[str],
