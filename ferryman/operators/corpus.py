@@ -203,15 +203,19 @@ def output_names(filename: Column, target: Column) -> dict[str, Column]:
             "before_name": F.concat(F.lit("Before_Optimized_"), s, e)}
 
 
+#: ours: a null in a CSV sink; no value looks like it, since a backslash of a value is doubled
+NULL_MARK = "\\N"
+
+
 def write_csv_all_quoted(df: DataFrame, path: str) -> None:
-    """Every field quoted, quotes doubled, ``\\n`` line ends, header row, and
+    """Every field quoted, nulls as ``NULL_MARK``, quotes doubled, ``\\n`` line ends, header row, and
     a backslash in the data written as two (the escape character escapes
     itself, as Python's csv writer does with ``escapechar='\\\\'``)."""
     bs = F.lit("\\")
     df = df.select(*[F.replace(F.col(f.name), bs, F.lit("\\\\")).alias(f.name)
                      if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
     (df.write.mode("overwrite").option("header", True).option("quoteAll", True)
-     .option("escape", '"').option("lineSep", "\n")
+     .option("escape", '"').option("lineSep", "\n").option("nullValue", NULL_MARK).option("emptyValue", "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
@@ -219,7 +223,7 @@ def write_csv_all_quoted(df: DataFrame, path: str) -> None:
 def read_csv_all_quoted(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Reads what :func:`write_csv_all_quoted` wrote, undoing the backslash escape."""
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').csv(path))
+          .option("escape", '"').option("nullValue", NULL_MARK).option("emptyValue", "").csv(path))
     return df.select(*[F.replace(F.col(f.name), F.lit("\\\\"), F.lit("\\")).alias(f.name)
                        if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
 

@@ -179,7 +179,7 @@ def keyed_row_number(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Co
     for k in keys:
         cond = cond & F.col(f"n.{k}").eqNullSafe(F.col(f"r.{k}"))
     out = numbered.alias("n").join(runs.alias("r"), cond)
-    rn = (F.col("n._ln") - F.col("r._first") + F.col("r._off") + 1).cast("int").alias(name)
+    rn = (F.col("n._ln") - F.col("r._first") + F.col("r._off") + 1).cast("bigint").alias(name)
     return out.select(*[F.col(f"n.{c}") for c in df.columns], rn)
 
 
@@ -195,17 +195,18 @@ def update_strategy(target: DataFrame, source: DataFrame, keys: Sequence[str],
                     compare: Sequence[str], reject: Column | None = None) -> DataFrame:
     """flag every key as INSERT / UPDATE / DELETE / UNCHANGED (/ REJECT).
 
-    One full outer join on the keys; row compare is null-safe.
+    One full outer join on the keys; row compare is null-safe. Which side has the
+    row is a flag of that side, so a row with a null key (equal to no other) is
+    flagged by the side it comes from.
     """
-    t = target.alias("t")
-    s = source.alias("s")
+    t = target.withColumn("_in_t", F.lit(True)).alias("t")
+    s = source.withColumn("_in_s", F.lit(True)).alias("s")
     cond = None
     for k in keys:
         c = F.col(f"t.{k}") == F.col(f"s.{k}")
         cond = c if cond is None else cond & c
     j = t.join(s, cond, "full_outer")
-    s_present = F.col(f"s.{keys[0]}").isNotNull()
-    t_present = F.col(f"t.{keys[0]}").isNotNull()
+    s_present, t_present = F.col("s._in_s").isNotNull(), F.col("t._in_t").isNotNull()
     flag = (F.when(~t_present, "INSERT").when(~s_present, "DELETE")
             .when(_row_equal(compare, "t", "s"), "UNCHANGED").otherwise("UPDATE"))
     if reject is not None:
@@ -214,12 +215,31 @@ def update_strategy(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return j.select(*out_keys, flag.alias("change_flag"))
 
 
-def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def one_per_key(source: DataFrame, keys: Sequence[str], newest: Sequence[ColLike] | None = None) -> DataFrame:
+    """Source rows fit for an upsert. With ``newest``, the last row of each key in
+    that order (a tie goes either way; name enough columns); without, a key that
+    stands several times fails the job, since the target's key would not be unique.
+    Rows with a null key match nothing and are all kept."""
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    if newest is not None:
+        w = Window.partitionBy(*keys).orderBy(*[_col(c).desc() for c in newest])
+        return source.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") == 1) | some_null).drop("_rn")
+    counted = source.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    stop = F.raise_error(F.lit("duplicate source key in an upsert: " + ", ".join(keys))).cast("boolean")
+    return counted.filter(F.when((F.col("_n") > 1) & ~some_null, stop).otherwise(F.lit(True))).drop("_n")
+
+
+def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
+                 newest: Sequence[ColLike] | None = None) -> DataFrame:
     """MATCHED -> source row, NOT MATCHED -> insert; other target rows kept.
 
     (target LEFT ANTI source) UNION ALL source; the caller writes it to a
-    *new* path (never over the path being read).
+    *new* path (never over the path being read). For duplicate source keys see
+    :func:`one_per_key`.
     """
+    source = one_per_key(source, keys, newest)
     kept = target.join(source.select(*keys), on=list(keys), how="left_anti")
     return kept.unionByName(source.select(*target.columns))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,13 +102,15 @@ def intck_day(a: Column, b: Column) -> Column:
 
 
 def scan(s: Column, n: int, delim: str = " ") -> Column:
-    """SCAN(s, n, delim): n-th word (1-based)."""
-    return F.split_part(s, F.lit(delim), F.lit(n))
+    """SCAN(s, n, delim): n-th word (1-based; negative: from the end). Every character of
+    ``delim`` is a delimiter, a run of them counts as one, and leading and trailing ones
+    are skipped; '' where there is no such word."""
+    words = F.filter(F.split(s, "[" + re.escape(delim) + "]+"), lambda w: w != "")
+    return F.when(s.isNotNull(), F.coalesce(F.try_element_at(words, F.lit(n)), F.lit("")))
 
 
 def compress(s: Column, chars: str = " ") -> Column:
     """COMPRESS(s, chars): remove every listed character."""
-    import re
     return F.regexp_replace(s, "[" + re.escape(chars) + "]", "")
 
 

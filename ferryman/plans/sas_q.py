@@ -15,11 +15,11 @@ from ferryman.sources.tables import literal_table, table
 @query("data_step_set", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, NULL AS o_orderpriority FROM orders WHERE o_orderstatus = 'F'
 UNION ALL
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'P'""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'""")
 def data_step_set(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     a = o.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    b = o.filter("o_orderstatus = 'P'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+    b = o.filter("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                 "o_orderpriority")
     return sas.data_step_set(a, b)  # SET a b; b's extra variable is missing in a's rows
 

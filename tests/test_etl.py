@@ -151,3 +151,36 @@ def test_get_spark_leaves_a_running_session_partitions_alone(spark):
         assert s.conf.get("spark.sql.shuffle.partitions") == "13"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_null_keys_are_flagged_by_their_side(spark):
+    t = spark.createDataFrame([(1, "a"), (None, "b")], "k bigint, v string")
+    s = spark.createDataFrame([(1, "x"), (None, "c"), (2, "d")], "k bigint, v string")
+    got = sorted((r.k or 0, r.change_flag) for r in etl.update_strategy(t, s, ["k"], ["v"]).collect())
+    assert got == [(0, "DELETE"), (0, "INSERT"), (1, "UPDATE"), (2, "INSERT")]
+
+
+def test_upsert_takes_the_newest_or_rejects_duplicate_keys(spark):
+    import pytest
+    t = spark.createDataFrame([(1, "a", 0), (3, "z", 0)], "k bigint, v string, at bigint")
+    s = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 1)], "k bigint, v string, at bigint")
+    got = sorted(tuple(r) for r in etl.merge_upsert(t, s, ["k"], newest=["at"]).collect())
+    assert got == [(1, "c", 2), (2, "d", 1), (3, "z", 0)]
+    with pytest.raises(Exception, match="duplicate source key"):
+        etl.merge_upsert(t, s, ["k"]).collect()
+
+
+def test_scan_skips_runs_of_delimiters(spark):
+    from ferryman.operators import sas
+    df = spark.createDataFrame([("a  b c",), ("  x",), ("",), (None,)], "s string")
+    got = [tuple(r) for r in df.select(sas.scan(F.col("s"), 2), sas.scan(F.col("s"), -1)).collect()]
+    assert got == [("b", "c"), ("", "x"), ("", ""), (None, None)]
+
+
+def test_csv_keeps_empty_strings_and_nulls_apart(spark, tmpdir_path):
+    from ferryman.operators import corpus
+    rows = [("", "y", 1), (None, "\\N", None), ("a\"b", "c\nd", 2)]
+    schema = "a string, b string, n bigint"
+    corpus.write_csv_all_quoted(spark.createDataFrame(rows, schema).coalesce(1), tmpdir_path + "/csv")
+    got = [tuple(r) for r in corpus.read_csv_all_quoted(spark, tmpdir_path + "/csv", schema).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
