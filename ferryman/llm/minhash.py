@@ -149,18 +149,22 @@ def _sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     held = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "part", "text")
     grams = keep(held.mapInArrow(task, "node long, part long, n long, gram long"), "open-shingles")
-    several = keep(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
+    # a shingle that only one part holds is in no link between parts: these come first in the order, then the rest by frequency
+    several = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    several = keep(several.select("gram", "df"), "shared-shingles")
     own = Window.partitionBy("node")
-    # a shingle's place in its set's order: after all shingles that no other open set has
     shared = grams.join(several, "gram").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("df", "gram")))
     prefix = keep(shared.filter(F.col("place") <= F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")).select("gram", "node", "part", "n", "place"), "prefixes")
-    one = prefix.select("gram", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("place").alias("ia"))
-    two = prefix.select("gram", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
-    near = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    # each pair has a member outside the part that holds a shingle most often: rows are never paired within that part
+    most = prefix.groupBy("gram", "part").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.max(F.struct("rows", "part")).alias("m"), F.count("*").alias("parts"))
+    placed = keep(prefix.join(most.filter("parts > 1").select("gram", F.col("m.part").alias("home")), "gram"), "placed-prefixes")
+    one = placed.select("gram", "home", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("place").alias("ia"))
+    two = placed.filter("part <> home").select("gram", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("place").alias("ib"))
+    near = (F.col("pa") != F.col("pb")) & ((F.col("pa") == F.col("home")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     # from the first common shingle on, enough must be left in both sets for the limit
     near = near & ((100 + PERCENT) * (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) >= PERCENT * (F.col("na") + F.col("nb")))
-    pairs = keep(one.join(two, "gram").filter(near).select("a", "b").distinct(), "open-pairs")
-    drop(nodes.sparkSession, grams, several, prefix)
+    pairs = keep(one.join(two, "gram").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open-pairs")
+    drop(nodes.sparkSession, grams, several, prefix, placed)
     return pairs
 
 
