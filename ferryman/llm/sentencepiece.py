@@ -30,7 +30,7 @@ from .textblock import U64, Hasher, blocks, byte_codes, column, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: distinct words that a task holds encoded at most, before it starts anew
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 class Vocabulary:
@@ -38,12 +38,8 @@ class Vocabulary:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], spelled: list[bytes]):
         self.pieces, self.byte_ids, self.spelled = pieces, byte_ids, spelled
-        #: length of the longest piece that ends with a character
-        self.longest: dict[str, int] = {}
-        for p in pieces:
-            self.longest[p[-1]] = max(len(p), self.longest.get(p[-1], 0))
-        #: score of a byte: worse than any piece
-        self.byte_score = min((s for _, s in pieces.values()), default=0.0) - 10.0
+        #: score of a byte: below zero and worse than any piece
+        self.byte_score = min([0.0, *(s for _, s in pieces.values())]) - 10.0
 
     @classmethod
     def read(cls, path: str = MODEL) -> Vocabulary:
@@ -65,14 +61,46 @@ class Vocabulary:
         return cls(pieces, byte_ids, spelled)
 
 
-def encode_sorted(words: list[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
+class Endings:
+    """Which pieces end at a character of a word, by one look-up for each character.
+
+    A state stands for the longest ending of what was read that some piece begins with; all
+    pieces that end there are endings of it. States and steps are made when first met.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.pieces = vocabulary.pieces
+        self.begins = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
+        self.number = {"": 0}
+        self.read = [""]
+        #: by state: the next state for each character
+        self.steps: list[dict[str, int]] = [{}]
+        #: by state: (length, score, id) of the pieces that end there, longest first
+        self.found: list[list[tuple[int, float, int]]] = [[]]
+
+    def step(self, state: int, char: str) -> int:
+        read = self.read[state] + char
+        while read and read not in self.begins:
+            read = read[1:]
+        to = self.number.setdefault(read, len(self.read))
+        if to == len(self.read):
+            self.read.append(read)
+            self.steps.append({})
+            ends = [read[i:] for i in range(len(read)) if read[i:] in self.pieces]
+            self.found.append([(len(p), self.pieces[p][1], self.pieces[p][0]) for p in ends])
+        self.steps[state][char] = to
+        return to
+
+
+def encode_sorted(words: list[str], vocabulary: Vocabulary, endings: Endings | None = None) -> Iterator[list[int]]:
     """Piece ids of each word; the words come in order, so that shared prefixes stand next to each other.
 
-    ``score[i]``, ``back[i]``, ``piece[i]``: best sum for the first i characters, where its last
-    piece starts, and that piece's id (-1: the character goes by bytes).
+    ``score[i]``, ``back[i]``, ``piece[i]``, ``state[i]``: best sum for the first i characters, where its
+    last piece starts, that piece's id (-1: the character goes by bytes), and the pieces that can end there.
     """
-    pieces, longest, low = vocabulary.pieces, vocabulary.longest, vocabulary.byte_score
-    score, back, piece = [0.0], [0], [-1]
+    low, endings = vocabulary.byte_score, endings or Endings(vocabulary)
+    steps, matches = endings.steps, endings.found
+    score, back, piece, state = [0.0], [0], [-1], [0]
     before = ""
     for word in words:
         n, shared = len(word), 0
@@ -80,19 +108,25 @@ def encode_sorted(words: list[str], vocabulary: Vocabulary) -> Iterator[list[int
             if x != y:
                 break
             shared += 1
-        del score[shared + 1 :], back[shared + 1 :], piece[shared + 1 :]
+        del score[shared + 1 :], back[shared + 1 :], piece[shared + 1 :], state[shared + 1 :]
+        at = state[shared]
         for end in range(shared + 1, n + 1):
-            best, start, found = float("-inf"), end - 1, -1
-            for begin in range(max(0, end - longest.get(word[end - 1], 0)), end):
-                hit = pieces.get(word[begin:end])
-                if hit is not None and score[begin] + hit[1] > best:
-                    best, start, found = score[begin] + hit[1], begin, hit[0]
-            by_bytes = score[end - 1] + low * len(word[end - 1].encode())
-            if found < 0 or by_bytes > best:
-                best, start, found = by_bytes, end - 1, -1
+            char = word[end - 1]
+            to = steps[at].get(char)
+            at = endings.step(at, char) if to is None else to
+            best, size, found = float("-inf"), 1, -1
+            for fit, worth, number in matches[at]:
+                total = score[end - fit] + worth
+                if total > best:
+                    best, size, found = total, fit, number
+            if found < 0 or fit > 1:  # a character that is a piece itself is never better by bytes
+                by_bytes = score[end - 1] + low * len(char.encode())
+                if by_bytes > best:
+                    best, size, found = by_bytes, 1, -1
             score.append(best)
-            back.append(start)
+            back.append(end - size)
             piece.append(found)
+            state.append(at)
         ids: list[int] = []
         at = n
         while at:
@@ -129,6 +163,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        self.endings = Endings(self.vocabulary)
         self.known: dict[int, int] = {}
         self.ids, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -146,7 +181,7 @@ class Encoder:
         new = [(marked[begin[w] : begin[w + 1]].tobytes().decode(), k) for k, w in zip(distinct.tolist(), where.tolist(), strict=True) if k not in self.known]
         if new:
             new.sort()
-            found = list(encode_sorted([w for w, _ in new], self.vocabulary))
+            found = list(encode_sorted([w for w, _ in new], self.vocabulary, self.endings))
             self.known.update((k, len(self.off) - 1 + i) for i, (_, k) in enumerate(new))
             self.ids = np.concatenate([self.ids, np.fromiter((x for f in found for x in f), np.int32)])
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(f) for f in found])])
