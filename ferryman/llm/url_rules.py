@@ -5,8 +5,8 @@ path; the longest wins.
 
 *Mined rules.* Spark's FP-growth mines combinations of URL tokens (scheme, host, host names,
 path words, file ending, query keys, fragment) together with the label of the page. A page is
-labelled if the last number in its URL is a labelled document: ``block`` if that is toxic or
-of low quality. Rules "tokens -> block" are kept above a support, a confidence and a lift, and
+labelled if the last number in its path (not in host, query or fragment) is a labelled document:
+``block`` if that is toxic or of low quality. Rules "tokens -> block" are kept above a support, a confidence and a lift, and
 if no rule with fewer of their tokens is as sure. They are matched by an inverted index: each
 rule is filed under its rarest token, and a URL looks up its own tokens only.
 
@@ -73,7 +73,7 @@ def tokens():
 
 def mine(pages: DataFrame, labels: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = MIN_LIFT) -> DataFrame:
     """rule_id, tokens, confidence, support of the rules "tokens -> block"."""
-    number = F.expr("try_cast(try_element_at(regexp_extract_all(url, '[0-9]+', 0), -1) as bigint)")
+    number = F.expr("try_cast(try_element_at(regexp_extract_all(path, '[0-9]+', 0), -1) as bigint)")
     bad = F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad")
     label = labels.groupBy("doc_id").agg(bad)
     baskets = pages.withColumn("doc_id", number).join(label, "doc_id").select(F.array_append("tokens", F.when(F.col("bad") == 1, BLOCK).otherwise(ALLOW)).alias("items"))
@@ -105,7 +105,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence (of the surest mined rule that fits, else null) of every row."""
     spark = pages.sparkSession
     parts = with_parts(pages.select("page_id", "url")).withColumn("tokens", tokens())
-    mined = mine(parts.select("url", "tokens"), labels)
+    mined = mine(parts.select("path", "tokens"), labels)
     found = keep(matches(parts.select("tokens").distinct(), mined), "rule-matches")
     drop(spark, mined)
     out = parts.join(found, "tokens", "left").withColumn("fixed", fixed_rule(rules))

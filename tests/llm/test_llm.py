@@ -244,6 +244,17 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
+def test_pages_are_labelled_by_their_path(spark):
+    """Document 2 is clean and 1 is toxic: numbers of host, query and fragment name no document."""
+    bad = [(100 + i, f"http://evil.org/spam/{10 + i}?page=2&ref=x") for i in range(40)]
+    good = [(200 + i, f"http://good.org/ham/{60 + i}.html?page=1#1") for i in range(40)]
+    none = [(300 + i, f"http://h1.org/home?page=1&n={i}") for i in range(40)]
+    pages = spark.createDataFrame([*bad, *good, *none], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), *((10 + i, 1, 1) for i in range(40)), *((60 + i, 1, 0) for i in range(40))], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.confidence) for r in url_rules.judge(pages, labels).collect()}
+    assert got == {**{i: ("block", 1.0) for i, _ in bad}, **{i: ("allow", None) for i, _ in good + none}}
+
+
 def test_mined_rules_are_matched_as_sets(spark):
     rng = random.Random(3)
     sets = [sorted(rng.sample("abcdefgh", rng.randrange(1, 6))) for _ in range(80)]
