@@ -21,9 +21,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, and of rows with one doc_id one row; rows without doc_id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.filter("doc_id is null"))
+    """Of each group of near duplicates the document with the smallest doc_id, and of rows equal in doc_id and text one row; rows without doc_id stay."""
+    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("rid").distinct()
+    # the document travels as one column, so that no name of its own clashes
+    rows = docs.filter("doc_id is not null").select(minhash.row_id(), F.struct("*").alias("doc"))
+    return rows.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).select("doc.*").unionAll(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

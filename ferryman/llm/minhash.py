@@ -2,10 +2,11 @@
 
 A document's set is its distinct 5-word shingles (A-Z lower-cased, words
 ``[^\\x20\\x09-\\x0D]+``; with fewer words, the whole sequence as one). Two documents are linked
-if 100 * intersection >= 75 * union; components are by smallest doc_id reachable.
+if 100 * intersection >= 75 * union; components are by smallest doc_id reachable. The nodes are
+row ids, hashes of doc_id and text, so a doc_id that stands on different texts is a document for each.
 
 1. Signatures: ``BANDS * ROWS`` minima under universal hash functions a*x + b.
-2. Documents with equal sets are one class, held by its smallest doc_id; only these go on.
+2. Documents with equal sets are one class, held by its smallest row id; only these go on.
 3. Banding: classes that agree on all rows of a band share a bucket. At a resemblance of 0.75
    a pair misses all 40 bands with a chance of 2.5e-7.
 4. Stars: each class in a bucket is compared with the bucket's smallest. Components of these
@@ -16,8 +17,9 @@ if 100 * intersection >= 75 * union; components are by smallest doc_id reachable
 5. A pair is compared by set sizes, then by signature, then by the full sets.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; a null
-doc_id is linked with nothing (component null, kept); rows that repeat a doc_id are one node;
-an empty table gives an empty result; further columns are not read.
+doc_id is linked with nothing (component null, kept); rows equal in doc_id and text are one node
+and are kept or not together; of rows of one component with the smallest doc_id but different texts
+the one with the smallest row id is kept; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -51,8 +53,13 @@ def sets_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys & U64((1 << 52) - 1), np.searchsorted(text, np.arange(len(off)))
 
 
+def row_id():
+    """The row id, from doc_id and text."""
+    return F.xxhash64("doc_id", "text").alias("rid")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set), bands, sig."""
+    """rid, doc_id, n_shingles, fp1, fp2 (fingerprint of the set), bands, sig."""
     rng = np.random.default_rng(8)
     mult = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
     plus = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -80,17 +87,17 @@ def signatures(docs: DataFrame) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), flat)
             rows = pa.array([s.tobytes() for s in sig], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(size.astype(np.int64)), *(pa.array(f.view(np.int64)) for f in fp), bands, rows],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"],
+                [column(batch, "rid"), column(batch, "doc_id"), pa.array(size.astype(np.int64)), *(pa.array(f.view(np.int64)) for f in fp), bands, rows],
+                names=["rid", "doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary")
+    return docs.select("rid", "doc_id", "text").mapInArrow(task, "rid long, doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary")
 
 
 def _promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose set sizes and signatures allow a link."""
-    one = sigs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    two = sigs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
+    one = sigs.select(F.col("rid").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
+    two = sigs.select(F.col("rid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +133,8 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep_rows = pa.array(good)
                 yield pa.RecordBatch.from_arrays([column(left, "a").filter(keep_rows), column(left, "b").filter(keep_rows)], names=["a", "b"])
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    one = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
@@ -169,21 +176,22 @@ def _sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+    """rid, doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
+    docs = docs.select(row_id(), "doc_id", "text")
     sigs = keep(signatures(docs), "signatures")
-    classes = keep(sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "set-classes")
-    # one row for each class, also where a doc_id or a whole row stands several times
-    held = keep(sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"]), "class-rows")
+    classes = keep(sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("rid").alias("rep"), F.min(F.struct("doc_id", "rid")).alias("first")), "set-classes")
+    # one row for each class, also where a whole row stands several times
+    held = keep(sigs.join(classes.withColumnRenamed("rep", "rid"), ["fp1", "fp2", "n_shingles", "rid"], "left_semi").dropDuplicates(["rid"]), "class-rows")
 
-    banded = held.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    banded = held.select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"))
     buckets = keep(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("most")).filter("head <> most").select("bucket", "head"), "buckets")
     members = keep(banded.join(buckets, "bucket").distinct(), "bucket-members")
     stars = keep(members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     near = keep(_promising(stars, held), "near-stars")
 
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = keep(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    ids = members.select(F.col("node").alias("rid")).distinct()
+    texts = keep(docs.join(ids, "rid", "left_semi").dropDuplicates(["rid"]), "candidate-texts")
     links = keep(_linked(near, texts), "star-links")
     label = keep(components(links), "star-components")
 
@@ -191,13 +199,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = keep(labelled, "labelled")
     mixed = keep(labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket"), "mixed-buckets")
     left = keep(labelled.join(mixed, "bucket", "left_semi").select("node", "part").distinct(), "open-nodes")
-    rest = _sharing_rare(left, texts).join(stars, ["a", "b"], "left_anti")
+    rest = _sharing_rare(left, texts.select(F.col("rid").alias("doc_id"), "text")).join(stars, ["a", "b"], "left_anti")
     more = keep(_linked(keep(_promising(rest, held), "near-rest"), texts), "rest-links")
     final = keep(components(links.unionAll(more)), "components")
 
-    of_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "fp1", "fp2").join(keep(of_class, "class-components"), ["fp1", "fp2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    out = keep(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates")
-    drop(spark, sigs, classes, held, buckets, members, stars, near, texts, links, label, labelled, mixed, left, more, final)
+    of_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of_class = keep(of_class.select("fp1", "fp2", "n_shingles", "first", "component"), "class-components")
+    # back from row ids: each component is named by its smallest doc_id
+    firsts = keep(of_class.groupBy("component").agg(F.min("first").alias("least")), "component-firsts")
+    named = keep(of_class.join(firsts, "component").select("fp1", "fp2", "n_shingles", "least"), "named-classes")
+    out = sigs.select("rid", "doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"], "left")
+    alone = F.col("doc_id").isNull() | F.col("least").isNull()
+    out = out.select("rid", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id"), (alone | (F.col("least.rid") == F.col("rid"))).alias("kept"))
+    out = keep(out, "near-duplicates")
+    drop(spark, sigs, classes, held, buckets, members, stars, near, texts, links, label, labelled, mixed, left, more, final, of_class, firsts, named)
     return out

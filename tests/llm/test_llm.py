@@ -130,6 +130,24 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_doc_id_on_different_texts(spark):
+    """Each text of a doc_id has its own links, and the pipeline drops no text that is no near duplicate."""
+    import corpus_pipeline
+
+    words = lambda name: [f"{name}{i}" for i in range(100)]
+    one, two, other, last = (" ".join(words(n)) for n in "abcd")
+    near = lambda text: text + " more words"
+    rows = [(1, near(one)), (2, near(two)), (5, one), (5, two), (5, other), (5, other), (7, last), (7, near(last)), (8, last), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0)).withColumn("rid", F.lit("clash")).repartition(3)
+    got = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 5), (5, 5), (7, 7), (7, 7), (8, 7), (9, 9), (9, 9)]
+    assert sorted((r.doc_id, r.component_id) for r in got if r.kept and r.doc_id != 7) == [(1, 1), (2, 2), (5, 5), (5, 5), (9, 9), (9, 9)]
+    assert sum(r.kept for r in got if r.doc_id == 7) == 1
+    left = corpus_pipeline.drop_near_duplicates(spark, df, None).collect()
+    assert {(r.doc_id, r.text) for r in left if r.doc_id != 7} == {(1, near(one)), (2, near(two)), (5, other), (9, None), (9, "")}
+    assert sum(r.doc_id == 7 for r in left) == 1 and len(left) == 6
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
