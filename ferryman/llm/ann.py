@@ -13,7 +13,8 @@ gets all candidates if there are fewer.
 
 Vectors that are null, zero, of another length than ``dim`` or hold a null or non-finite
 component take no part, nor do rows without vec_id. Ties go to the smaller vec_id; rows that
-repeat a vec_id count once; an empty table gives an empty result.
+repeat a vec_id and its embedding count once; a vec_id with several embeddings is searched by
+and found by each of them, and counts once, with its best score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,12 +91,12 @@ def in_chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Adds chunk: vectors of a large bucket are dealt over chunks, visits go to each of them."""
     large = keep(rows.filter("probe = 0").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > chunk), "large-buckets")
     both = rows.join(large, "bucket", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("id", "vec"), F.col("chunks")).cast("int"))
     return both.select("bucket", "probe", "id", "vec", F.explode(F.when(F.col("probe") == 0, own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("chunk"))
 
 
 def nearest_in_buckets(rows: DataFrame, dim: int, k: int = K) -> DataFrame:
-    """query_id, vec_id, score: the k nearest of each bucket for each visit."""
+    """query_id, vec_id, score: the k nearest vec_ids of each bucket for each visit."""
 
     def best(vec_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
         length, query_length = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
@@ -103,11 +104,16 @@ def nearest_in_buckets(rows: DataFrame, dim: int, k: int = K) -> DataFrame:
         # vectors come by vec_id: a tiny step for each place puts the smaller vec_id first among equal scores
         score -= np.arange(len(vec_ids)) * 1e-15
         score[query_ids[:, None] == vec_ids[None, :]] = -9
+        own = np.flatnonzero(np.r_[True, vec_ids[1:] != vec_ids[:-1]])
+        if len(own) < len(vec_ids):
+            # of the vectors of one vec_id the best stays, so that it takes one of the k places
+            top = np.repeat(np.maximum.reduceat(score, own, axis=1), np.diff(np.r_[own, len(vec_ids)]), axis=1)
+            score[score < top] = -9
         take = min(k, len(vec_ids))
         pick = np.argpartition(-score, take - 1, axis=1)[:, :take]
         who = np.repeat(np.arange(len(query_ids)), take)
         pick = pick.reshape(-1)
-        other = vec_ids[pick] != query_ids[who]
+        other = score[who, pick] > -9
         who, pick = who[other], pick[other]
         exact = (queries[who] * vectors[pick]).sum(axis=1) / (query_length[who] * length[pick])
         return pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(vec_ids[pick]), pa.array(exact)], names=["query_id", "vec_id", "score"])
@@ -129,19 +135,24 @@ def nearest_in_buckets(rows: DataFrame, dim: int, k: int = K) -> DataFrame:
                     if len(ids):
                         yield best(ids, vectors, row_ids[i : min(i + 256, b)], raw[i : min(i + 256, b)])
 
-    ordered = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "probe", "id")
+    ordered = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "probe", "id", "vec")
     return ordered.select("bucket", "chunk", "probe", "id", "vec").mapInArrow(task, "query_id long, vec_id long, score double")
 
 
+def best_of_pairs(found: DataFrame) -> DataFrame:
+    """query_id, vec_id and their best score."""
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def search(vectors: DataFrame, queries_every: int, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every vector whose vec_id is divisible by ``queries_every``."""
     spark = vectors.sparkSession
     good = usable(vectors)
     dim = good.agg(F.mode(F.size("embedding"), True)).first()[0] or 1
-    # rows that repeat a vec_id count once
-    rows = keep(hashed(good.dropDuplicates(["vec_id"]), queries_every, dim), "hashed-vectors")
-    found = keep(nearest_in_buckets(in_chunks(rows), dim, k).dropDuplicates(["query_id", "vec_id"]), "candidates")
-    queries = rows.filter("probe = 1").select(F.col("id").alias("query_id"), "vec").dropDuplicates(["query_id"])
+    # rows that repeat a vec_id and its embedding count once
+    rows = keep(hashed(good.dropDuplicates(["vec_id", "embedding"]), queries_every, dim), "hashed-vectors")
+    found = keep(best_of_pairs(nearest_in_buckets(in_chunks(rows), dim, k)), "candidates")
+    queries = rows.filter("probe = 1").select(F.col("id").alias("query_id"), "vec").distinct()
     short = queries.join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k)
     short = keep(short.select(F.col("query_id").alias("id"), "vec"), "short-queries")
     if not short.isEmpty():
@@ -150,7 +161,7 @@ def search(vectors: DataFrame, queries_every: int, k: int = K) -> DataFrame:
         cells = first.groupBy().agg(F.collect_set("bucket").alias("buckets")).first().buckets
         everywhere = short.select(F.explode(F.array(*[F.lit(c) for c in cells])).alias("bucket"), F.lit(True).alias("first"), F.lit(1).alias("probe"), "id", "vec")
         more = nearest_in_buckets(in_chunks(keep(first.unionByName(everywhere), "all-buckets")), dim, k)
-        found = found.unionAll(more).dropDuplicates(["query_id", "vec_id"])
+        found = best_of_pairs(found.unionAll(more))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = keep(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
     drop(spark, rows, short)

@@ -366,6 +366,15 @@ def test_nearest_finds_all_of_a_few(spark):
     assert ann.search(df.limit(0), 2).count() == 0
 
 
+def test_nearest_takes_all_embeddings_of_a_vec_id(spark):
+    """Few vectors, so that every query sees all: 40 embeddings of 7 fill one place only, and 0 is searched by both of its own."""
+    axis = lambda i, x=0.0: [1.0 if k == i else x if k == 15 else 0.0 for k in range(16)]
+    rows = [(0, axis(0)), (0, axis(1)), (7, axis(5)), *((7, axis(0, 0.001 * i)) for i in range(40)), (1, axis(1, 0.2)), (2, axis(0, 0.3)), (3, axis(0, 0.4)), (4, axis(1, 0.5)), (5, axis(4))]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), 10).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, i + 1, v) for i, v in enumerate([7, 1, 2, 3, 4])]
+    assert [round(r.score, 6) for r in got] == [1.0, *(round(1 / math.sqrt(1 + x * x), 6) for x in (0.2, 0.3, 0.4, 0.5))]
+
+
 def test_nearest_splits_large_buckets(spark, monkeypatch):
     df = vectors(spark, 60, [(100 + i, [1.0] * 16) for i in range(300)])
     rows = ann.hashed(ann.usable(df), 20, 16)
