@@ -1,21 +1,30 @@
 """Dependency graphs over chunks and mapping stages (family C, F36).
 
 Graphs are edge tables ``(group, src, dst)``, one graph per group (script or
-mapping). Ordering is Kahn's algorithm run for all groups at once: each round
-is one anti join (no driver-side graph, no per-group collect); the number of
-rounds is the longest path plus one. Each round works on the unordered nodes
-only and writes its result to the shared checkpoint folder, so lineage stays
-short and a lost executor recomputes one round, not the whole loop.
+mapping). Two forms share one result (level, on or behind a cycle, upstreams):
+
+* edges over many rows: longest paths by doubling, all groups at once. Round k
+  knows the longest path of up to 2**k edges between any two nodes, so a chain
+  of n nodes takes log2(n) rounds. A group leaves the loop when its longest open
+  path is shorter than 2**k; groups without edges never enter it. Each round is
+  written to the shared checkpoint folder, so a lost executor recomputes one
+  round, not the loop.
+* the whole graph in one row (a parsed mapping): reach sets as bit arrays,
+  folded with higher-order functions. No shuffle, no rounds.
+
+The known paths of a group are at most its nodes squared: meant for the chunks
+of a script or the stages of a mapping.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferryman.session import materialize, path_exists, scratch_path
+from ferryman.functions.text import let
+from ferryman.session import materialize
 
 # fixed value: the definition test is case-sensitive, the name pattern is not
 # (?U): \w and \s as Python's (Unicode letters), not Java's ASCII default
@@ -32,111 +41,222 @@ def macro_defs(chunks: DataFrame, group: str = "script_id", seq: str = "seq", co
     return d.groupBy(group, "name").agg(F.max(seq).alias("def_seq"))
 
 
+def percent_tokens(code: Column) -> Column:
+    """The distinct word runs behind a ``%``. Cut at the ``%`` signs: linear in
+    the text, where extracting all matches copies the text for each match."""
+    parts = F.split(code, "%")
+    words = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.regexp_extract(p, r"^((?U)\w*)", 1))
+    return F.array_remove(F.array_distinct(words), "")
+
+
+def name_tree(defs: Column) -> Column:
+    """A prefix tree of names, flat: ``(name, def_seq, up)`` in code-point order,
+    ``up`` the place (from 1) of the longest other name that begins this one, 0 if
+    none. In this order the names above a name are the last ones that begin it, so each
+    finds its own by walking up from the name before it."""
+    start = F.array().cast("array<struct<name:string,def_seq:int,up:int>>")
+
+    def above(done: Column, name: Column) -> Column:
+        # from the previous name upwards to the first that begins this one
+        walk = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(done), F.lit(1))), F.size(done),
+                           lambda at, _: F.when((at > 0) & ~F.startswith(name, F.element_at(done, F.greatest(at, F.lit(1)))["name"]),
+                                                F.element_at(done, F.greatest(at, F.lit(1)))["up"]).otherwise(at))
+        return F.when(F.size(done) > 0, walk).otherwise(F.lit(0))
+
+    return F.aggregate(F.array_sort(defs), start, lambda done, d: F.concat(done, F.array(F.struct(
+        d["name"].alias("name"), d["def_seq"].cast("int").alias("def_seq"), above(done, d["name"]).alias("up")))))
+
+
+def names_in(tree: Column, token: Column, steps: int = 20) -> Column:
+    """``def_seq`` of every name that begins ``token``: the last name not behind
+    the token is found by halving (``steps`` of them, 2**steps names), then the tree is walked up."""
+    n = F.size(tree)
+    halved = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), n.alias("hi")),
+        lambda r, _: let(F.floor((r["lo"] + r["hi"] + 1) / 2).cast("int"), lambda mid: F.when(
+            r["lo"] >= r["hi"], r).when(
+            F.element_at(tree, F.greatest(mid, F.lit(1)))["name"] <= token, F.struct(mid.alias("lo"), r["hi"].alias("hi"))).otherwise(
+            F.struct(r["lo"].alias("lo"), (mid - 1).alias("hi")))))["lo"]
+    # a token has at most its length of names that begin it; the walk passes over names that share only a part
+    start = F.struct(halved.alias("at"), F.array().cast("array<int>").alias("found"))
+    walked = F.aggregate(
+        F.sequence(F.lit(1), n), start,
+        lambda w, _: F.when(w["at"] == 0, w).otherwise(let(F.element_at(tree, F.greatest(w["at"], F.lit(1))), lambda e: F.struct(
+            e["up"].alias("at"), F.when(F.startswith(token, e["name"]), F.array_append(w["found"], e["def_seq"])).otherwise(w["found"]).alias("found")))))
+    return F.when(n > 0, walked["found"]).otherwise(F.array().cast("array<int>"))
+
+
 def macro_edges(chunks: DataFrame, defs: DataFrame, group: str = "script_id", seq: str = "seq",
                 code: str = "code") -> DataFrame:
     """Edge definer -> chunk when the chunk text contains ``%name``.
 
     ``%name`` occurs in a text iff some ``%``-token (maximal word run after a
-    ``%``) starts with ``name``. So each chunk emits the prefixes of its own
-    tokens and meets the definitions in an equi-join on (group, name): work
-    grows with token length, never with chunks x definitions.
+    ``%``) begins with ``name``. The names of a script make one prefix tree, which
+    each token walks: only matches leave the row, whatever the length of the
+    tokens. Chunks of scripts without definitions drop out at the join.
     """
-    toks = chunks.select(group, F.col(seq).alias("dst"),
-                         F.explode(F.array_distinct(F.regexp_extract_all(F.col(code), F.lit(r"(?U)%(\w+)"), 1)))
-                         .alias("tok"))
-    prefixes = toks.select(group, "dst", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("tok")), lambda k: F.substring("tok", 1, k))).alias("name"))
-    e = prefixes.join(defs, [group, "name"]).filter(F.col("def_seq") != F.col("dst"))
-    return e.select(group, F.col("def_seq").alias("src"), "dst").dropDuplicates([group, "src", "dst"])
+    trees = defs.groupBy(group).agg(name_tree(F.collect_list(F.struct("name", "def_seq"))).alias("tree"))
+    toks = chunks.select(group, F.col(seq).alias("dst"), percent_tokens(F.col(code)).alias("toks")).filter(F.size("toks") > 0)
+    found = F.array_distinct(F.flatten(F.transform("toks", lambda t: names_in(F.col("tree"), t))))
+    met = toks.join(trees, group).select(group, F.explode(found).alias("src"), "dst")
+    return met.filter(F.col("src") != F.col("dst")).dropDuplicates([group, "src", "dst"])
 
 
-def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node") -> DataFrame:
-    """Kahn levels for every group: level 0 = no predecessor, level k = all
-    predecessors peeled before round k. Nodes on or behind a cycle keep a
-    null level. Returns ``(group, node, level)``.
-
-    Each round works on what is left only: the unpeeled nodes and the edges
-    leaving them (the edge set is re-written every fourth round). It writes
-    one folder under the shared checkpoint root,
-    ``level=k/state=ready|rem`` (a written table cuts the lineage and is
-    computed once), and the listing tells whether anything was peeled or is
-    left -- no count job. The answer is one glob read of all ``ready`` parts.
+def _squared(paths: DataFrame, group: str) -> DataFrame:
+    """Paths joined end to start: ``(group, up, node, len)``, the longest first-to-last."""
+    a, b = paths.alias("a"), paths.alias("b")
+    both = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.node") == F.col("b.up"))) \
+        .select(F.col(f"a.{group}").alias(group), F.col("a.up"), F.col("b.node"), (F.col("a.len") + F.col("b.len")).alias("len"))
+    return paths.unionByName(both).groupBy(group, "up", "node").agg(F.max("len").alias("len"))
+
+
+def _looped(paths: DataFrame, group: str) -> DataFrame:
+    """Nodes known to be on or behind a cycle."""
+    on = paths.filter(F.col("up") == F.col("node")).select(group, F.col("up")).distinct()
+    return paths.join(on, [group, "up"], "left_semi").select(group, "node").distinct()
+
+
+def longest_paths(edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame, int]:
+    """``(group, up, node, len)`` of the longest paths into every node not on or
+    behind a cycle, the looped nodes ``(group, node)``, and the rounds taken.
+
+    After round k a path of 2**k edges or more into a node shows as one of at least
+    2**k. A node on or behind a cycle always has one, until the cycle itself is seen,
+    so a group is done when its nodes not known as looped have none.
     """
-    spark = nodes.sparkSession
-    base = scratch_path(spark, "peel")
-    rem = nodes.select(group, node).distinct()
-    alive = edges.select(group, F.col("src").alias(node), F.col("dst").alias("_dst")) \
-        .filter(F.col(node).isNotNull())
-    k, left = 0, rem
+    spark = edges.sparkSession
+    paths = edges.filter("src is not null and dst is not null").select(group, F.col("src").alias("up"), F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("len")).distinct()
+    paths = materialize(paths, "paths0")
+    done, rounds = [], 0
     while True:
-        alive = alive.join(rem, [group, node], "left_semi")
-        if k % 4 == 0:  # the edge set shrinks with the nodes; cut its lineage every 4 rounds
-            alive = materialize(alive, f"peel_edges{k}")
-        blocked = alive.select(group, F.col("_dst").alias(node), F.lit(True).alias("_b")).distinct()
-        flagged = rem.join(blocked, [group, node], "left").select(
-            group, node, F.when(F.col("_b"), "rem").otherwise("ready").alias("state"))
-        out = f"{base}/level={k}"
-        flagged.write.mode("overwrite").partitionBy("state").parquet(out)
-        has_ready, has_rem = path_exists(spark, f"{out}/state=ready"), path_exists(spark, f"{out}/state=rem")
-        left = spark.read.parquet(f"{out}/state=rem") if has_rem else None
-        if not has_ready or not has_rem:
+        going = paths.join(_looped(paths, group), [group, "node"], "left_anti").filter(F.col("len") >= 2 ** rounds).select(group).distinct()
+        going = materialize(going, f"paths_open{rounds}")
+        if going.isEmpty():
+            done.append(paths)
+            break
+        done.append(paths.join(going, group, "left_anti"))
+        rounds += 1
+        paths = materialize(_squared(paths.join(going, group, "left_semi"), group), f"paths{rounds}")
+    known = reduce(DataFrame.unionByName, done)
+    looped = materialize(_looped(known, group), "paths_looped")
+    return known, looped, rounds
+
+
+def strong_components(paths: DataFrame, looped: DataFrame, group: str) -> DataFrame:
+    """``(group, node, cycle)`` of the nodes on a cycle; ``cycle`` is the smallest
+    node of the strongly connected component: nodes reached forward and backward.
+    Reach among looped nodes only, completed by squaring."""
+    keys = [group, "node"]
+    reach = paths.join(looped, keys, "left_semi").join(looped.withColumnRenamed("node", "up"), [group, "up"], "left_semi").select(group, "up", "node").distinct()
+    reach = materialize(reach.withColumn("len", F.lit(1).cast("bigint")), "reach")
+    n = reach.count()
+    while n:
+        more = materialize(_squared(reach, group).withColumn("len", F.lit(1).cast("bigint")), "reach")
+        m = more.count()
+        reach = more
+        if m == n:
             break
-        rem, k = left, k + 1
-    schema = f"{group} {nodes.schema[group].simpleString()}, {node} {nodes.schema[node].simpleString()}"
-    peeled = (spark.read.option("basePath", base).parquet(f"{base}/level=*/state=ready")
-              .select(group, node, F.col("level").cast("int").alias("level"))
-              if path_exists(spark, f"{base}/level=0/state=ready") or k > 0
-              else spark.createDataFrame([], schema).withColumn("level", F.lit(None).cast("int")))
-    if left is None:
-        return peeled
-    return peeled.unionByName(left.select(group, node, F.lit(None).cast("int").alias("level")))
+        n = m
+    back = reach.select(group, F.col("node").alias("up"), F.col("up").alias("node"))
+    return reach.select(group, "up", "node").join(back, [group, "up", "node"], "left_semi").groupBy(group, F.col("up").alias("node")).agg(F.min("node").alias("cycle"))
+
+
+def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node") -> DataFrame:
+    """``(group, node, level, kind, cycle)`` of every node: level 0 = no
+    predecessor, level k = a longest path of k edges into it; null on and behind a
+    cycle. kind: null, ``on`` or ``behind``; cycle: the smallest node of the cycle's
+    strongly connected component, for nodes on one."""
+    paths, looped, _ = longest_paths(edges, group)
+    into = paths.groupBy(group, "node").agg(F.max("len").alias("level"))
+    every = nodes.select(group, F.col(node).alias("node")).distinct().join(into, [group, "node"], "left")
+    if looped.isEmpty():
+        out = every.select(group, "node", F.coalesce("level", F.lit(0)).cast("int").alias("level"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(nodes.schema[node].dataType).alias("cycle"))
+    else:
+        on = materialize(strong_components(paths, looped, group), "cycles")
+        out = every.join(looped.withColumn("looped", F.lit(True)), [group, "node"], "left").join(on, [group, "node"], "left").select(
+            group, "node", F.when(F.col("looped").isNull(), F.coalesce("level", F.lit(0)).cast("int")).alias("level"),
+            F.when(F.col("cycle").isNotNull(), "on").when(F.col("looped"), "behind").alias("kind"), "cycle")
+    return out.withColumnRenamed("node", node)
 
 
 def dependency_order(levels: DataFrame, group: str, node: str = "node") -> DataFrame:
     """Definitions before uses, ties by node order: ``(level, node)``."""
-    from pyspark.sql import Window
     ok = levels.filter(F.col("level").isNotNull())
     return ok.withColumn("ord", F.row_number().over(Window.partitionBy(group).orderBy("level", node)))
 
 
 def cycle_report(levels: DataFrame, group: str, node: str = "node") -> DataFrame:
-    """C4: nodes that never peel: on a cycle or reachable from one."""
-    return levels.filter(F.col("level").isNull()).select(group, node)
+    """C4: nodes without an order, told apart: on a cycle (and which), or behind one."""
+    return levels.filter(F.col("level").isNull()).select(group, node, "kind", "cycle")
 
 
 def lineage_closure(edges: DataFrame, group: str) -> DataFrame:
-    """All (upstream, node) pairs per group by semi-naive iteration.
-
-    Each round joins only the pairs found last round to the edges and keeps
-    the ones not known yet. Rounds append to one folder under the shared
-    checkpoint root as ``round=i`` partitions: the known pairs are one read of
-    that folder, a round that finds nothing writes no partition (the listing
-    says so, no count job), and lineage is cut every round. Output size is
-    the closure itself; meant for mapping graphs of bounded size (a handful of
-    stages), not for unbounded groups.
-    """
-    spark = edges.sparkSession
-    base = scratch_path(spark, "closure")
-    keys = [group, "up", "node"]
-
-    def append(df: DataFrame, i: int) -> bool:
-        df.withColumn("round", F.lit(i)).write.mode("append").partitionBy("round").parquet(base)
-        return path_exists(spark, f"{base}/round={i}")
-
-    e = edges.select(group, F.col("src").alias("up"), F.col("dst").alias("node")).distinct()
-    if not append(e, 0):
-        return e
-    hop = spark.read.parquet(f"{base}/round=0")
-    delta = hop
-    for i in count(1):
-        known = spark.read.parquet(base).select(*keys)
-        step = delta.alias("d").join(hop.alias("b"), (F.col(f"d.{group}") == F.col(f"b.{group}"))
-                                     & (F.col("d.node") == F.col("b.up"))) \
-            .select(F.col(f"d.{group}").alias(group), F.col("d.up").alias("up"), F.col("b.node").alias("node"))
-        if not append(step.join(known, keys, "left_anti").distinct(), i):
+    """All (upstream, node) pairs per group, by squaring: a chain of n nodes takes
+    log2(n) written rounds. For graphs whose edges span rows; a graph
+    within a row is folded there (``row_graph``)."""
+    e = edges.filter("src is not null and dst is not null").select(group, F.col("src").alias("up"), F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("len")).distinct()
+    reach = materialize(e, "closure")
+    n = reach.count()
+    while n:
+        reach = materialize(_squared(reach, group).withColumn("len", F.lit(1).cast("bigint")), "closure")
+        m = reach.count()
+        if m == n:
             break
-        delta = spark.read.parquet(f"{base}/round={i}")
-    return spark.read.parquet(base).select(*keys)
+        n = m
+    return reach.select(group, "up", "node")
+
+
+# ---- a whole graph in one row: reach sets as bit arrays
+
+BITS = 62
+
+
+def _bits(members: Column, n: Column) -> Column:
+    """Bit array of n bits, ``BITS`` to a bigint, set at the places ``members`` (from 0)."""
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BITS).cast("int")), lambda w: F.aggregate(
+        members, F.lit(0).cast("bigint"), lambda acc, m: F.when(F.floor(m / BITS) == w, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(m, F.lit(BITS)).cast("int")))).otherwise(acc)))
+
+
+def _has(bits: Column, at: Column) -> Column:
+    word = F.element_at(bits, (F.floor(at / BITS) + 1).cast("int"))
+    return F.getbit(word, F.pmod(at, F.lit(BITS)).cast("int")) == 1
+
+
+def row_graph(names: Column, links: Column) -> Column:
+    """``array<struct<stage, level, n_upstream>>`` of the graph in a row: ``names``
+    its nodes, ``links`` an ``array<struct<src, dst>>``; links from or to other names do not count.
+
+    Reach sets are closed node by node (Warshall: whoever is below k takes over what is
+    above k), so n_upstream counts distinct upstream nodes, on a cycle the node itself too. A node has
+    fewer upstreams than any node below it unless they share a cycle, so levels follow in one
+    pass by n_upstream. Nodes on or behind a cycle have a null level."""
+    known = F.array_distinct(F.filter(names, lambda x: x.isNotNull()))
+
+    def levels(nodes: Column, direct: Column) -> Column:
+        n = F.size(nodes)
+        places = F.sequence(F.lit(0), n - 1)
+        own = F.transform(direct, lambda d: _bits(d, n))
+        closed = F.aggregate(places, own, lambda acc, k: let(F.element_at(acc, k + 1), lambda above: F.transform(
+            acc, lambda s: F.when(_has(s, k), F.zip_with(s, above, lambda x, y: x.bitwiseOR(y))).otherwise(s))))
+
+        def ordered(up: Column) -> Column:
+            counts = F.transform(up, lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, w: acc + F.bit_count(w)))
+            on = _bits(F.filter(places, lambda i: _has(F.element_at(up, i + 1), i)), n)
+            free = lambda i, cycles: ~_has(cycles, i) & ~F.exists(F.zip_with(F.element_at(up, i + 1), cycles, lambda x, y: x.bitwiseAND(y)), lambda w: w != 0)
+            turn = F.transform(F.array_sort(F.zip_with(counts, places, lambda c, i: F.struct(c.alias("c"), i.alias("i")))), lambda x: x["i"])
+            at = lambda acc, v: F.coalesce(F.array_max(F.transform(F.element_at(direct, v + 1), lambda p: F.element_at(acc, p + 1))) + 1, F.lit(0))
+            level = F.aggregate(turn, F.transform(places, lambda _: F.lit(0)), lambda acc, v: let(at(acc, v), lambda new: F.transform(acc, lambda x, i: F.when(i == v, new).otherwise(x))))
+            return let(on, lambda cycles: let(counts, lambda c: let(level, lambda l: F.transform(places, lambda i: F.struct(
+                F.element_at(nodes, i + 1).alias("stage"), F.when(free(i, cycles), F.element_at(l, i + 1)).alias("level"), F.element_at(c, i + 1).alias("n_upstream"))))))
+
+        return let(closed, ordered)
+
+    def graph(nodes: Column) -> Column:
+        above = lambda v: F.transform(F.filter(links, lambda e: (e["dst"] == v) & F.array_contains(nodes, e["src"])), lambda e: (F.array_position(nodes, e["src"]) - 1).cast("int"))
+        direct = F.transform(nodes, lambda v: F.array_distinct(above(v)))
+        return F.when(F.size(nodes) > 0, let(direct, lambda d: levels(nodes, d)))
+
+    return let(known, graph)
 
 
 def with_made_cycles(edges: DataFrame, nodes: DataFrame, group: str, node: str, every: int = 5) -> DataFrame:

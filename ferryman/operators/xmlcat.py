@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferryman.operators.graph import row_graph
+
 # element and attribute layout of a mapping document (attributes carry "_")
 MAPPING_SCHEMA = (
     "_NAME string, "
@@ -32,3 +34,13 @@ def transformations(parsed: DataFrame, keys=("mapping_id",)) -> DataFrame:
 def connectors(parsed: DataFrame, keys=("mapping_id",)) -> DataFrame:
     c = parsed.select(*keys, F.explode("m.CONNECTOR").alias("c"))
     return c.select(*keys, F.col("c._FROM").alias("from_stage"), F.col("c._TO").alias("to_stage"))
+
+
+def flow_order(parsed: DataFrame, keys=("mapping_id",)) -> DataFrame:
+    """``stage, level, n_upstream`` of each transformation of a mapping: its
+    place along the connectors and how many stages feed it. The graph of a mapping is
+    in its row and is folded there: no shuffle."""
+    none = F.array().cast("array<struct<src:string,dst:string>>")
+    links = F.coalesce(F.transform("m.CONNECTOR", lambda c: F.struct(c["_FROM"].alias("src"), c["_TO"].alias("dst"))), none)
+    names = F.transform("m.TRANSFORMATION", lambda t: t["_NAME"])
+    return parsed.select(*keys, F.inline(row_graph(names, links)))

@@ -85,16 +85,23 @@ def dependency_order(spark: SparkSession, sf: str) -> DataFrame:
 # C4 ---------------------------------------------------------------------
 _MADE = [("cmade", """SELECT script_id, src, dst FROM cedge
     UNION SELECT script_id, min(seq), max(seq) FROM cch WHERE script_id % 5 = 0 GROUP BY script_id HAVING min(seq) < max(seq)
-    UNION SELECT script_id, max(seq), min(seq) FROM cch WHERE script_id % 5 = 0 GROUP BY script_id HAVING min(seq) < max(seq)""")]
-
-
-@query("cycle_report", sas("SELECT script_id, CAST(node AS INTEGER) AS seq FROM clv WHERE level >= n",
-                           _C_CTES + _MADE + _levels_ctes("cmade"), recursive=True))
+    UNION SELECT script_id, max(seq), min(seq) FROM cch WHERE script_id % 5 = 0 GROUP BY script_id HAVING min(seq) < max(seq)"""),
+    ("creach", """SELECT script_id, src AS up, dst AS node FROM cmade
+    UNION SELECT r.script_id, r.up, e.dst FROM creach r JOIN cmade e ON e.script_id = r.script_id AND e.src = r.node"""),
+    ("con", """SELECT a.script_id, a.up AS node, min(a.node) AS cycle FROM creach a
+    JOIN creach b ON b.script_id = a.script_id AND b.up = a.node AND b.node = a.up GROUP BY a.script_id, a.up"""),
+    ("cbehind", """SELECT DISTINCT r.script_id, r.node FROM creach r JOIN con ON con.script_id = r.script_id AND con.node = r.up
+    WHERE NOT EXISTS (SELECT 1 FROM con o WHERE o.script_id = r.script_id AND o.node = r.node)""")]
+
+
+@query("cycle_report", sas("""
+SELECT script_id, CAST(node AS INTEGER) AS seq, 'on' AS kind, CAST(cycle AS INTEGER) AS cycle FROM con
+UNION ALL SELECT script_id, CAST(node AS INTEGER), 'behind', NULL FROM cbehind""", _C_CTES + _MADE, recursive=True))
 def cycle_report(spark: SparkSession, sf: str) -> DataFrame:
     ch, _, edges = _defs_edges(spark, sf)
     nodes = ch.select("script_id", F.col("seq").alias("node"))
     lv = graph.peel_levels(nodes, graph.with_made_cycles(edges, nodes, "script_id", "node"), "script_id")
-    return graph.cycle_report(lv, "script_id").select("script_id", F.col("node").alias("seq"))
+    return graph.cycle_report(lv, "script_id").withColumnRenamed("node", "seq")
 
 
 # F34 --------------------------------------------------------------------
@@ -123,15 +130,4 @@ SELECT p_partkey AS mapping_id, s.stage, s.level, s.n_upstream
 FROM part, (VALUES ('SQ', 0, CAST(0 AS BIGINT)), ('EXP', 1, CAST(1 AS BIGINT)), ('AGG', 2, CAST(2 AS BIGINT)))
   s(stage, level, n_upstream)""")
 def flow_order(spark: SparkSession, sf: str) -> DataFrame:
-    # parsed once and written: the Kahn rounds and the closure both start from
-    # its nodes and edges, which would otherwise re-parse every document
-    parsed = materialize(xmlcat.parse_mappings(fx.mapping_xml(spark, sf)), "mappings_parsed")
-    edges = xmlcat.connectors(parsed).select("mapping_id", F.col("from_stage").alias("src"),
-                                             F.col("to_stage").alias("dst"))
-    nodes = parsed.select("mapping_id", F.explode("m.TRANSFORMATION._NAME").alias("node"))
-    lv = graph.peel_levels(nodes, edges, "mapping_id")
-    ups = graph.lineage_closure(edges, "mapping_id").groupBy("mapping_id", "node") \
-        .agg(F.count(F.lit(1)).alias("n_upstream"))
-    return lv.join(ups, ["mapping_id", "node"], "left").select(
-        "mapping_id", F.col("node").alias("stage"), "level",
-        F.coalesce("n_upstream", F.lit(0).cast("bigint")).alias("n_upstream"))
+    return xmlcat.flow_order(xmlcat.parse_mappings(fx.mapping_xml(spark, sf)))
