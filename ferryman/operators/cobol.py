@@ -33,6 +33,37 @@ def fixed_width(df: DataFrame, rec: str, layout: Sequence[Field], keep: Sequence
     return df.select(*cols)
 
 
+def code_page_text(raw: Column, code_page: str = "ascii") -> Column:
+    """Bytes of a single-byte code page as text, in the JVM: each byte as the
+    character of its own number, then exchanged for that of the code page."""
+    page = {b: bytes([b]).decode(code_page, errors="replace") for b in range(256)}
+    moved = [b for b in range(256) if page[b] != chr(b)]
+    text = F.decode(raw, "ISO-8859-1")
+    return F.translate(text, "".join(map(chr, moved)), "".join(page[b] for b in moved)) if moved else text
+
+
+def fixed_length_records(spark: SparkSession, path: str, length: int, max_split: int = 128 << 20) -> DataFrame:
+    """H1, binary form: ``rec`` (binary) of each record of ``length`` bytes, without line
+    breaks. Files are split at record ends, by ``max_split`` bytes at most, so one
+    large file is read by many tasks. The records stay in the JVM."""
+    jvm = spark.sparkContext._jvm
+    conf = jvm.org.apache.hadoop.conf.Configuration(spark.sparkContext._jsc.hadoopConfiguration())
+    conf.set("mapreduce.input.fileinputformat.split.maxsize", str(max(max_split, length)))
+    rdd = spark.sparkContext._jsc.sc().binaryRecords(path, length, conf)
+    return DataFrame(spark._jsparkSession.createDataset(rdd, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark).withColumnRenamed("value", "rec")
+
+
+def fixed_width_bytes(df: DataFrame, rec: str, layout: Sequence[Field], code_page: str = "ascii", keep: Sequence[str] = ()) -> DataFrame:
+    """H1: fields of binary records; ``pic="P"`` (packed decimal) stays binary for
+    :func:`comp3_decode`, all others are text of the code page."""
+    cols = [F.col(k) for k in keep]
+    for f in layout:
+        if not f.is_filler:
+            raw = F.substring(F.col(rec), f.start, f.length)
+            cols.append((raw if f.pic == "P" else code_page_text(raw, code_page)).alias(f.name))
+    return df.select(*cols)
+
+
 def pic_numeric(digits: Column, int_digits: int, scale: int, sign: Column | None = None) -> Column:
     """H2: PIC 9(n)V9(m) (optionally signed) -> DECIMAL(n+m, m).
 

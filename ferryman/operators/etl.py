@@ -247,7 +247,15 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
 # --------------------------------------------------------------------- sinks
 def target_write(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
                  partition_by: Sequence[str] | None = None) -> None:
-    """DataFrameWriter with a mode; optional partitioned layout."""
+    """DataFrameWriter with a mode; optional partitioned layout.
+
+    Rows are rebalanced by the partition values before they are written: AQE splits a
+    value that holds many rows over several tasks, each of about the advisory size,
+    and puts small ones together. So files have a bounded size, and a small
+    value has one file instead of one from every task.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -360,6 +368,33 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: boo
     return out
 
 
+# hll sketches of 2**12 registers: a relative standard error of 1.04 / sqrt(2**12)
+SKETCH_LOG_K = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG_K / 2)
+
+
+def profile_sketch(df: DataFrame, cols: Sequence[str] | None = None, **load) -> DataFrame:
+    """F27, mergeable form: ``column_name, n_rows, null_count, sketch`` of each column
+    from ONE scan, plus the columns of ``load`` (say a load date) as given. Store it by load
+    and merge with :func:`merge_profiles`; no table is read again. Values are
+    sketched by their text (binary as it is), so one sketch form serves all types."""
+    cols = list(cols or df.columns)
+    binary = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)}
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"n{i}"), F.hll_sketch_agg(F.col(c) if c in binary else F.col(c).cast("string"), F.lit(SKETCH_LOG_K)).alias(f"s{i}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), (F.col("n_rows") - F.col(f"n{i}")).alias("null_count"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(cols)])
+    return one.select(F.inline(rows)).withColumns({k: F.lit(v) for k, v in load.items()})
+
+
+def merge_profiles(stored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Profiles of several loads as one: counts add up, sketches are united. The
+    estimate is that of a sketch of all rows, within about three times ``SKETCH_ERROR``."""
+    out = stored.groupBy(*by, "column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("null_count").alias("null_count"), F.hll_union_agg("sketch").alias("sketch"))
+    return out.withColumn("distinct_estimate", F.hll_sketch_estimate("sketch"))
+
+
 def type_fail_count(c: ColLike, to: str) -> Column:
     """values present that do not cast to ``to``."""
     v = _col(c)
@@ -446,6 +481,15 @@ def hash_partition(df: DataFrame, n: int | None, keys: Sequence[str]) -> DataFra
     return df.repartition(*keys) if n is None else df.repartition(n, *keys)
 
 
+def bucketed_table(df: DataFrame, name: str, path: str, keys: Sequence[str], n: int) -> DataFrame:
+    """a table stored hash-partitioned by key: ``n`` buckets, each sorted by the
+    keys. Joins and aggregates by these keys, of tables with equal ``n``, need no
+    exchange any more: the shuffle is paid once, at the write. Rows are dealt by the
+    bucket hash first, so that a task writes whole buckets (one file each)."""
+    df.repartition(n, *keys).write.mode("overwrite").format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def join_hint(df: DataFrame, hint: str) -> DataFrame:
     """broadcast / shuffle_hash / merge hint on one side; results are equal."""
     return df.hint(hint)

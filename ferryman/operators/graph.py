@@ -1,16 +1,18 @@
 """Dependency graphs over chunks and mapping stages (family C, F36).
 
 Graphs are edge tables ``(group, src, dst)``, one graph per group (script or
-mapping). Two forms share one result (level, on or behind a cycle, upstreams):
+mapping). Two forms share one result (level, on or behind a cycle):
 
-* edges over many rows: longest paths by doubling, all groups at once. Round k
-  knows the longest path of up to 2**k edges between any two nodes, so a chain
-  of n nodes takes log2(n) rounds. A group leaves the loop when its longest open
-  path is shorter than 2**k; groups without edges never enter it. Each round is
-  written to the shared checkpoint folder, so a lost executor recomputes one
-  round, not the loop.
-* the whole graph in one row (a parsed mapping): reach sets as bit arrays,
-  folded with higher-order functions. No shuffle, no rounds.
+* the whole graph in one row (a parsed mapping, the edges of a script up to
+  ``ROW_EDGES``): reach sets as bit arrays, folded with higher-order functions.
+  No rounds, and for a mapping no shuffle.
+* edges over many rows (larger groups): longest paths by doubling, all groups at
+  once. Round k knows the longest path of up to 2**k edges between any two
+  nodes, so a chain of n nodes takes log2(n) rounds. A group leaves the loop when
+  its longest open path is shorter than 2**k. Each round is written to the
+  shared checkpoint folder, so a lost executor recomputes one round, not the loop.
+
+Groups without edges enter neither: all their nodes have level 0.
 
 The known paths of a group are at most its nodes squared: meant for the chunks
 of a script or the stages of a mapping.
@@ -93,13 +95,14 @@ def macro_edges(chunks: DataFrame, defs: DataFrame, group: str = "script_id", se
     ``%name`` occurs in a text iff some ``%``-token (maximal word run after a
     ``%``) begins with ``name``. The names of a script make one prefix tree, which
     each token walks: only matches leave the row, whatever the length of the
-    tokens. Chunks of scripts without definitions drop out at the join.
+    tokens. Chunks of scripts without definitions drop out at the join. An edge
+    comes once for each row of its chunk.
     """
     trees = defs.groupBy(group).agg(name_tree(F.collect_list(F.struct("name", "def_seq"))).alias("tree"))
     toks = chunks.select(group, F.col(seq).alias("dst"), percent_tokens(F.col(code)).alias("toks")).filter(F.size("toks") > 0)
     found = F.array_distinct(F.flatten(F.transform("toks", lambda t: names_in(F.col("tree"), t))))
     met = toks.join(trees, group).select(group, F.explode(found).alias("src"), "dst")
-    return met.filter(F.col("src") != F.col("dst")).dropDuplicates([group, "src", "dst"])
+    return met.filter(F.col("src") != F.col("dst"))
 
 
 def _squared(paths: DataFrame, group: str) -> DataFrame:
@@ -161,22 +164,42 @@ def strong_components(paths: DataFrame, looped: DataFrame, group: str) -> DataFr
     return reach.select(group, "up", "node").join(back, [group, "up", "node"], "left_semi").groupBy(group, F.col("up").alias("node")).agg(F.min("node").alias("cycle"))
 
 
-def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node") -> DataFrame:
+#: edges of a group that are folded in one row; larger groups take the rounds
+ROW_EDGES = 512
+
+
+def _levels_by_rounds(edges: DataFrame, group: str) -> DataFrame:
+    """``(group, node, level, kind, cycle)`` of the nodes with edges, by doubling."""
+    paths, looped, _ = longest_paths(edges, group)
+    ends = edges.select(group, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    every = ends.join(paths.groupBy(group, "node").agg(F.max("len").alias("level")), [group, "node"], "left")
+    on = strong_components(paths, looped, group)
+    return every.join(looped.withColumn("looped", F.lit(True)), [group, "node"], "left").join(on, [group, "node"], "left").select(
+        group, "node", F.when(F.col("looped").isNull(), F.coalesce("level", F.lit(0)).cast("int")).alias("level"),
+        F.when(F.col("cycle").isNotNull(), "on").when(F.col("looped"), "behind").alias("kind"), "cycle")
+
+
+def _levels_in_rows(edges: DataFrame, group: str) -> DataFrame:
+    """The same for groups of few edges, gathered in one row each."""
+    rows = edges.groupBy(group).agg(F.collect_list(F.struct("src", "dst")).alias("links"))
+    names = F.array_distinct(F.flatten(F.transform("links", lambda e: F.array(e["src"], e["dst"]))))
+    return rows.select(group, F.inline(row_graph(names, F.col("links")))).select(group, F.col("stage").alias("node"), "level", "kind", "cycle")
+
+
+def peel_levels(nodes: DataFrame, edges: DataFrame, group: str, node: str = "node", row_edges: int = ROW_EDGES) -> DataFrame:
     """``(group, node, level, kind, cycle)`` of every node: level 0 = no
     predecessor, level k = a longest path of k edges into it; null on and behind a
     cycle. kind: null, ``on`` or ``behind``; cycle: the smallest node of the cycle's
     strongly connected component, for nodes on one."""
-    paths, looped, _ = longest_paths(edges, group)
-    into = paths.groupBy(group, "node").agg(F.max("len").alias("level"))
-    every = nodes.select(group, F.col(node).alias("node")).distinct().join(into, [group, "node"], "left")
-    if looped.isEmpty():
-        out = every.select(group, "node", F.coalesce("level", F.lit(0)).cast("int").alias("level"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(nodes.schema[node].dataType).alias("cycle"))
+    e = materialize(edges.select(group, "src", "dst").filter("src is not null and dst is not null"), "graph_edges")
+    large = e.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > row_edges).select(group)
+    if large.isEmpty():
+        found = _levels_in_rows(e, group)
     else:
-        on = materialize(strong_components(paths, looped, group), "cycles")
-        out = every.join(looped.withColumn("looped", F.lit(True)), [group, "node"], "left").join(on, [group, "node"], "left").select(
-            group, "node", F.when(F.col("looped").isNull(), F.coalesce("level", F.lit(0)).cast("int")).alias("level"),
-            F.when(F.col("cycle").isNotNull(), "on").when(F.col("looped"), "behind").alias("kind"), "cycle")
-    return out.withColumnRenamed("node", node)
+        large = materialize(large, "graph_large")
+        found = _levels_in_rows(e.join(large, group, "left_anti"), group).unionByName(_levels_by_rounds(e.join(large, group, "left_semi"), group))
+    every = nodes.select(group, F.col(node).alias("node")).distinct().join(found.withColumn("met", F.lit(True)), [group, "node"], "left")
+    return every.select(group, F.col("node").alias(node), F.when(F.col("met"), F.col("level")).otherwise(0).alias("level"), "kind", "cycle")
 
 
 def dependency_order(levels: DataFrame, group: str, node: str = "node") -> DataFrame:
@@ -223,13 +246,14 @@ def _has(bits: Column, at: Column) -> Column:
 
 
 def row_graph(names: Column, links: Column) -> Column:
-    """``array<struct<stage, level, n_upstream>>`` of the graph in a row: ``names``
+    """``array<struct<stage, level, n_upstream, kind, cycle>>`` of the graph in a row: ``names``
     its nodes, ``links`` an ``array<struct<src, dst>>``; links from or to other names do not count.
 
     Reach sets are closed node by node (Warshall: whoever is below k takes over what is
     above k), so n_upstream counts distinct upstream nodes, on a cycle the node itself too. A node has
     fewer upstreams than any node below it unless they share a cycle, so levels follow in one
-    pass by n_upstream. Nodes on or behind a cycle have a null level."""
+    pass by n_upstream. Nodes on or behind a cycle have a null level, and
+    the kind ``on`` or ``behind``; cycle is the smallest node of the cycle's component."""
     known = F.array_distinct(F.filter(names, lambda x: x.isNotNull()))
 
     def levels(nodes: Column, direct: Column) -> Column:
@@ -244,10 +268,12 @@ def row_graph(names: Column, links: Column) -> Column:
             on = _bits(F.filter(places, lambda i: _has(F.element_at(up, i + 1), i)), n)
             free = lambda i, cycles: ~_has(cycles, i) & ~F.exists(F.zip_with(F.element_at(up, i + 1), cycles, lambda x, y: x.bitwiseAND(y)), lambda w: w != 0)
             turn = F.transform(F.array_sort(F.zip_with(counts, places, lambda c, i: F.struct(c.alias("c"), i.alias("i")))), lambda x: x["i"])
+            together = lambda i: F.array_min(F.transform(F.filter(places, lambda j: _has(F.element_at(up, i + 1), j) & _has(F.element_at(up, j + 1), i)), lambda j: F.element_at(nodes, j + 1)))
             at = lambda acc, v: F.coalesce(F.array_max(F.transform(F.element_at(direct, v + 1), lambda p: F.element_at(acc, p + 1))) + 1, F.lit(0))
             level = F.aggregate(turn, F.transform(places, lambda _: F.lit(0)), lambda acc, v: let(at(acc, v), lambda new: F.transform(acc, lambda x, i: F.when(i == v, new).otherwise(x))))
             return let(on, lambda cycles: let(counts, lambda c: let(level, lambda l: F.transform(places, lambda i: F.struct(
-                F.element_at(nodes, i + 1).alias("stage"), F.when(free(i, cycles), F.element_at(l, i + 1)).alias("level"), F.element_at(c, i + 1).alias("n_upstream"))))))
+                F.element_at(nodes, i + 1).alias("stage"), F.when(free(i, cycles), F.element_at(l, i + 1)).alias("level"), F.element_at(c, i + 1).alias("n_upstream"),
+                F.when(_has(cycles, i), "on").when(~free(i, cycles), "behind").alias("kind"), F.when(_has(cycles, i), together(i)).alias("cycle"))))))
 
         return let(closed, ordered)
 

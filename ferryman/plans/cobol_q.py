@@ -47,10 +47,29 @@ def _cust_key():
 @query("fixed_width_read", fx.with_ctes("""
 SELECT substr(rec, 1, 1) AS rec_type, substr(rec, 2, 8) AS cust_key, substr(rec, 10, 20) AS cust_name,
        substr(rec, 33, 1) AS bal_sign, substr(rec, 34, 11) AS balance, substr(rec, 45, 8) AS open_date,
-       substr(rec, 53, 10) AS overlay, substr(rec, 63, 12) AS occurs_block
+       substr(rec, 53, 10) AS overlay, substr(rec, 63, 12) AS occurs_block,
+       CAST(try_cast(substr(rec, 34, 11) AS DECIMAL(11,0)) * CASE WHEN substr(rec, 33, 1) = '-' THEN -1 ELSE 1 END / 100 AS DECIMAL(11,2)) AS packed_balance
 FROM cobol_records""", "cobol_records"))
 def fixed_width_read(spark: SparkSession, sf: str) -> DataFrame:
-    return parsed(spark, sf, from_file=True)
+    rec = cobol.fixed_length_records(spark, record_file(spark, sf), BINARY_LENGTH, max_split=1 << 20)
+    fields = cobol.fixed_width_bytes(rec, "rec", [*LAYOUT, Field("packed", 75, 6, "P")])
+    return fields.withColumn("packed_balance", cobol.comp3_decode(F.col("packed"), 11, 2)).drop("packed")
+
+
+#: the text record, the balance as packed decimal, which may hold any byte, line breaks too, and a filler byte
+BINARY_LENGTH = 74 + 6 + 1
+
+
+def record_file(spark: SparkSession, sf: str) -> str:
+    """The records as files of fixed-length binary records (input, laid down once per
+    application). The text sink writes the bytes as they are; what it puts behind each value is the filler byte."""
+    def write(path: str) -> None:
+        recs = fx.cobol_records(spark, sf)
+        packed = F.lpad(F.col("comp3_hex"), 12, "0")
+        one = F.concat(F.encode("rec", "US-ASCII"), F.unhex(packed)).cast("string").alias("value")
+        recs.select(one).write.option("lineSep", "~").text(path)
+
+    return fx.written_once(spark, sf, "cobol_binary", write)
 
 
 # H2 ---------------------------------------------------------------------

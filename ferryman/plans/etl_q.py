@@ -373,9 +373,17 @@ _LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 
 @query("column_profile", "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
-    f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count FROM lineitem" for c in _LI_COLS))
+    f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count, true AS sketch_within_bound FROM lineitem" for c in _LI_COLS))
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return etl.column_profile(_t(spark, sf, "lineitem"), _LI_COLS)
+    li = _t(spark, sf, "lineitem").select(*_LI_COLS)
+    exact = etl.column_profile(li, _LI_COLS)
+    # profiles of two loads, stored and merged, against the exact counts
+    path = scratch_path(spark, "profiles")
+    loads = [etl.profile_sketch(li.filter(f"l_orderkey % 2 = {i}"), _LI_COLS, load=i) for i in (0, 1)]
+    etl.funnel(*loads).write.parquet(path)
+    merged = etl.merge_profiles(spark.read.parquet(path)).select("column_name", "distinct_estimate", F.col("null_count").alias("nulls"))
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 3 * etl.SKETCH_ERROR * F.col("distinct_count") + 1
+    return exact.join(merged, "column_name").select("column_name", "null_count", "distinct_count", (near & (F.col("nulls") == F.col("null_count"))).alias("sketch_within_bound"))
 
 
 # F28 --------------------------------------------------------------------
@@ -497,13 +505,27 @@ def type_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 # F37 --------------------------------------------------------------------
 @query("hash_partition", """
-SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_partitions
-FROM lineitem GROUP BY l_orderkey""")
+SELECT l_orderkey, o_custkey, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS quantity
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_custkey""")
 def hash_partition(spark: SparkSession, sf: str) -> DataFrame:
-    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    dealt = etl.hash_partition(li, None, ["l_orderkey"]).withColumn("pid", F.spark_partition_id())
-    # every key's rows are in one partition
-    return dealt.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pid").alias("n_partitions"))
+    li, o = stored_by_order(spark, sf)
+    # both sides lie by the key, so join and aggregate read bucket by bucket
+    return li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey).groupBy("l_orderkey", "o_custkey").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(22,2)").alias("quantity"))
+
+
+def stored_by_order(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """lineitem and orders as tables bucketed by the order key, stored once an application."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = []
+    for name, key, cols in (("lineitem", "l_orderkey", ["l_orderkey", "l_quantity"]), ("orders", "o_orderkey", ["o_orderkey", "o_custkey"])):
+        def write(path, name=name, key=key, cols=cols):
+            table_name = "bucketed_" + path.rstrip("/").rsplit("-", 1)[-1]
+            etl.bucketed_table(_t(spark, sf, name).select(*cols), table_name, path, [key], n)
+
+        path = fx.written_once(spark, sf, f"{name}_by_order_{n}", write)
+        out.append(spark.table("bucketed_" + path.rstrip("/").rsplit("-", 1)[-1]))
+    return out[0], out[1]
 
 
 # F38 --------------------------------------------------------------------
@@ -515,10 +537,10 @@ def join_hints(spark: SparkSession, sf: str) -> DataFrame:
     c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     outs = []
     for h in ("broadcast", "shuffle_hash", "merge"):
-        # the broadcast hint is only honoured behind the size check
-        applied = "shuffle_hash" if h == "broadcast" and not _fits(c) else h
-        side = etl.join_hint(c, applied)
-        outs.append(o.join(side, "o_custkey").select(F.lit(h).alias("hint"), "o_orderkey", "c_name"))
+        # a side beyond the size check is not broadcast: that hint gives no rows then, rather than another join's under its name
+        if h == "broadcast" and not _fits(c):
+            raise ValueError("customer is too large to broadcast")
+        outs.append(o.join(etl.join_hint(c, h), "o_custkey").select(F.lit(h).alias("hint"), "o_orderkey", "c_name"))
     return etl.funnel(*outs)
 
 

@@ -113,7 +113,18 @@ FROM (SELECT p_partkey, p_size, unnest(generate_series(1, 1 + p_size % 3)) AS j
 UNION ALL
 SELECT p_partkey, 'AGG', 'Aggregator', NULL, NULL FROM part""")
 def xml_transformations(spark: SparkSession, sf: str) -> DataFrame:
-    return xmlcat.transformations(xmlcat.parse_mappings(fx.mapping_xml(spark, sf)))
+    return xmlcat.transformations(exported(spark, sf))
+
+
+def exported(spark: SparkSession, sf: str) -> DataFrame:
+    """The mappings read back from one repository export by their row tag."""
+    def write(path: str) -> None:
+        docs = xmlcat.parse_mappings(fx.mapping_xml(spark, sf)).select("m.*")
+        # input, laid down once: one file with one root, as a repository export is
+        docs.coalesce(1).write.format("xml").option("rootTag", "REPOSITORY").option("rowTag", "MAPPING").save(path)
+
+    m = xmlcat.read_mappings(spark, fx.written_once(spark, sf, "mapping_export", write))
+    return m.select(F.substring("mapping", 2, 20).cast("bigint").alias("mapping_id"), "m")
 
 
 # F35 --------------------------------------------------------------------
@@ -121,7 +132,7 @@ def xml_transformations(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey AS mapping_id, 'EXP' AS from_stage, 'AGG' AS to_stage FROM part
 UNION ALL SELECT p_partkey, 'SQ', 'EXP' FROM part""")
 def xml_connectors(spark: SparkSession, sf: str) -> DataFrame:
-    return xmlcat.connectors(xmlcat.parse_mappings(fx.mapping_xml(spark, sf)))
+    return xmlcat.connectors(exported(spark, sf))
 
 
 # F36 --------------------------------------------------------------------

@@ -150,23 +150,28 @@ def sas_scalars(spark: SparkSession, sf: str) -> DataFrame:
 
 # G11 --------------------------------------------------------------------
 _INITIAL_CUTOFF = "2024-01-10 00:00:00"
+_G11_COLS = ["event_id", "ts", "user_id", "value"]
+#: the second load: all events again, changed ones (each 14th twice, the later one counts), and late rows behind the watermark
+_G11_SECOND = """
+SELECT event_id, ts, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-09 00:00:00'
+UNION ALL SELECT event_id, ts + INTERVAL '40' DAY, user_id, value + 1 FROM events WHERE event_id % 7 = 0
+UNION ALL SELECT event_id, ts + INTERVAL '41' DAY, user_id, value + 2 FROM events WHERE event_id % 14 = 0
+UNION ALL SELECT event_id, ts - INTERVAL '40' DAY, user_id, value + 3 FROM events WHERE event_id % 5 = 0"""
 
 
 @query("incremental_model", f"""
-SELECT event_id, ts, user_id, value,
-  CASE WHEN ts < TIMESTAMP '{_INITIAL_CUTOFF}' THEN 'initial' ELSE 'incremental' END AS loaded_in
-FROM events""")
+WITH first AS (SELECT event_id, ts, user_id, value FROM events WHERE ts < TIMESTAMP '{_INITIAL_CUTOFF}'),
+loads AS (
+  SELECT *, 0 AS load_no FROM first
+  UNION ALL SELECT *, 1 FROM ({_G11_SECOND}) WHERE ts >= (SELECT max(ts) FROM first))
+SELECT event_id, ts, user_id, value FROM loads
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC, load_no DESC, value DESC) = 1""")
 def incremental_model(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
-    first = scratch_path(spark, "incr_v1")
-    ev.filter(F.col("ts") < F.expr(f"TIMESTAMP_NTZ'{_INITIAL_CUTOFF}'")) \
-        .withColumn("loaded_in", F.lit("initial")).write.parquet(first)
-    target = spark.read.parquet(first)
-    merged = sas.incremental_model(target, ev.withColumn("loaded_in", F.lit("incremental")),
-                                   "ts", ["event_id"])
-    second = scratch_path(spark, "incr_v2")  # never overwrite the path being read
-    merged.write.parquet(second)
-    return spark.read.parquet(second)
+    ev = table(spark, sf, "events").select(*_G11_COLS)
+    path, n = scratch_path(spark, "incremental"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sas.incremental_load(spark, path, ev.filter(F.expr(f"ts < TIMESTAMP_NTZ'{_INITIAL_CUTOFF}'")), ["event_id"], "ts", n)
+    second = spark.sql(_G11_SECOND.replace("FROM events", "FROM {ev}").replace("TIMESTAMP '", "TIMESTAMP_NTZ '"), ev=ev)
+    return sas.incremental_load(spark, path, second, ["event_id"], "ts", n)
 
 
 # G12 --------------------------------------------------------------------

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferryman.operators import sas
 from ferryman.operators.jobs import job_state
 
 EVENT_SCHEMA = "job_id bigint, event_id bigint, ts timestamp_ntz, step string, status string"
@@ -105,6 +106,17 @@ def incremental_stream(spark: SparkSession, src: str, schema: str, target: str,
     q.awaitTermination()
 
 
+def incremental_bucket_stream(spark: SparkSession, src: str, schema: str, target: str, keys: Sequence[str], ts: str,
+                              checkpoint: str, n_buckets: int = 64, order: Sequence[str] = ()) -> None:
+    """G11 streaming form on a bucketed target: each micro-batch replaces the
+    buckets it changes and no others; the newest row of a key wins whatever the order
+    of the batches. A replayed batch finds its rows in place and writes nothing."""
+    stream = spark.readStream.schema(schema).parquet(src)
+    q = (stream.writeStream.foreachBatch(lambda df, _: sas.bucketed_upsert(spark, target, df, keys, ts, n_buckets, order) and None)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def _versions(spark: SparkSession, target: str) -> tuple[int, DataFrame | None]:
     """(highest committed version number, its rows); (-1, None) when empty.
 

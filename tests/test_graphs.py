@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ferryman.operators import graph, xmlcat
@@ -60,10 +61,11 @@ def frames(spark, groups):
     return nodes, edges
 
 
-def test_levels_and_cycles_against_plain_reach(spark):
+@pytest.mark.parametrize("row_edges", [graph.ROW_EDGES, 0, 6])
+def test_levels_and_cycles_against_plain_reach(spark, row_edges):
     groups = made_graphs()
     nodes, edges = frames(spark, groups)
-    got = {(r.g, r.node): (r.level, r.kind, r.cycle) for r in graph.peel_levels(nodes, edges, "g").collect()}
+    got = {(r.g, r.node): (r.level, r.kind, r.cycle) for r in graph.peel_levels(nodes, edges, "g", row_edges=row_edges).collect()}
     assert got == {(g, v): x[:3] for g, (vs, es) in groups.items() for v, x in plain(vs, es).items()}
 
 
@@ -86,7 +88,7 @@ def test_row_graph_against_plain_reach(spark):
     groups = made_graphs()
     rows = [(g, [f"n{v:03}" for v in vs], [(f"n{a:03}", f"n{b:03}") for a, b in es] + [("nowhere", f"n{v:03}") for v in vs[:1]]) for g, (vs, es) in groups.items()]
     df = spark.createDataFrame(rows, "g int, names array<string>, links array<struct<src:string,dst:string>>")
-    got = {(r.g, r.stage): (r.level, r.n_upstream) for r in df.select("g", F.inline(graph.row_graph(F.col("names"), F.col("links")))).collect()}
+    got = {(r.g, r.stage): (r.level, r.n_upstream) for r in df.select("g", F.inline(graph.row_graph(F.col("names"), F.col("links")))).select("g", "stage", "level", "n_upstream").collect()}
     assert got == {(g, f"n{v:03}"): (x[0], x[3]) for g, (vs, es) in groups.items() for v, x in plain(vs, es).items()}
 
 
