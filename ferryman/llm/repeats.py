@@ -44,7 +44,7 @@ def byte_units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def with_row_id(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns to carry as one, and a row id from doc_id and text; rows equal in both share it, which is harmless (they repeat each other)."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*(carry or [F.lit(0).alias("_")])).alias("carried"))
 
 
 def _row_batch(rid, key, ctx, q, back, width) -> pa.RecordBatch:

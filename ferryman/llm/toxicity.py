@@ -17,6 +17,7 @@ every score is 0; rows that repeat are scored alike; further columns are not rea
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -264,22 +265,43 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_clean: i
     label = label.filter(~held_out(F.col("doc_id"))).withColumn("turn", F.xxhash64("doc_id", F.lit(7)))
     # at most n_toxic + n_clean rows of numbers: a proven bound
     picked = label.filter("toxic = 1").orderBy("turn", "doc_id").limit(n_toxic).unionAll(label.filter("toxic <> 1").orderBy("turn", "doc_id").limit(n_clean))
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return train([r.text for r in rows], np.array([r.toxic for r in rows])) if rows else train([""], np.zeros(1))
+    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += column(batch, "text").to_pylist()
+            toxic += column(batch, "toxic").to_pylist()
+        if texts:
+            model = train(texts, np.array(toxic))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.keys, model.shift, model.p))], pa.binary())], names=["model"])
+
+    # the bounded sample is trained on in one task; the driver holds the parameters only, never texts or what training needs
+    packed = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(task, "model binary").collect()
+    if not packed:
+        return train([""], np.zeros(1))
+    keys, shift, p = pickle.loads(packed[0].model)
+    model = Model(keys, np.zeros(len(keys), np.float32))
+    model.shift, model.p = shift, p
+    return model
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of the documents and ``score``."""
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc``, each row of the documents as it is, in one struct so that no name of its own clashes, and its ``score``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in blocks(batches, "score_text"):
+        for batch, data, off in blocks(batches):
             worst = model.worst(Text(data, off)) + model.shift
             worst = np.where(np.isfinite(worst), sigmoid(np.clip(worst, -30, 30)), 0.0)
-            rest = batch.drop_columns(["score_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(worst, pa.float64())], names=[*rest.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(worst, pa.float64())], names=["doc", "score"])
 
-    schema = docs.drop("score").schema.add("score", "double")
-    return docs.drop("score").withColumn("score_text", F.coalesce("text", F.lit(""))).mapInArrow(task, schema)
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(task, rows.select("doc").schema.add("score", "double"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of the documents and ``score``, in place of one of that name."""
+    return scored(docs, model).select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "score"], "score")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

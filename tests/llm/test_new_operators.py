@@ -283,3 +283,20 @@ def test_factor_and_rotations():
         values, axes = whitening.one_sided_jacobi(factor)
         assert np.abs(axes.T @ axes - np.eye(len(values))).max() < 1e-12
         assert np.abs((axes * values) @ axes.T - v).max() < 1e-12 * np.trace(v)
+
+
+# ---- rows of the pipeline keep their own columns
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["score", "score_text", "_", "doc", "carried", "kept", "rid", "size", "taken", "slice", "target", "label", "turn"]
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words + f" {i} " + " ".join(f"x{i}_{k}" for k in range(40)), "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(6)] + [(None, None, None, None, None, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = {(r.doc_id, tuple(r[n] for n in names)) for r in out.collect()}
+        assert got and got <= {(r[0], tuple(r[5:])) for r in rows}, name
