@@ -17,7 +17,7 @@ from ferryman.llm.tables import drop, keep, table
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("score < 0.5").select(docs.columns)
+    return toxicity.scored(docs, model).filter("score < 0.5").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
