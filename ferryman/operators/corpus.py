@@ -6,6 +6,8 @@ projection/filter over it (no shuffle), except the folder scan itself.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,11 +84,11 @@ def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> Data
     the path become columns. Invalid sequences become U+FFFD under
     ``make_valid_utf8`` and are then removed.
 
-    Spark's file scans skip zero-length files. When the file index lists more
-    files than the scan returns, the missing ones are found as listed paths
-    the scan did not return -- an anti join on paths only, which reads no
-    file content -- and added back with empty text; otherwise no path list
-    leaves the JVM.
+    Spark's file scans skip zero-length files. These are the paths of the file index
+    that the scan does not return, found by an anti join on paths (which reads no
+    content) and added with empty text; their partition folders become columns as well. The
+    index's paths are dealt to the tasks inside the JVM: no list of them passes
+    through Python or the plan.
     """
     r = spark.read.format("binaryFile")
     if glob:
@@ -94,15 +96,19 @@ def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> Data
     df = r.load(path)
     text = utf8_ignore(F.col("content"))
     files = df.withColumn("text", text).drop("content", "modificationTime")
-    # usual case, no empty file: the index's length (one number from the JVM)
-    # equals a path-only count of the scan (no file content is read)
-    if len(df._jdf.inputFiles()) == df.select("path").count():
-        return files
-    listed = spark.createDataFrame([(p,) for p in df.inputFiles()], "listed string") \
-        .select(_norm_path(F.col("listed")).alias("path"))
-    empty = listed.join(df.select(_norm_path(F.col("path")).alias("path")), "path", "left_anti") \
-        .select("path", F.lit(0).cast("bigint").alias("length"), F.lit("").alias("text"))
-    return files.unionByName(empty, allowMissingColumns=True)
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    index = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(df._jdf.inputFiles())
+    paths = sc._jsc.sc().parallelize(index, sc.defaultParallelism, jvm.scala.reflect.ClassTag.AnyRef())
+    listed = DataFrame(spark._jsparkSession.createDataset(paths, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    # the index spells paths as URLs, the reader as they are; partition folders escape values once more
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    listed = listed.select(_norm_path(plain(F.col("value"))).alias("path"))
+    folders = [f for f in df.schema.fields if f.name not in ("path", "modificationTime", "length", "content")]
+    empty = listed.join(df.select(_norm_path(F.col("path")).alias("path")), "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"),
+        *[F.nullif(plain(F.regexp_extract("path", f"/{re.escape(f.name)}=([^/]*)/", 1)), F.lit("")).cast(f.dataType).alias(f.name) for f in folders],
+        F.lit("").alias("text"))
+    return files.unionByName(empty)
 
 
 def eligible(df: DataFrame, source: str = "source", target: str = "target",

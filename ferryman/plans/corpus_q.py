@@ -13,13 +13,14 @@ from ferryman.session import scratch_path
 from ferryman.sources import fixtures as fx
 
 
-# A1 (rows-only) -----------------------------------------------------------
-@query("corpus_scan")
+# A1 -----------------------------------------------------------------------
+# the files are written with a line break behind the text
+@query("corpus_scan", fx.with_ctes("SELECT script_id, CAST(strlen(text) + 1 AS BIGINT) AS length, text || chr(10) AS text FROM scripts", "scripts"))
 def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Scan the script corpus laid down as one file per script (the files are
     written once per application from ``documents``, as a deployment would
     already have them)."""
-    return corpus.corpus_scan(spark, fx.script_files(spark, sf)).select("script_id", "path", "length", "text")
+    return corpus.corpus_scan(spark, fx.script_files(spark, sf)).select(F.col("script_id").cast("bigint").alias("script_id"), "length", "text")
 
 
 # A2 ---------------------------------------------------------------------

@@ -142,15 +142,17 @@ def joiner_inner(spark: SparkSession, sf: str) -> DataFrame:
 
 # F10 --------------------------------------------------------------------
 @query("joiner_outer", """
-SELECT c.c_custkey, o.o_orderkey, o.o_custkey, o.o_totalprice
-FROM (SELECT * FROM customer WHERE c_nationkey < 5) c
-FULL OUTER JOIN (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01 00:00:00') o
-  ON o.o_custkey = c.c_custkey""")
+WITH c AS (SELECT * FROM customer WHERE c_nationkey < 5),
+o AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01 00:00:00')
+SELECT 'full_outer' AS kind, c.c_custkey, o.o_orderkey, o.o_custkey, o.o_totalprice FROM c FULL OUTER JOIN o ON o.o_custkey = c.c_custkey
+UNION ALL SELECT 'left_outer', c.c_custkey, o.o_orderkey, o.o_custkey, o.o_totalprice FROM c LEFT JOIN o ON o.o_custkey = c.c_custkey
+UNION ALL SELECT 'right_outer', c.c_custkey, o.o_orderkey, o.o_custkey, o.o_totalprice FROM c RIGHT JOIN o ON o.o_custkey = c.c_custkey""")
 def joiner_outer(spark: SparkSession, sf: str) -> DataFrame:
     c = _t(spark, sf, "customer").filter("c_nationkey < 5").select("c_custkey")
     o = _t(spark, sf, "orders").filter(F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ'2001-01-01 00:00:00'")) \
         .select("o_orderkey", "o_custkey", "o_totalprice")
-    return etl.joiner(c, o, c.c_custkey == o.o_custkey, "full_outer")
+    kinds = ("full_outer", "left_outer", "right_outer")
+    return etl.funnel(*[etl.joiner(c, o, c.c_custkey == o.o_custkey, k).select(F.lit(k).alias("kind"), "*") for k in kinds])
 
 
 def _part_lookup_side(spark, sf):

@@ -9,7 +9,9 @@ from ferryman.functions.text import PY_LINEBREAK, PY_WS, duck_splitlines_count,
 from ferryman.operators import quality as q
 from ferryman.plans.corpus_q import rate_join_sql, usd_sql
 from ferryman.plans.registry import query
+from ferryman.session import materialize
 from ferryman.sources import fixtures as fx
+from ferryman.sources.tables import table
 
 AS_OF = "2024-06-30T12:00:00"
 _PY = "(" + ", ".join(f"'{t}'" for t in q.PYTHON_TARGETS) + ")"
@@ -92,7 +94,7 @@ def jobs_ctes() -> list[tuple[str, str]]:
                    CAST(count(*) AS BIGINT) AS n_chunks
             FROM (SELECT job_id, id, {duck_trim('code')} AS t, {d_num('id')} AS n, {d_sub('id')} AS s
                   FROM conv_results WHERE ok) GROUP BY job_id"""),
-        ("jmeta", "SELECT job_id, first(target) AS target, first(model) AS model FROM conv_results GROUP BY job_id"),
+        ("jmeta", "SELECT job_id, min(target) AS target, min(model) AS model FROM conv_results GROUP BY job_id"),
         ("jm", """SELECT j.job_id, j.target, j.model, coalesce(m.merged, '') AS merged,
                   coalesce(m.n_chunks, CAST(0 AS BIGINT)) AS n_chunks FROM jmeta j LEFT JOIN okm m USING (job_id)"""),
         ("jlines", f"""SELECT job_id, unnest(arr) AS l, generate_subscripts(arr, 1) AS i FROM (
@@ -104,10 +106,13 @@ def jobs_ctes() -> list[tuple[str, str]]:
                   row_number() OVER (PARTITION BY job_id, t ORDER BY i) AS rn
             FROM (SELECT *, {duck_trim('l')} AS t FROM jlines)"""),
         ("jdd", "SELECT job_id, string_agg(l, chr(10) ORDER BY i) AS txt FROM jflag WHERE NOT imp OR rn = 1 GROUP BY job_id"),
-        ("jobs", f"""SELECT jm.*, CASE WHEN lower(target) IN {_PY}
+        ("jbase", f"""SELECT jm.*, CASE WHEN lower(target) IN {_PY}
                      THEN regexp_replace(coalesce(jdd.txt, ''), '\\n{{3,}}', chr(10) || chr(10), 'g')
                      ELSE {duck_trim('merged')} END AS base_code
             FROM jm LEFT JOIN jdd USING (job_id)"""),
+        *clean_ctes("jbase", "job_id", "base_code", "jfin", marker_step=False),
+        ("jobs", """SELECT jbase.*, regexp_replace(cleaned, '\\n{3,}', chr(10) || chr(10), 'g') AS final_code
+            FROM jbase JOIN jfin USING (job_id)"""),
         ("usage", f"""SELECT job_id, 'llm' AS stage, CAST(sum(input_tokens) AS BIGINT) AS input,
                        CAST(sum(output_tokens) AS BIGINT) AS output, first(model) AS model
                 FROM conv_results GROUP BY job_id
@@ -177,7 +182,7 @@ def success_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _jobs_usage(spark, sf):
     c = cr(spark, sf)
-    jobs = q.job_code(c)
+    jobs = materialize(q.job_code(c), "job_code")  # one frame a job, which usage, cost and report read
     return c, jobs, q.stage_usage(c, jobs)
 
 
@@ -215,10 +220,16 @@ def answer_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # D8 ---------------------------------------------------------------------
-@query("strip_fences", with_cr("SELECT job_id, id, cleaned FROM fence",
+_LINES = f"regexp_split_to_array(regexp_replace(code, '({PY_LINEBREAK})$', ''), '{PY_LINEBREAK}')[2:]"
+
+
+@query("strip_fences", with_cr(f"""
+SELECT job_id, id, cleaned, CASE WHEN starts_with(code, '```') THEN array_to_string(
+    CASE WHEN len(lines) > 0 AND {duck_trim('lines[-1]')} = '```' THEN lines[1:len(lines) - 1] ELSE lines END, chr(10)) ELSE code END AS downloaded
+FROM fence JOIN (SELECT job_id, id, code, {_LINES} AS lines FROM conv_results) USING (job_id, id)""",
                                clean_ctes("conv_results", "job_id, id", "code", "fence", marker_step=False)))
 def strip_fences(spark: SparkSession, sf: str) -> DataFrame:
-    return cr(spark, sf).select("job_id", "id", q.strip_fences("code").alias("cleaned"))
+    return cr(spark, sf).select("job_id", "id", q.strip_fences("code").alias("cleaned"), q.download_code("code").alias("downloaded"))
 
 
 # D9 ---------------------------------------------------------------------
@@ -397,8 +408,8 @@ def collapse_blank(spark: SparkSession, sf: str) -> DataFrame:
 
 # D23 --------------------------------------------------------------------
 @query("before_after", with_cr(f"""
-SELECT job_id, 'Before' AS phase, {duck_splitlines_count('merged')} AS lines FROM jobs
-UNION ALL SELECT job_id, 'After', {duck_splitlines_count('base_code')} FROM jobs""", jobs_ctes()))
+SELECT job_id, 'Before' AS phase, {duck_splitlines_count('base_code')} AS lines FROM jobs
+UNION ALL SELECT job_id, 'After', {duck_splitlines_count('final_code')} FROM jobs""", jobs_ctes()))
 def before_after(spark: SparkSession, sf: str) -> DataFrame:
     return q.before_after(_jobs_usage(spark, sf)[1])
 
@@ -417,25 +428,33 @@ def actual_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # D25 --------------------------------------------------------------------
-_REPORT_SCHEMA = ("summary struct<timestamp string, model string, chunks bigint, total_cost_usd decimal(18,6)>, "
-                  "optimization struct<lines_before bigint, lines_after bigint>, "
+_REPORT_SCHEMA = ("summary struct<timestamp string, llm string, model string, chunks bigint, total_cost_usd decimal(18,6), "
+                  "input_filename string, input_basename string>, input struct<sas_line_count bigint>, runtime_sec double, "
+                  "graph_trace array<string>, files struct<before_src string, optimized_file string>, optimization struct<lines_before bigint, lines_after bigint>, "
                   "llm_usage struct<by_stage map<string, struct<input bigint, output bigint, total bigint>>, "
                   "total_tokens bigint>")
 
 
 @query("run_report", with_cr(f"""
 SELECT j.job_id, '{AS_OF}' AS as_of, j.n_chunks AS chunks, c.cost_usd AS total_cost_usd,
-       {duck_splitlines_count('j.merged')} AS lines_before, {duck_splitlines_count('j.base_code')} AS lines_after,
+       {duck_splitlines_count('j.base_code')} AS lines_before, {duck_splitlines_count('j.final_code')} AS lines_after,
+       split_part(j.model, '-', 1) AS llm, f.filename AS input_filename, f.stem AS input_basename, f.n_lines AS sas_line_count, f.sec AS runtime_sec, f.n_steps,
+       'Optimized_' || f.stem || CASE WHEN lower(j.target) IN {_PY} THEN '.py' ELSE '.sql' END AS optimized_file,
        ul.input AS llm_input, uo.input AS optimize_input, c.total_tokens
 FROM jobs j JOIN cost c USING (job_id)
+JOIN (SELECT conv_id AS job_id, 'conv_' || conv_id || '.v1.sas' AS filename, 'conv_' || conv_id || '.v1' AS stem, min(length(text) - length(replace(text, chr(10), '')) + 1) AS n_lines,
+        CAST(count(*) AS DOUBLE) / 2 AS sec, CAST(count(*) AS BIGINT) AS n_steps FROM conversations GROUP BY conv_id) f USING (job_id)
 JOIN (SELECT * FROM usage WHERE stage = 'llm') ul USING (job_id)
 JOIN (SELECT * FROM usage WHERE stage = 'optimize') uo USING (job_id)""", jobs_ctes() + _UC))
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     c, jobs, usage = _jobs_usage(spark, sf)
-    rep = q.run_report(jobs, usage, q.actual_cost(usage), AS_OF)
+    rep = q.run_report(jobs, usage, q.actual_cost(usage), AS_OF, report_facts(spark, sf, jobs))
     r = rep.select("job_id", F.from_json("report_json", _REPORT_SCHEMA).alias("r"))
     return r.select("job_id", F.col("r.summary.timestamp").alias("as_of"), F.col("r.summary.chunks").alias("chunks"),
                     F.col("r.summary.total_cost_usd").alias("total_cost_usd"),
+                    F.col("r.summary.llm").alias("llm"), F.col("r.summary.input_filename").alias("input_filename"), F.col("r.summary.input_basename").alias("input_basename"),
+                    F.col("r.input.sas_line_count").alias("sas_line_count"), F.col("r.runtime_sec").alias("runtime_sec"),
+                    F.size("r.graph_trace").cast("bigint").alias("n_steps"), F.col("r.files.optimized_file").alias("optimized_file"),
                     F.col("r.optimization.lines_before").alias("lines_before"),
                     F.col("r.optimization.lines_after").alias("lines_after"),
                     F.col("r.llm_usage.by_stage")["llm"]["input"].alias("llm_input"),
@@ -443,6 +462,15 @@ def run_report(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("r.llm_usage.total_tokens").alias("total_tokens"))
 
 
+def report_facts(spark: SparkSession, sf: str, jobs: DataFrame) -> DataFrame:
+    """Facts of a job from its conversation: file name, source text (the shortest turn stands for it), seconds, one step a turn."""
+    conv = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("job_id")).agg(
+        F.min_by("text", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("source_code"),
+        (F.count(F.lit(1)).cast("double") / 2).alias("runtime_sec"), F.collect_list("role").alias("graph_trace"))
+    return conv.join(jobs.select("job_id", F.split_part("model", F.lit("-"), F.lit(1)).alias("llm")), "job_id").withColumn(
+        "input_filename", F.concat(F.lit("conv_"), F.col("job_id").cast("string"), F.lit(".v1.sas")))
+
+
 # D26 --------------------------------------------------------------------
 @query("usage_series", with_cr("""
 SELECT job_id, 'LLM In' AS name, input AS value FROM usage WHERE stage = 'llm'

@@ -75,3 +75,18 @@ def test_utf8_ignore_matches_python_decode(spark):
     got = {r.i: r.t for r in df.select("i", corpus.utf8_ignore(F.col("b")).alias("t")).collect()}
     bad = [(blobs[i], got[i]) for i in got if got[i] != blobs[i].decode("utf-8", errors="ignore")]
     assert not bad, bad[:3]
+
+
+def test_corpus_scan_gives_empty_files_their_folder_columns(spark, tmpdir_path):
+    for i, body in enumerate([b"data x;", b"", b"run;", b""]):
+        os.makedirs(tmpdir_path + f"/c/script_id={i}/kind=a b")
+        with open(tmpdir_path + f"/c/script_id={i}/kind=a b/f.sas", "wb") as f:
+            f.write(body)
+    got = {r.script_id: (r.kind, r.length, r.text) for r in corpus.corpus_scan(spark, tmpdir_path + "/c").collect()}
+    assert got == {0: ("a b", 7, "data x;"), 1: ("a b", 0, ""), 2: ("a b", 4, "run;"), 3: ("a b", 0, "")}
+
+
+def test_comp3_of_every_sign_nibble(spark):
+    rows = spark.createDataFrame([(bytearray.fromhex("0123" + "4" + n),) for n in "ABCDEF"], "b binary")
+    got = [int(r[0]) for r in rows.select(cobol.comp3_decode(F.col("b"), 5, 0)).collect()]
+    assert got == [1234, -1234, 1234, -1234, 1234, 1234]
