@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferryman.functions.text import PY_WS, let, rstrip_ws, splitlines_array, splitlines_count, trim_ws
+from ferryman.operators import graph
+from ferryman.session import materialize
 
 # fixed values: patterns of the script grammar
 SAS_BLOCK_COMMENT = r"(?s)/\*.*?\*/"
@@ -313,16 +315,27 @@ def plsql_object_type(code) -> Column:
 
 
 # ------------------------------------------------------------------ B16-B18
-def sas_chunks(df: DataFrame, text: str = "text", key: str = "script_id", budget: int = SAS_BUDGET) -> DataFrame:
-    """SAS path of the dispatcher: blocks (B6) -> budget chunks (B7) -> ids."""
+def sas_chunks(df: DataFrame, text: str = "text", key: str = "script_id", budget: int = SAS_BUDGET,
+               max_lines: int = SAS_OVERFLOW) -> DataFrame:
+    """SAS path of the dispatcher: blocks (B6) -> budget chunks (B7) -> macro definitions
+    before uses (C1 to C3) -> ids in that order -> overflow split (B8). ``seq`` numbers the
+    result. Chunks on or behind a macro cycle have no order and come last, as they stand."""
     blocks = sas_blocks(df, text, key).withColumn("_lines", F.split(F.col("code"), "\n", -1))
     lines = F.col("_lines")
     cuts = greedy_cuts(F.size(lines), lambda i: _ends_with_any(F.element_at(lines, i + 1), SAS_TERMINATORS), budget)
     ch = blocks.withColumn("_cuts", cuts).select(
         key, "block_no", F.posexplode(pieces_from_cuts(lines, F.col("_cuts"))).alias("sub", "code"))
     w = Window.partitionBy(key).orderBy("block_no", "sub")
-    return ch.withColumn("seq", F.row_number().over(w)).select(
-        key, chunk_id(F.col("seq")).alias("id"), trim_ws(F.col("code")).alias("code"), "seq")
+    # chunked once and written: definitions, uses and the result read it
+    ch = materialize(ch.select(key, F.row_number().over(w).alias("seq"), "code"), "sas_path_chunks")
+    levels = graph.peel_levels(ch.select(key, F.col("seq").alias("node")), graph.macro_edges(ch, graph.macro_defs(ch, key), key), key)
+    ordered = ch.join(levels.select(key, F.col("node").alias("seq"), "level"), [key, "seq"])
+    w = Window.partitionBy(key).orderBy(F.col("level").asc_nulls_last(), "seq")
+    ordered = ordered.withColumn("ord", F.row_number().over(w))
+    ids = ordered.select(key, "ord", chunk_id(F.col("ord")).alias("id"), trim_ws(F.col("code")).alias("code"))
+    out = overflow_split(ids, max_lines=max_lines, keys=(key, "ord"))
+    w = Window.partitionBy(key).orderBy("ord", F.coalesce(F.regexp_extract("id", r"_sub(\d+)$", 1).try_cast("int"), F.lit(0)))
+    return out.select(key, "id", "code", F.row_number().over(w).alias("seq"))
 
 
 # fixed values: chunk labels of the whole-script sources and the PL/SQL source names

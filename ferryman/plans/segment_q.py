@@ -315,19 +315,63 @@ _WHOLE_CASE = "CASE lower(source) " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in sg.WHOLE_LABELS.items()) + " ELSE 'SQL' END"
 
 
+_MIXED = ("mixed", """SELECT s.script_id, s.source, CASE WHEN lower(s.source) = 'sas' THEN x.text
+        WHEN lower(s.source) IN ('oracle', 'plsql') THEN p.text ELSE s.text END AS text
+    FROM scripts s JOIN sas_scripts x USING (script_id) JOIN plsql_scripts p USING (script_id)""")
+
+
+def sas_path_ctes(src: str, p: str, max_lines: int) -> list[tuple[str, str]]:
+    """Chunks ``src`` (script_id, seq, code) in dependency order, with ids, split where too long: ``p``."""
+    return [
+        (f"{p}_def", f"""SELECT script_id, name, max(seq) AS def_seq FROM (
+            SELECT script_id, seq, regexp_extract(code, '(?i)%MACRO\\s+(\\w+)', 1) AS name FROM {src}
+            WHERE contains(code, '%MACRO') AND contains(code, '%MEND')) WHERE name <> '' GROUP BY script_id, name"""),
+        (f"{p}_edge", f"""SELECT DISTINCT d.script_id, d.def_seq AS src, c.seq AS dst FROM {p}_def d
+            JOIN {src} c ON c.script_id = d.script_id AND contains(c.code, '%' || d.name) AND c.seq <> d.def_seq"""),
+        (f"{p}_n", f"SELECT script_id, count(*) AS n FROM {src} GROUP BY script_id"),
+        (f"{p}_path", f"""SELECT script_id, seq AS node, CAST(0 AS BIGINT) AS d FROM {src}
+            UNION SELECT r.script_id, e.dst, r.d + 1 FROM {p}_path r
+            JOIN {p}_edge e ON e.script_id = r.script_id AND e.src = r.node JOIN {p}_n n ON n.script_id = r.script_id WHERE r.d < n.n"""),
+        (f"{p}_lv", f"SELECT script_id, node, max(d) AS level FROM {p}_path GROUP BY script_id, node"),
+        (f"{p}_ord", f"""SELECT c.script_id, c.code, row_number() OVER (PARTITION BY c.script_id ORDER BY
+                CASE WHEN l.level < n.n THEN l.level END NULLS LAST, c.seq) AS ord
+            FROM {src} c JOIN {p}_lv l ON l.script_id = c.script_id AND l.node = c.seq JOIN {p}_n n ON n.script_id = c.script_id"""),
+        (f"{p}_in", f"""SELECT script_id, ord, concat('blk_', lpad(CAST(ord AS VARCHAR), 3, '0')) AS id, {duck_trim('code')} AS code,
+            {d_splitlines('code')} AS L FROM (SELECT * REPLACE ({duck_trim('code')} AS code) FROM {p}_ord)"""),
+        (f"{p}_ov", f"SELECT *, len(L) AS n, list_transform(L, lambda l: {d_term_sas('l')}) AS T FROM {p}_in WHERE len(L) > {max_lines}"),
+        (f"{p}_rec", f"""SELECT script_id, ord, CAST(0 AS BIGINT) AS lo,
+                coalesce(list_max(list_filter(range(0, least({max_lines}, n)), lambda i: T[i + 1])) + 1, least({max_lines}, n)) AS hi, 1 AS k FROM {p}_ov
+            UNION ALL SELECT r.script_id, r.ord, r.hi,
+                coalesce(list_max(list_filter(range(r.hi, least(r.hi + {max_lines}, o.n)), lambda i: o.T[i + 1])) + 1, least(r.hi + {max_lines}, o.n)), r.k + 1
+            FROM {p}_rec r JOIN {p}_ov o USING (script_id, ord) WHERE r.hi < o.n"""),
+        (p, f"""SELECT script_id, id, code, row_number() OVER (PARTITION BY script_id ORDER BY ord, k) AS seq FROM (
+            SELECT script_id, ord, 0 AS k, id, code FROM {p}_in WHERE len(L) <= {max_lines}
+            UNION ALL SELECT r.script_id, r.ord, r.k, concat(o.id, '_sub', CAST(r.k AS VARCHAR)),
+                {duck_trim("array_to_string(o.L[CAST(r.lo + 1 AS BIGINT):CAST(r.hi AS BIGINT)], chr(10))")} FROM {p}_rec r JOIN {p}_ov o USING (script_id, ord))"""),
+    ]
+
+
 @query("dialect_dispatch", fx.with_ctes(f"""
-SELECT script_id, id, {d_sas_type('code')} AS type, code, CAST(seq AS INTEGER) AS seq FROM dsas
+SELECT script_id, id, {d_sas_type('code')} AS type, code, CAST(seq AS INTEGER) AS seq FROM dpath
 UNION ALL SELECT script_id, id, {d_plsql_type('code')}, code, CAST(seq AS INTEGER) FROM dpl
-UNION ALL SELECT script_id, 'blk_001', {_WHOLE_CASE}, {duck_trim('text')}, 1 FROM scripts
-  WHERE lower(source) NOT IN ('sas', 'oracle', 'plsql')""", "scripts",
-    extra=[("s_sas", "SELECT * FROM scripts WHERE lower(source) = 'sas'"),
-           ("s_pl", "SELECT * FROM scripts WHERE lower(source) IN ('oracle', 'plsql')")]
-    + sas_chunk_ctes("s_sas", "dsas", sg.SAS_BUDGET) + plsql_ctes("s_pl", "dpl", sg.PLSQL_BUDGET), recursive=True))
+UNION ALL SELECT script_id, 'blk_001', {_WHOLE_CASE}, {duck_trim('text')}, 1 FROM mixed
+  WHERE lower(source) NOT IN ('sas', 'oracle', 'plsql')""", "scripts", "sas_scripts", "plsql_scripts",
+    extra=[_MIXED, ("s_sas", "SELECT * FROM mixed WHERE lower(source) = 'sas'"),
+           ("s_pl", "SELECT * FROM mixed WHERE lower(source) IN ('oracle', 'plsql')")]
+    + sas_chunk_ctes("s_sas", "dsas", sg.SAS_BUDGET) + sas_path_ctes("dsas", "dpath", sg.SAS_OVERFLOW) + plsql_ctes("s_pl", "dpl", sg.PLSQL_BUDGET), recursive=True))
 def dialect_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    out = sg.dialect_dispatch(fx.scripts(spark, sf))
+    out = sg.dialect_dispatch(mixed_scripts(spark, sf))
     return out.withColumn("seq", F.col("seq").cast("int"))
 
 
+def mixed_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixed corpus: every script has text of its own source."""
+    s, source = fx.scripts(spark, sf).select("script_id", "source", "text"), F.lower("source")
+    x, p = (f(spark, sf).withColumnRenamed("text", n) for f, n in ((_sas, "sas_text"), (_pl, "pl_text")))
+    text = F.when(source == "sas", F.col("sas_text")).when(source.isin(sg.PLSQL_SOURCES), F.col("pl_text")).otherwise(F.col("text"))
+    return s.join(x, "script_id").join(p, "script_id").select("script_id", "source", text.alias("text"))
+
+
 # B17 --------------------------------------------------------------------
 @query("empty_fallback", plsql(f"""
 SELECT script_id, id, {d_plsql_type('code')} AS type, code FROM pl
