@@ -357,7 +357,12 @@ def dialect_dispatch(scripts: DataFrame, key: str = "script_id", source: str = "
     whole = whole_src.select(key, F.lit("blk_001").alias("id"), trim_ws(F.col(text)).alias("code"),
                              F.lit(1).alias("seq"), label.alias("type"))
     cols = [key, "id", "type", "code", "seq"]
-    return sas.select(*cols).unionByName(pl.select(*cols)).unionByName(whole.select(*cols))
+    cut = sas.select(*cols).unionByName(pl.select(*cols))
+    # a script that gives no chunk still gives one row (B17): one outer join, the chunks are made once
+    none = scripts.filter(s.isin(["sas", *PLSQL_SOURCES])).select(F.col(key), F.col(text).alias("_text")).join(cut, key, "left")
+    cut = none.select(key, F.coalesce("id", F.lit("blk_001")).alias("id"), F.when(F.col("id").isNull(), "UNKNOWN").otherwise(F.col("type")).alias("type"),
+                      F.when(F.col("id").isNull(), F.col("_text")).otherwise(F.col("code")).alias("code"), F.coalesce("seq", F.lit(1)).alias("seq"))
+    return cut.unionByName(whole.select(*cols))
 
 
 def empty_fallback(scripts: DataFrame, chunks: DataFrame, key: str = "script_id", text: str = "text") -> DataFrame:

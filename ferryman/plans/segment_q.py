@@ -354,6 +354,8 @@ def sas_path_ctes(src: str, p: str, max_lines: int) -> list[tuple[str, str]]:
 @query("dialect_dispatch", fx.with_ctes(f"""
 SELECT script_id, id, {d_sas_type('code')} AS type, code, CAST(seq AS INTEGER) AS seq FROM dpath
 UNION ALL SELECT script_id, id, {d_plsql_type('code')}, code, CAST(seq AS INTEGER) FROM dpl
+UNION ALL SELECT script_id, 'blk_001', 'UNKNOWN', text, 1 FROM mixed WHERE lower(source) IN ('sas', 'oracle', 'plsql')
+  AND script_id NOT IN (SELECT script_id FROM dpath UNION ALL SELECT script_id FROM dpl)
 UNION ALL SELECT script_id, 'blk_001', {_WHOLE_CASE}, {duck_trim('text')}, 1 FROM mixed
   WHERE lower(source) NOT IN ('sas', 'oracle', 'plsql')""", "scripts", "sas_scripts", "plsql_scripts",
     extra=[_MIXED, ("s_sas", "SELECT * FROM mixed WHERE lower(source) = 'sas'"),
