@@ -539,10 +539,9 @@ def join_hints(spark: SparkSession, sf: str) -> DataFrame:
     c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     outs = []
     for h in ("broadcast", "shuffle_hash", "merge"):
-        # a side beyond the size check is not broadcast: that hint gives no rows then, rather than another join's under its name
-        if h == "broadcast" and not _fits(c):
-            raise ValueError("customer is too large to broadcast")
-        outs.append(o.join(etl.join_hint(c, h), "o_custkey").select(F.lit(h).alias("hint"), "o_orderkey", "c_name"))
+        # a side beyond the size check is not broadcast; the label names the join that runs
+        applied = "shuffle_hash" if h == "broadcast" and not _fits(c) else h
+        outs.append(o.join(etl.join_hint(c, applied), "o_custkey").select(F.lit(applied).alias("hint"), "o_orderkey", "c_name"))
     return etl.funnel(*outs)
 
 
