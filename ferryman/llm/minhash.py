@@ -10,7 +10,9 @@ row ids, hashes of doc_id and text, so a doc_id that stands on different texts i
 3. Banding: classes that agree on all rows of a band share a bucket. At a resemblance of 0.75
    a pair misses all 40 bands with a chance of 2.5e-7.
 4. Stars: each class in a bucket is compared with the bucket's smallest. Components of these
-   links come first. Members of buckets that still hold different components are then paired
+   links come first. Then each member outside the component most common in a bucket is compared with one
+   member of that one, another in each bucket, for up to ``TURNS`` rounds, so that the components of a large family of
+   edited copies grow together. Members of buckets that still hold different components are paired
    by an exact prefix filter on their rarest shingles. So a bucket of thousands of near copies
    costs one comparison each, documents that share a frequent passage only make no pairs, and no
    link between different components is left out.
@@ -40,6 +42,8 @@ BANDS, ROWS = 40, 4
 PERCENT = 75
 #: a pair is dropped by its signature only if the share of equal minima is this far below the limit (5.8 standard deviations)
 SLACK = 0.2
+#: rounds of comparing what is left of a bucket with further members of its most common part; what they leave open is decided exactly
+TURNS = 3
 SET_BITS = U64(52)
 
 
@@ -175,6 +179,29 @@ def _sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs
 
 
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """bucket, node, part: the members of the buckets with the component found so far."""
+    return members.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+
+
+def _hub_pairs(labelled: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each member of a bucket outside the part most common there, and one member of that part, another in each bucket and turn."""
+    drawn = labelled.groupBy("bucket", "part").agg(F.count("*").alias("rows"), F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias("hub"))
+    home = drawn.groupBy("bucket").agg(F.max(F.struct("rows", "part", "hub")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    far = labelled.join(home.select("bucket", F.col("m.part").alias("home"), F.col("m.hub").alias("hub")), "bucket").filter("part <> home")
+    return far.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links between nodes: components of the parts, then of their nodes."""
+    ends = [links.join(label.select(F.col("node").alias(c), F.col("component").alias(f"p{c}")), c, "left").select("a", "b", F.coalesce(f"p{c}", c).alias(f"p{c}")) for c in ("a", "b")]
+    edges = ends[0].join(ends[1], ["a", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+    of_part = components(edges).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    # nodes that were in no link so far are parts of their own
+    nodes = label.unionAll(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return nodes.join(of_part, nodes["component"] == of_part["part"], "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
@@ -195,13 +222,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = keep(_linked(near, texts), "star-links")
     label = keep(components(links), "star-components")
 
-    labelled = members.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    labelled = keep(labelled, "labelled")
+    asked, star_label = stars, label
+    for turn in range(TURNS):
+        labelled = keep(_labelled(members, label), "labelled")
+        pairs = keep(_hub_pairs(labelled, turn).join(asked, ["a", "b"], "left_anti"), "hub-pairs")
+        found = keep(_linked(keep(_promising(pairs, held), "near-hubs"), texts), "hub-links")
+        done = found.isEmpty()
+        if not done:
+            label = keep(_joined(label, found), "joined-parts")
+        so_far, asked = asked, keep(asked.unionAll(pairs), "asked-pairs")
+        drop(spark, so_far, labelled, pairs, found)
+        if done:
+            break
+
+    labelled = keep(_labelled(members, label), "labelled")
     mixed = keep(labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket"), "mixed-buckets")
     left = keep(labelled.join(mixed, "bucket", "left_semi").select("node", "part").distinct(), "open-nodes")
-    rest = _sharing_rare(left, texts.select(F.col("rid").alias("doc_id"), "text")).join(stars, ["a", "b"], "left_anti")
+    rest = _sharing_rare(left, texts.select(F.col("rid").alias("doc_id"), "text")).join(asked, ["a", "b"], "left_anti")
     more = keep(_linked(keep(_promising(rest, held), "near-rest"), texts), "rest-links")
-    final = keep(components(links.unionAll(more)), "components")
+    final = keep(_joined(label, more), "components")
 
     of_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_class = keep(of_class.select("fp1", "fp2", "n_shingles", "first", "component"), "class-components")
@@ -212,5 +251,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = F.col("doc_id").isNull() | F.col("least").isNull()
     out = out.select("rid", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id"), (alone | (F.col("least.rid") == F.col("rid"))).alias("kept"))
     out = keep(out, "near-duplicates")
-    drop(spark, sigs, classes, held, buckets, members, stars, near, texts, links, label, labelled, mixed, left, more, final, of_class, firsts, named)
+    drop(spark, sigs, classes, held, buckets, members, near, texts, links, star_label, label, asked, labelled, mixed, left, more, final, of_class, firsts, named)
     return out
