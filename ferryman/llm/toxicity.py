@@ -1,11 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is cut into words (letters and digits, A-Z lower-cased) and scored in all overlapping
-windows of ``WINDOW`` words, a new one every ``STRIDE``; the text's score is its worst window's.
+windows of ``WINDOW`` words, one from every word on; the text's score is its worst window's.
 A word comes in twice: as an embedding of the word (of those known from training) and as the
 mean embedding of its character trigrams, so that unknown words are judged by their letters.
 
-Training runs on the driver, on a bounded sample of labelled rows: at most ``FIT_TOXIC`` and
+Training runs in one task, on a bounded sample of labelled rows: at most ``FIT_TOXIC`` and
 ``FIT_CLEAN`` documents of at most ``FIT_CHARS`` characters. A labelled document counts through its
 most suspicious windows, chosen at first by the log odds of their words (which also start the
 word embeddings) and then by the network itself.
@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 
 from .textblock import U64, Words, blocks, column, lowered, text_buffer
 
-WINDOW, STRIDE = 32, 16
+WINDOW = 32
+#: training looks at windows this many words apart; scoring looks at all
+FIT_STEP = 16
+#: windows that slide along the words together
+CHUNK = 4096
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 TRIGRAMS = 4096
 MAX_WORDS, MIN_DOCS = 20_000, 5
@@ -66,12 +70,12 @@ class Text:
         at = np.cumsum(size) - size
         return self.trigram[np.arange(size.sum()) + np.repeat(self.at[forms] - at, size)], at
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Window starts (word numbers of the block) and the text of each."""
-        n = np.where(self.count > WINDOW, -(-(self.count - WINDOW) // STRIDE) + 1, np.minimum(self.count, 1))
+    def windows(self, apart: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of overlapping windows (word numbers of the block), so far apart up to the last one, and the text of each; a shorter text is one window."""
+        n = np.where(self.count > WINDOW, -(-(self.count - WINDOW) // apart) + 1, np.minimum(self.count, 1))
         text = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        return self.off[text] + np.minimum(step * STRIDE, np.maximum(self.count[text] - WINDOW, 0)), text
+        return self.off[text] + np.minimum(step * apart, np.maximum(self.count[text] - WINDOW, 0)), text
 
 
 class Model:
@@ -144,9 +148,60 @@ class Model:
         """The largest logit of each text's windows; minus infinity without words."""
         start, of = text.windows()
         out = np.full(len(text.count), -np.inf)
-        np.maximum.at(out, of, self.logits(text, start, of))
+        np.maximum.at(out, of, self.all_logits(text, start, of))
         return out
 
+    def all_logits(self, text: Text, start: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """A logit for each window of ``text.windows()``: those of whole length slide along the words, texts of less are run on their own."""
+        out = np.empty(len(start), np.float32)
+        short = text.count[of] < WINDOW
+        out[short] = self.logits(text, start[short], of[short])
+        x = self.inputs(text, np.arange(len(text.keys)))
+        sides = []
+        for side in "fb":
+            # the gates' share comes negated, as the sigmoid takes it
+            sign = np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, -1, 1).astype(np.float32)
+            sides.append(((x @ self.p[f"x{side}"] + self.p[f"b{side}"]) * sign, np.ascontiguousarray((self.p[f"h{side}"] * sign).T)))
+        whole = np.flatnonzero(~short)
+        i = 0
+        while i < len(whole):
+            # windows that start within a chunk of words, some of which may run over the end of a text and are left out
+            first = start[whole[i]]
+            j = int(np.searchsorted(start[whole], first + CHUNK))
+            with np.errstate(over="ignore"):
+                out[whole[i:j]] = self.sliding(text, sides, first, int(start[whole[j - 1]] - first) + 1)[start[whole[i:j]] - first]
+            i = j
+        return out
+
+    def sliding(self, text: Text, sides: list, first: int, n: int) -> np.ndarray:
+        """Logits of the n windows that start at the words from ``first`` on; a step of all of them is a slice of the words."""
+        h, p = HIDDEN, self.p
+        form = text.form[first : first + n + WINDOW - 1]
+        states = np.empty((WINDOW, 2 * h, n), np.float32)
+        for k, (inputs, w) in enumerate(sides):
+            x = np.ascontiguousarray(inputs[form].T)
+            state = np.zeros((h, n), np.float32)
+            for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
+                u, a = w @ state, x[:, t : t + n]
+                gates = u[: 2 * h]
+                gates += a[: 2 * h]
+                np.exp(gates, out=gates)  # infinity is a closed gate
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                new = u[2 * h :]
+                new *= gates[h:]
+                new += a[2 * h :]
+                np.tanh(new, out=new)
+                state = states[t, k * h : (k + 1) * h] = new + gates[:h] * (state - new)
+        both = np.concatenate([p["att"].T, p["out"][None, :]])
+        weight, total = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        for t in range(WINDOW):
+            q = both @ states[t]
+            share = np.exp(np.minimum(p["att_v"] @ np.tanh(q[:h] + p["att_b"][:, None]), 30))
+            weight += share
+            total += share * q[h]
+        return total / weight + p["out_b"][0]
+
     def gradients(self, text: Text, start: np.ndarray, of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over some windows, by backpropagation through time."""
         h, p = HIDDEN, self.p
@@ -221,7 +276,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     model = Model(text.keys[known], np.clip(odds[known], -3, 3).astype(np.float32) / 2, seed)
 
     rng = np.random.default_rng(seed)
-    start, of = text.windows()
+    start, of = text.windows(FIT_STEP)
     weight = np.zeros(len(text.keys))
     weight[known] = np.clip(odds[known], 0, 3) ** 2
     sums = np.r_[0, np.cumsum(weight[text.form])]
@@ -244,12 +299,12 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
                 model.p[k] -= RATE * (1 - epoch / (epochs + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         if epoch in (epochs // 4, epochs // 2):
             suspicion = model.logits(text, start, of).astype(np.float64)
-    # the limit of 0.5 goes where the fit rows are told apart best
+    # the limit of 0.5 goes where the fit rows are told apart best, toxic and clean ones counting alike however many there are
     score = model.worst(text)
     limits = np.unique(score[np.isfinite(score)])
     limits = (limits[1:] + limits[:-1]) / 2 if len(limits) > 1 else limits
     limits = limits[np.linspace(0, len(limits) - 1, min(len(limits), 2000)).astype(int)]
-    hits = np.array([((score >= c) == (y == 1)).sum() for c in limits])
+    hits = np.array([(score[y == 1] >= c).mean() + (score[y == 0] < c).mean() for c in limits])
     model.shift = -float(np.median(limits[hits == hits.max()]))
     return model
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ferryman.llm import decontamination, queries, spelling, whitening
@@ -300,3 +301,39 @@ def test_stages_keep_columns_of_any_name(spark):
         assert out.columns == docs.columns, name
         got = {(r.doc_id, tuple(r[n] for n in names)) for r in out.collect()}
         assert got and got <= {(r[0], tuple(r[5:])) for r in rows}, name
+
+
+def test_toxicity_scores_every_overlapping_window(monkeypatch):
+    """The sliding form against a plain forward pass over each window, word by word, also across chunks of words."""
+    from ferryman.llm import toxicity
+    from ferryman.llm.textblock import text_buffer
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["no", "yes", "Idiot", "niño", "x9"]) + rng.choice("abc") for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 50, 90)]
+    text = toxicity.Text(*text_buffer(pa.array(texts, pa.large_string())))
+    model = toxicity.Model(np.sort(text.keys)[::2], np.linspace(-1, 1, len(text.keys[::2])).astype(np.float32))
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x = model.inputs(text, text.form).astype(np.float64)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def one_way(words, side):
+        state, states, h = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for v in words:
+            a, u = v @ p[f"x{side}"] + p[f"b{side}"], state @ p[f"h{side}"]
+            z, r = sigmoid(a[:h] + u[:h]), sigmoid(a[h : 2 * h] + u[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :])
+            states.append(state)
+        return states
+
+    want = []
+    for begin, count in zip(text.off[:-1], text.count, strict=True):
+        logits = []
+        for at in range(max(count - toxicity.WINDOW + 1, min(count, 1))):
+            words = x[begin + at : begin + min(at + toxicity.WINDOW, count)]
+            states = np.concatenate([one_way(words, "f"), one_way(words[::-1], "b")[::-1]], axis=1)
+            weight = np.exp(np.tanh(states @ p["att"] + p["att_b"]) @ p["att_v"])
+            logits.append((weight / weight.sum()) @ states @ p["out"] + p["out_b"][0])
+        want.append(max(logits, default=-np.inf))
+    for chunk in (7, 4096):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert np.allclose(model.worst(text), want, atol=1e-4)
