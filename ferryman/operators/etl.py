@@ -2,20 +2,19 @@
 
 Every function takes and returns DataFrames with column names as parameters.
 All of them are lazy plan builders; nothing here triggers a job except the
-explicit sinks (``target_write``, ``partitioned_write``).
+explicit sinks (``target_write``, ``partitioned_write``) and the stages of ``stage_counts``.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryman.plans.sizing import maybe_broadcast
-from ferryman.session import materialize
+from ferryman.session import materialize, path_exists, scratch_path
 from ferryman.sources.tables import literal_table
 
 ColLike = str | Column
@@ -226,9 +225,11 @@ def one_per_key(source: DataFrame, keys: Sequence[str], newest: Sequence[ColLike
     if newest is not None:
         w = Window.partitionBy(*keys).orderBy(*[_col(c).desc() for c in newest])
         return source.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") == 1) | some_null).drop("_rn")
-    counted = source.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    stop = F.raise_error(F.lit("duplicate source key in an upsert: " + ", ".join(keys))).cast("boolean")
-    return counted.filter(F.when((F.col("_n") > 1) & ~some_null, stop).otherwise(F.lit(True))).drop("_n")
+    # counted by a partial aggregate of the keys alone; the frame of repeated keys is empty or stops the job
+    stop = F.raise_error(F.concat(F.lit("duplicate source key in an upsert: " + ", ".join(keys) + ", rows: "), F.col("_n")))
+    repeated = source.select(*keys).filter(~some_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = repeated.filter(F.when(F.col("_n") > 1, stop.cast("boolean")).otherwise(F.col("_n") < 1))
+    return source.join(repeated.select(*keys), list(keys), "left_anti").select(*source.columns)
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
@@ -320,32 +321,63 @@ def null_safe_equal(a: ColLike, b: ColLike) -> Column:
 
 
 # ------------------------------------------------------------ data checks
-def stage_counts(build: Callable[[Callable[[str, DataFrame], DataFrame]], DataFrame]) -> DataFrame:
-    """row count per stage and the change from the previous stage, in ONE
-    execution of the pipeline.
-
-    ``build(tap)`` builds the pipeline, passing each stage through ``tap``,
-    which adds an observation (``observe``: a count collected as the rows flow
-    by) and returns the observed frame for the next stage to build on. The
-    final stage then runs once to the ``noop`` sink and the counts come back
-    as metrics -- instead of one aggregate per stage, each re-running the
-    pipeline up to it. The result is a small ``VALUES`` table; the diff is a
-    window over ``len(stages)`` rows.
+def _part_counts(written: DataFrame) -> DataFrame:
+    """``part, rows``: rows by the task that wrote them, from the files' row counts alone."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    return written.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _stage_whole(spark: SparkSession, data: str, ledger: str, schema: T.StructType) -> bool:
+    """The stage was written to its end and still has the rows that its ledger names, part by part."""
+    if not (path_exists(spark, f"{data}/_SUCCESS") and path_exists(spark, f"{ledger}/_SUCCESS")):
+        return False
+    was = spark.read.schema("part int, rows bigint").parquet(ledger).select("part", F.col("rows").alias("was"))
+    now = _part_counts(spark.read.schema(schema).parquet(data))
+    return now.join(was, "part", "full_outer").filter(~F.col("rows").eqNullSafe(F.col("was"))).isEmpty()
+
+
+def stage_counts(build: Callable[[Callable[[str, DataFrame], DataFrame]], DataFrame],
+                 folder: str | None = None) -> DataFrame:
+    """row count per stage and the change from the previous stage.
+
+    ``build(tap)`` builds the pipeline, passing each stage through ``tap``. It writes
+    the stage to ``folder``, counts it by part in a ledger beside it, and returns the
+    written frame for the next stage to build on, so every stage runs once.
+    Counts come from committed files: a task that ran twice, after a lost executor
+    or speculatively, counts once, which a metric collected as the rows flow by
+    does not guarantee.
+
+    Without ``folder`` a run has a new one under the checkpoint folder. With the
+    ``folder`` of an earlier run of the same pipeline, stages that are whole are taken as they
+    are, and one that was not finished or has lost a part is written again from
+    the stage before it. A stage without rows counts 0.
     """
-    taps: list[tuple[str, Observation]] = []
+    taps: list[str] = []
+    sessions: list[SparkSession] = []
+    root = folder
 
     def tap(name: str, df: DataFrame) -> DataFrame:
-        o = Observation(f"stage_{len(taps)}_{uuid.uuid4().hex[:8]}")
-        taps.append((name, o))
-        return df.observe(o, F.count(F.lit(1)).alias("rows"))
-
-    final = build(tap)
-    final.write.format("noop").mode("overwrite").save()
-    rows = [(i, name, int(o.get["rows"])) for i, (name, o) in enumerate(taps, 1)]
-    u = literal_table(final.sparkSession, rows, ["stage_no", "stage", "rows"]).select(
-        F.col("stage_no").cast("int").alias("stage_no"), "stage", F.col("rows").cast("bigint").alias("rows"))
-    w = Window.orderBy("stage_no")
-    return u.withColumn("rows_delta", (F.col("rows") - F.lag("rows", 1).over(w)).cast("bigint"))
+        nonlocal root
+        spark = df.sparkSession
+        root = root or scratch_path(spark, "stages")
+        taps.append(name)
+        sessions.append(spark)
+        data, ledger = f"{root}/stage-{len(taps)}", f"{root}/counts/stage_no={len(taps)}"
+        written = spark.read.schema(df.schema)
+        if not (folder and _stage_whole(spark, data, ledger, df.schema)):
+            df.write.mode("overwrite").parquet(data)
+            _part_counts(written.parquet(data)).coalesce(1).write.mode("overwrite").parquet(ledger)
+        return written.parquet(data)
+
+    build(tap)
+    spark = sessions[0]
+    parts = spark.read.schema("part int, rows bigint, stage_no int").parquet(f"{root}/counts")
+    found = parts.groupBy("stage_no").agg(F.sum("rows").alias("rows"))
+    names = literal_table(spark, list(enumerate(taps, 1)), ["stage_no", "stage"])
+    u = names.select(F.col("stage_no").cast("int").alias("stage_no"), "stage").join(found, "stage_no", "left")
+    u = u.withColumn("rows", F.coalesce("rows", F.lit(0)).cast("bigint"))
+    w = Window.orderBy("stage_no")  # a row a stage
+    return u.select("stage_no", "stage", "rows", (F.col("rows") - F.lag("rows", 1).over(w)).cast("bigint").alias("rows_delta"))
 
 
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:

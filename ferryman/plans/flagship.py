@@ -35,7 +35,7 @@ def _band() -> F.Column:
 
 class _Steps(dict):
     """Named steps; every assignment passes through ``tap`` (identity unless
-    a caller observes the steps, F26), so later steps build on the tapped one."""
+    a caller writes and counts the steps, F26), so later steps build on the tapped one."""
 
     def __init__(self, tap):
         super().__init__()
