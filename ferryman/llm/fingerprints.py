@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,24 +98,30 @@ def edited(text: str, following: str) -> str:
 def in_order(docs: DataFrame) -> DataFrame:
     """bucket, ghost, key, doc_id, text: documents by descending doc_id, in buckets; after each bucket's rows stand, as ghosts, the first of the next one.
 
-    Buckets are ranges of doc_id at quantiles; only the bucket limits and the largest doc_id of
-    each bucket reach the driver. A null doc_id comes last. The last bucket is followed by the first.
+    Buckets are ranges of doc_id at quantiles, which are doc_ids of the table themselves, so a bucket's
+    limit is its largest doc_id. These limits alone, four a shuffle partition, reach the driver; a row finds its bucket
+    among them by binary search. A null doc_id comes last. The last bucket is followed by the first.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lowest = -(2**63)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(lowest)).alias("key"))
-    share = F.array(*[F.lit(i / (4 * n)) for i in range(1, 4 * n)])
-    cuts = sorted(set(keyed.agg(F.percentile_approx("key", share, F.lit(100_000))).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c < F.col("key")))
-    keyed = keyed.withColumn("bucket", bucket)
-    heads = sorted(((r.bucket, r.head) for r in keyed.groupBy("bucket").agg(F.max("key").alias("head")).collect()), reverse=True)
-    if not heads:
-        return keyed.select("bucket", F.lit(0).alias("ghost"), "key", "doc_id", "text")
-    before = [heads[-1][0]] + [b for b, _ in heads[:-1]]
-    follows = F.create_map(*[F.lit(x) for (_, head), b in zip(heads, before, strict=True) for x in (head, b)])
-    places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost")), F.struct(F.try_element_at(follows, F.col("key")).alias("bucket"), F.lit(1).alias("ghost")))
-    copies = keyed.select("key", "doc_id", "text", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull())).alias("at"))
+    # one constant, however many shares
+    share = F.split(F.lit(",".join(str(i / (4 * n)) for i in range(1, 4 * n))), ",").cast("array<double>")
+    cuts, largest = keyed.agg(F.percentile_approx("key", share, F.lit(max(100_000, 20 * n))), F.max("key")).first()
+    if largest is None:
+        return keyed.select(F.lit(0).alias("bucket"), F.lit(0).alias("ghost"), "key", "doc_id", "text")
+    heads = np.array(sorted({*cuts, largest}), np.int64)
+
+    @F.pandas_udf("bucket int, follows int")
+    def place(key: pd.Series) -> pd.DataFrame:
+        """The row's bucket, and the bucket that it follows if it is the first of its own (else -1)."""
+        bucket = np.searchsorted(heads, key.to_numpy())
+        return pd.DataFrame({"bucket": bucket, "follows": np.where(heads[bucket] == key.to_numpy(), (bucket + 1) % len(heads), -1)}, dtype=np.int32)
+
+    keyed = keyed.withColumn("p", place("key"))
+    places = F.array(F.struct(F.col("p.bucket").alias("bucket"), F.lit(0).alias("ghost")), F.struct(F.col("p.follows").alias("bucket"), F.lit(1).alias("ghost")))
+    copies = keyed.select("key", "doc_id", "text", F.explode(F.filter(places, lambda p: p["bucket"] >= 0)).alias("at"))
     return copies.select("at.bucket", "at.ghost", "key", "doc_id", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("key"), "text")
 
 

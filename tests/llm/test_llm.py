@@ -284,6 +284,27 @@ def test_mined_rules_are_matched_as_sets(spark):
 
 # ---- 5
 
+def test_fingerprint_order_at_any_partition_count(spark, odd):
+    """Rows and their followers do not depend on the number of buckets, nor does the size of the plan."""
+    rows = [(i * 7 % 301 - 100, f"text {i} " + "x" * (i % 5)) for i in range(301)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, of = sorted(rows, key=lambda r: (-r[0], r[1])), {}  # 43 doc_ids, each on several texts
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    plans = []
+    try:
+        for n in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = fingerprints.compare_edited(df)
+            of[n] = {(r.doc_id, r.n_chars, r.edited_sha256) for r in got.collect()}
+            plans.append(len(got._jdf.queryExecution().toString()))
+            assert fingerprints.compare_edited(odd).count() == odd.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    plain = {(i, len(t), brute.sha(fingerprints.edited(t, want[(k + 1) % len(want)][1]))) for k, (i, t) in enumerate(want)}
+    assert of[1] == of[8] == of[200] == plain
+    assert max(plans) - min(plans) < 200
+
+
 def test_fingerprints_of_edited_texts(docs):
     got = {r.doc_id: r for r in fingerprints.compare_edited(docs).collect()}
     order = sorted(ROWS, key=lambda r: -r[0])
