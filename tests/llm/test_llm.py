@@ -302,7 +302,7 @@ def test_fingerprint_order_at_any_partition_count(spark, odd):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     plain = {(i, len(t), brute.sha(fingerprints.edited(t, want[(k + 1) % len(want)][1]))) for k, (i, t) in enumerate(want)}
     assert of[1] == of[8] == of[200] == plain
-    assert max(plans) - min(plans) < 200
+    assert plans[2] - plans[1] < 100  # 8 and 200 partitions
 
 
 def test_fingerprints_of_edited_texts(docs):
