@@ -20,7 +20,8 @@ def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Scan the script corpus laid down as one file per script (the files are
     written once per application from ``documents``, as a deployment would
     already have them)."""
-    return corpus.corpus_scan(spark, fx.script_files(spark, sf)).select(F.col("script_id").cast("bigint").alias("script_id"), "length", "text")
+    script_id = F.nullif(F.regexp_extract("path", r"/script_(-?\d*)\.txt$", 1), F.lit("")).cast("bigint")
+    return corpus.corpus_scan(spark, fx.script_files(spark, sf)).select(script_id.alias("script_id"), "length", "text")
 
 
 # A2 ---------------------------------------------------------------------

@@ -13,6 +13,14 @@ record files, stream sources -- are derived once per application and
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +36,7 @@ DDL_TYPES = ["Tables", "Views", "Procedures", "Functions", "General"]
 # ours: file extensions cycled over the script fixture
 FIXTURE_EXTS = [".sas", ".sql", ".xml", ".cbl", ".cob", ".txt", ".SAS"]
 CONV_TARGETS = ["pyspark", "snowflake", "dbt", "databricks"]
+SCRIPTS_A_FOLDER = 1000
 CONV_MODELS = ["gpt-4o-mini", "gpt-4-turbo", "gpt-35-turbo", "gemini-1.5-pro", "other"]
 
 
@@ -161,16 +170,47 @@ def written_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 
 
 def script_files(spark: SparkSession, sf_dir: str) -> str:
-    """The script corpus as files, one folder ``script_id=<id>`` per script
-    (the input of the A1 folder scan), written once; returns the folder."""
+    """The script corpus as files, one ``script_<id>.txt`` per script (the input of the A1
+    folder scan), in folders ``part=<k>`` of about ``SCRIPTS_A_FOLDER``,
+    written once; returns the folder.
+
+    The rows of one id share a file, a line break behind each; rows without id share ``script_.txt``.
+    The tasks write the files themselves: Spark's writer takes a folder, two permission changes
+    and a serial rename in the driver for each file.
+    """
     def write(path: str) -> None:
-        # one folder per script: spread the file creation over all task slots
-        n = 4 * spark.sparkContext.defaultParallelism
-        scripts(spark, sf_dir).select("script_id", "text").repartition(n, "script_id") \
-            .write.partitionBy("script_id").text(path)
+        rows = scripts(spark, sf_dir).select("script_id", F.col("text").cast("binary").alias("text"))
+        n = max(4 * spark.sparkContext.defaultParallelism, rows.count() // SCRIPTS_A_FOLDER)
+        rows.repartition(n, "script_id").sortWithinPartitions("script_id", "text") \
+            .mapInArrow(_file_writer(path), "files long").write.format("noop").mode("overwrite").save()
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(done).close()
     return written_once(spark, sf_dir, "script_files", write)
 
 
+def _file_writer(path: str):
+    """Task that writes rows (script_id, text) in order of their id as files, into a folder that gets its name
+    when it is whole: what an attempt leaves that broke off has a name that scans skip."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa_fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
+        part, n = TaskContext.get(), 0
+        whole, own = f"{root}/part={part.partitionId()}", f"{root}/_part-{part.taskAttemptId()}"
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for script_id, same in groupby(rows, key=itemgetter(0)):
+            if n == 0:
+                store.create_dir(own)
+            with store.open_output_stream(f"{own}/script_{'' if script_id is None else script_id}.txt", compression=None) as f:
+                for _, text in same:
+                    f.write((text or b"") + b"\n")
+            n += 1
+        if n and store.get_file_info(whole).type == pa_fs.FileType.NotFound:
+            store.move(own, whole)
+        elif n:  # another attempt at the same rows was faster
+            store.delete_dir(own)
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+    return task
+
+
 def conv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk-level conversion results, derived from ``conversations`` by a
     self-join (assistant turn <- the user turn before it).

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import functions as F
 
 from ferryman.operators import cobol, corpus
+from ferryman.plans.corpus_q import corpus_scan
+from ferryman.sources import fixtures as fx
 
 
 def test_corpus_scan_drops_undecodable_bytes(spark, tmpdir_path):
@@ -90,3 +92,17 @@ def test_comp3_of_every_sign_nibble(spark):
     rows = spark.createDataFrame([(bytearray.fromhex("0123" + "4" + n),) for n in "ABCDEF"], "b binary")
     got = [int(r[0]) for r in rows.select(cobol.comp3_decode(F.col("b"), 5, 0)).collect()]
     assert got == [1234, -1234, 1234, -1234, 1234, 1234]
+
+
+def test_script_files_lie_in_few_folders(spark, tmpdir_path):
+    rows = [(i, f"data t{i};\nrun;") for i in range(300)] + [(5, "again"), (-7, "é"), (8, None), (400, ""), (None, "a"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(tmpdir_path + "/documents.parquet")
+    folder = fx.script_files(spark, tmpdir_path).removeprefix("file:")
+    assert len([f for f in os.listdir(folder) if not f.startswith((".", "_"))]) <= 4 * spark.sparkContext.defaultParallelism
+    lines = {}
+    for i, t in rows:
+        lines.setdefault(i, []).append((t or "") + "\n")
+    got = corpus_scan(spark, tmpdir_path).collect()
+    assert len(got) == len(lines) == len({r.script_id for r in got})
+    for r in got:
+        assert r.length == len(r.text.encode()) and sorted(r.text.splitlines(True)) == sorted("".join(lines[r.script_id]).splitlines(True))
