@@ -31,7 +31,9 @@ WINDOW = 32
 #: training looks at windows this many words apart; scoring looks at all
 FIT_STEP = 16
 #: windows that slide along the words together
-CHUNK = 4096
+CHUNK = 8192
+#: after so many steps of a chunk, states that no longer change are looked for
+LEAST_STEPS = 10
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 TRIGRAMS = 4096
 MAX_WORDS, MIN_DOCS = 20_000, 5
@@ -46,6 +48,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def advance(u: np.ndarray, a: np.ndarray, state: np.ndarray, to: np.ndarray, scratch: np.ndarray) -> None:
+    """One step of many states, a column each, into ``to``; u and a: what the state and the word add to the gates (negated) and the candidate (twice).
+
+    Sigmoid and tanh are taken from the exponential (tanh(v) = 1 - 2 / (1 + exp(2 v))), where infinity is a closed gate.
+    """
+    h = len(state)
+    gates, new = scratch[: 2 * h], scratch[2 * h :]
+    np.add(u[: 2 * h], a[: 2 * h], out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(u[2 * h :], gates[h:], out=new)
+    new += a[2 * h :]
+    np.exp(new, out=new)
+    new += 1
+    np.divide(-2, new, out=new)
+    new += 1
+    np.subtract(state, new, out=to)
+    to *= gates[:h]
+    to += new
+
+
 class Text:
     """Words of a block: for each the number of its distinct form, and the trigrams of each form."""
 
@@ -157,50 +181,95 @@ class Model:
         short = text.count[of] < WINDOW
         out[short] = self.logits(text, start[short], of[short])
         x = self.inputs(text, np.arange(len(text.keys)))
+        h, p = HIDDEN, self.p
+        # the gates' share comes negated and the candidate's and the attention's twice, as their exponentials take them
+        sign = np.repeat(np.array([-1, 2], np.float32), [2 * h, h])
         sides = []
-        for side in "fb":
-            # the gates' share comes negated, as the sigmoid takes it
-            sign = np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, -1, 1).astype(np.float32)
-            sides.append(((x @ self.p[f"x{side}"] + self.p[f"b{side}"]) * sign, np.ascontiguousarray((self.p[f"h{side}"] * sign).T)))
+        for k, side in enumerate("fb"):
+            own = slice(k * h, (k + 1) * h)
+            # one product takes the state on to the next step, to the attention and to the output
+            w = np.concatenate([(p[f"h{side}"] * sign).T, 2 * p["att"][own].T, p["out"][None, own]])
+            sides.append(((x @ p[f"x{side}"] + p[f"b{side}"]) * sign, np.ascontiguousarray(w, np.float32)))
+        room = np.empty((9 * h + 4 + WINDOW * (h + 1)) * (CHUNK + WINDOW - 1), np.float32)
         whole = np.flatnonzero(~short)
+        first_word = start[whole]
         i = 0
         while i < len(whole):
             # windows that start within a chunk of words, some of which may run over the end of a text and are left out
-            first = start[whole[i]]
-            j = int(np.searchsorted(start[whole], first + CHUNK))
+            first = first_word[i]
+            j = int(np.searchsorted(first_word, first + CHUNK))
             with np.errstate(over="ignore"):
-                out[whole[i:j]] = self.sliding(text, sides, first, int(start[whole[j - 1]] - first) + 1)[start[whole[i:j]] - first]
+                out[whole[i:j]] = self.sliding(text, sides, first, int(first_word[j - 1] - first) + 1, room)[first_word[i:j] - first]
             i = j
         return out
 
-    def sliding(self, text: Text, sides: list, first: int, n: int) -> np.ndarray:
-        """Logits of the n windows that start at the words from ``first`` on; a step of all of them is a slice of the words."""
+    def sliding(self, text: Text, sides: list, first: int, n: int, room: np.ndarray) -> np.ndarray:
+        """Logits of the n windows that start at the words from ``first`` on.
+
+        A step of all windows is a slice of the words: column j holds the state at word j after one step more, from
+        that of the word before. Where a state comes out as it was one step earlier (the network has forgotten the
+        first word of the window), all that follow from it do as well; once few still change, only those are computed.
+        Every result goes into ``room``, which the chunks share: new memory costs more than the arithmetic.
+        """
         h, p = HIDDEN, self.p
-        form = text.form[first : first + n + WINDOW - 1]
-        states = np.empty((WINDOW, 2 * h, n), np.float32)
+        words = n + WINDOW - 1
+        form = text.form[first : first + words]
+        size = np.array([(4 * h + 1) * words, h * words, h * words, 3 * h * words, WINDOW * (h + 1) * n, n, n, n])
+        shape = [(-1, words)] * 4 + [(WINDOW, h + 1, n)] + [(1, n)] * 3
+        parts = np.split(room[: size.sum()], np.cumsum(size)[:-1])
+        u, state, after, scratch, seen, share, weight, total = (v.reshape(s) for v, s in zip(parts, shape))
+        bias = np.r_[2 * p["att_b"], np.float32(0)].astype(np.float32)[:, None]
+        weight[:], total[:] = 0, 0
         for k, (inputs, w) in enumerate(sides):
             x = np.ascontiguousarray(inputs[form].T)
-            state = np.zeros((h, n), np.float32)
-            for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
-                u, a = w @ state, x[:, t : t + n]
-                gates = u[: 2 * h]
-                gates += a[: 2 * h]
-                np.exp(gates, out=gates)  # infinity is a closed gate
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                new = u[2 * h :]
-                new *= gates[h:]
-                new += a[2 * h :]
-                np.tanh(new, out=new)
-                state = states[t, k * h : (k + 1) * h] = new + gates[:h] * (state - new)
-        both = np.concatenate([p["att"].T, p["out"][None, :]])
-        weight, total = np.zeros(n, np.float32), np.zeros(n, np.float32)
-        for t in range(WINDOW):
-            q = both @ states[t]
-            share = np.exp(np.minimum(p["att_v"] @ np.tanh(q[:h] + p["att_b"][:, None]), 30))
-            weight += share
-            total += share * q[h]
-        return total / weight + p["out_b"][0]
+            state[:], u[:] = 0, 0
+            changing = None
+            for step in range(WINDOW):
+                way = 1 if k == 0 else -1
+                if changing is None:
+                    at = slice(step, words) if k == 0 else slice(0, words - step)
+                    # before the first step, all states are the same
+                    source = at if step == 0 else slice(at.start - way, at.stop - way)
+                    to = after[:, at]
+                    advance(u[: 3 * h, source], x[:, at], state[:, source], to, scratch[:, at])
+                    state, after = after, state
+                    np.matmul(w, state, out=u)
+                    if step >= LEAST_STEPS and step % 2 == 0:
+                        moved = np.flatnonzero((to != after[:, at]).any(axis=0)) + at.start
+                        if len(moved) < words // 4:
+                            changing, own, push = moved, state.take(moved, axis=1), u.take(moved, axis=1)
+                else:
+                    changing = changing + way
+                    inside = slice(*np.searchsorted(changing, [0, words]))
+                    changing, own, push = changing[inside], own[:, inside], push[: 3 * h, inside]
+                    to = np.empty(own.shape, np.float32)
+                    advance(push, x.take(changing, axis=1), own, to, np.empty(push.shape, np.float32))
+                    moved = (to != state.take(changing, axis=1)).any(axis=0)
+                    changing, own = changing[moved], to.compress(moved, axis=1)
+                    push = w @ own
+                    state[:, changing] = own
+                    u[3 * h :, changing] = push[3 * h :]
+                # the word of this step in each window
+                t = step if k == 0 else WINDOW - 1 - step
+                if k == 0:
+                    np.add(u[3 * h :, t : t + n], bias, out=seen[t])
+                    continue
+                # both directions have passed this word
+                shown = seen[t]
+                shown += u[3 * h :, t : t + n]
+                look = shown[:h]
+                np.exp(look, out=look)
+                look += 1
+                np.divide(-2, look, out=look)
+                look += 1
+                np.matmul(p["att_v"][None, :], look, out=share)
+                np.minimum(share, 30, out=share)
+                np.exp(share, out=share)
+                weight += share
+                share *= shown[h:]
+                total += share
+        total /= weight
+        return total[0] + p["out_b"][0]
 
     def gradients(self, text: Text, start: np.ndarray, of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over some windows, by backpropagation through time."""

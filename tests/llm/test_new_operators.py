@@ -337,3 +337,29 @@ def test_toxicity_scores_every_overlapping_window(monkeypatch):
     for chunk in (7, 4096):
         monkeypatch.setattr(toxicity, "CHUNK", chunk)
         assert np.allclose(model.worst(text), want, atol=1e-4)
+
+
+def test_toxicity_computes_changing_states_only(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from ferryman.llm import toxicity
+    from ferryman.llm.textblock import U64, text_buffer
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["w%d" % i for i in range(400)], n)) for n in (900, 5, 32, 0, 33, 2500, 40)]
+    text = toxicity.Text(*text_buffer(pa.array(texts, pa.large_string())))
+    monkeypatch.setattr(toxicity, "CHUNK", 700)
+    done, step = [], toxicity.advance
+    monkeypatch.setattr(toxicity, "advance", lambda *a: (done.append(a[0].shape[1]), step(*a)))
+    # gates that let go of a state within some words, and gates that hardly do, so that no state settles
+    for bias, share in ((-2, 0.8), (-4, 0.8), (6, 1.1)):
+        model = toxicity.Model(np.zeros(0, U64), np.zeros(0, np.float32))
+        for side in "fb":
+            model.p[f"h{side}"] *= 0.5
+            model.p[f"b{side}"][: toxicity.HIDDEN] = bias
+        start, of = text.windows()
+        done.clear()
+        got = model.all_logits(text, start, of)
+        assert np.abs(got - model.logits(text, start, of)).max() < 1e-4
+        assert sum(done) < share * 2 * toxicity.WINDOW * len(text.form), (bias, sum(done) / (2 * toxicity.WINDOW * len(text.form)))
