@@ -18,7 +18,7 @@ every score is 0; rows that repeat are scored alike; further columns are not rea
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,13 @@ WINDOW = 32
 #: training looks at windows this many words apart; scoring looks at all
 FIT_STEP = 16
 #: windows that slide along the words together
-CHUNK = 8192
+CHUNK = 16384
 #: after so many steps of a chunk, states that no longer change are looked for
-LEAST_STEPS = 10
+LEAST_STEPS = 8
+#: in the first pass over all windows, a state that a step changes by no more than this has settled; in the second, one that it leaves as it is
+SETTLED = 2e-3
+#: windows whose first logit comes so near to the best of their text go through the second pass; at least NEAR_ERRORS times the largest error met
+NEAR, NEAR_ERRORS = 0.01, 4
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 TRIGRAMS = 4096
 MAX_WORDS, MIN_DOCS = 20_000, 5
@@ -48,25 +52,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def advance(u: np.ndarray, a: np.ndarray, state: np.ndarray, to: np.ndarray, scratch: np.ndarray) -> None:
-    """One step of many states, a column each, into ``to``; u and a: what the state and the word add to the gates (negated) and the candidate (twice).
+def power(t: np.ndarray, out: np.ndarray) -> None:
+    """About exp(v) in place, for t = (1 + v / 64) / sqrt(2): (1 + y + y^2 / 2)^64 with y = v / 64, half the time of np.exp; a sigmoid from it is right to 6e-5."""
+    np.multiply(t, t, out=out)
+    out += 0.5
+    for _ in range(6):
+        out *= out
+
+
+def advance(u: np.ndarray, a: np.ndarray, state: np.ndarray, to: np.ndarray, scratch: np.ndarray, exp=np.exp) -> None:
+    """One step of many states, a column each, into ``to``; u and a: what the state and the word add to the gates (negated) and the candidate (twice), as ``exp`` takes them.
 
     Sigmoid and tanh are taken from the exponential (tanh(v) = 1 - 2 / (1 + exp(2 v))), where infinity is a closed gate.
     """
     h = len(state)
     gates, new = scratch[: 2 * h], scratch[2 * h :]
     np.add(u[: 2 * h], a[: 2 * h], out=gates)
-    np.exp(gates, out=gates)
+    exp(gates, out=gates)
     gates += 1
-    np.reciprocal(gates, out=gates)
-    np.multiply(u[2 * h :], gates[h:], out=new)
+    np.divide(u[2 * h :], gates[h:], out=new)
     new += a[2 * h :]
-    np.exp(new, out=new)
+    exp(new, out=new)
     new += 1
     np.divide(-2, new, out=new)
     new += 1
     np.subtract(state, new, out=to)
-    to *= gates[:h]
+    to /= gates[:h]
     to += new
 
 
@@ -77,7 +88,15 @@ class Text:
         data = lowered(data)
         words = Words(data, off, alnum=True)
         self.off, self.count = words.off, words.count
-        self.keys, where, self.form = np.unique(words.codes(71), return_index=True, return_inverse=True)
+        # distinct words by hash table; only those are sorted
+        found = pa.array(words.codes(71)).dictionary_encode()
+        distinct, number = found.dictionary.to_numpy(), found.indices.to_numpy()
+        order = np.argsort(distinct)
+        self.keys, rank = distinct[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.form = rank[number]
+        where = np.empty(len(order), np.int64)
+        where[self.form] = np.arange(len(self.form))
         begin, end = words.start[where], words.end[where]
         size = end - begin
         self.at = np.cumsum(size) - size
@@ -157,9 +176,9 @@ class Model:
         pooled = np.einsum("nt,nth->nh", weight, states)
         return pooled @ self.p["out"] + self.p["out_b"][0], pooled, weight, tanh
 
-    def logits(self, text: Text, start: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """A logit for each window."""
-        x = self.inputs(text, np.arange(len(text.keys)))
+    def logits(self, text: Text, start: np.ndarray, of: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        """A logit for each window; x: the inputs of all distinct words."""
+        x = self.inputs(text, np.arange(len(text.keys))) if x is None else x
         fore, aft = x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"]
         out = np.empty(len(start), np.float32)
         for i in range(0, len(start), 4096):
@@ -169,28 +188,56 @@ class Model:
         return out
 
     def worst(self, text: Text) -> np.ndarray:
-        """The largest logit of each text's windows; minus infinity without words."""
-        start, of = text.windows()
-        out = np.full(len(text.count), -np.inf)
-        np.maximum.at(out, of, self.all_logits(text, start, of))
-        return out
+        """The largest logit of each text's windows; minus infinity without words.
 
-    def all_logits(self, text: Text, start: np.ndarray, of: np.ndarray) -> np.ndarray:
+        All windows get a logit in which states count as settled within ``SETTLED``. Those that may be the largest
+        then get theirs from all steps, as does one window a text wherever it stands; what the two differ by tells how near
+        "may be" is, and windows are gone over again until none is left within it.
+        """
+        start, of = text.windows()
+        x = self.inputs(text, np.arange(len(text.keys)))
+        logit = self.all_logits(text, start, of, SETTLED, x)
+        done = np.zeros(len(start), bool)
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+        near = NEAR
+        again = first + np.diff(np.r_[first, len(of)]) * 5 // 8
+        while True:
+            exact = self.logits(text, start[again], of[again], x)
+            near = max(near, NEAR_ERRORS * float(np.abs(exact - logit[again]).max(initial=0)))
+            logit[again], done[again] = exact, True
+            out = np.full(len(text.count), -np.inf)
+            np.maximum.at(out, of, logit)
+            again = np.flatnonzero(~done & (logit >= out[of] - near))
+            if not len(again):
+                return out
+
+    def all_logits(self, text: Text, start: np.ndarray, of: np.ndarray, settled: float = 0.0, x: np.ndarray | None = None) -> np.ndarray:
         """A logit for each window of ``text.windows()``: those of whole length slide along the words, texts of less are run on their own."""
         out = np.empty(len(start), np.float32)
         short = text.count[of] < WINDOW
-        out[short] = self.logits(text, start[short], of[short])
-        x = self.inputs(text, np.arange(len(text.keys)))
+        x = self.inputs(text, np.arange(len(text.keys))) if x is None else x
+        out[short] = self.logits(text, start[short], of[short], x)
         h, p = HIDDEN, self.p
         # the gates' share comes negated and the candidate's and the attention's twice, as their exponentials take them
         sign = np.repeat(np.array([-1, 2], np.float32), [2 * h, h])
-        sides = []
+        sides, steepest = [], 0.0
         for k, side in enumerate("fb"):
             own = slice(k * h, (k + 1) * h)
             # one product takes the state on to the next step, to the attention and to the output
             w = np.concatenate([(p[f"h{side}"] * sign).T, 2 * p["att"][own].T, p["out"][None, own]])
-            sides.append(((x @ p[f"x{side}"] + p[f"b{side}"]) * sign, np.ascontiguousarray(w, np.float32)))
-        room = np.empty((9 * h + 4 + WINDOW * (h + 1)) * (CHUNK + WINDOW - 1), np.float32)
+            a = ((x @ p[f"x{side}"] + p[f"b{side}"]) * sign).T
+            steepest = max(steepest, float(np.abs(a).max(initial=0) + np.abs(w).sum(axis=1).max()))
+            sides.append((a, w))
+        bias = np.r_[2 * p["att_b"], np.float32(0)][:, None]
+        # states within ``settled`` don't need the exponential to the last digit, unless its argument might be out of range
+        exp = power if settled and 2 * steepest + np.abs(bias).max() < 60 else np.exp
+        if exp is power:
+            scale, one = 1 / (64 * np.sqrt(2)), 1 / np.sqrt(2)
+            sides = [(a * scale + one, np.r_[w[:-1] * scale, w[-1:]]) for a, w in sides]
+            bias = np.r_[bias[:-1] * scale + one, bias[-1:]]
+        sides = [tuple(np.ascontiguousarray(v, np.float32) for v in side) for side in sides]
+        bias = bias.astype(np.float32)
+        room = np.empty((12 * h + 4 + WINDOW * (h + 1)) * (CHUNK + WINDOW - 1), np.float32)
         whole = np.flatnonzero(~short)
         first_word = start[whole]
         i = 0
@@ -199,29 +246,30 @@ class Model:
             first = first_word[i]
             j = int(np.searchsorted(first_word, first + CHUNK))
             with np.errstate(over="ignore"):
-                out[whole[i:j]] = self.sliding(text, sides, first, int(first_word[j - 1] - first) + 1, room)[first_word[i:j] - first]
+                out[whole[i:j]] = self.sliding(text, sides, bias, exp, first, int(first_word[j - 1] - first) + 1, room, settled)[first_word[i:j] - first]
             i = j
         return out
 
-    def sliding(self, text: Text, sides: list, first: int, n: int, room: np.ndarray) -> np.ndarray:
+    def sliding(self, text: Text, sides: list, bias: np.ndarray, exp: Callable, first: int, n: int, room: np.ndarray, settled: float) -> np.ndarray:
         """Logits of the n windows that start at the words from ``first`` on.
 
         A step of all windows is a slice of the words: column j holds the state at word j after one step more, from
         that of the word before. Where a state comes out as it was one step earlier (the network has forgotten the
-        first word of the window), all that follow from it do as well; once few still change, only those are computed.
+        first word of the window; but for ``settled`` at most), all that follow from it do as well; once few still
+        change, only those are computed.
         Every result goes into ``room``, which the chunks share: new memory costs more than the arithmetic.
         """
         h, p = HIDDEN, self.p
         words = n + WINDOW - 1
         form = text.form[first : first + words]
-        size = np.array([(4 * h + 1) * words, h * words, h * words, 3 * h * words, WINDOW * (h + 1) * n, n, n, n])
-        shape = [(-1, words)] * 4 + [(WINDOW, h + 1, n)] + [(1, n)] * 3
+        size = np.array([(4 * h + 1) * words, h * words, h * words, 3 * h * words, 3 * h * words, WINDOW * (h + 1) * n, n, n, n])
+        shape = [(-1, words)] * 5 + [(WINDOW, h + 1, n)] + [(1, n)] * 3
         parts = np.split(room[: size.sum()], np.cumsum(size)[:-1])
-        u, state, after, scratch, seen, share, weight, total = (v.reshape(s) for v, s in zip(parts, shape))
-        bias = np.r_[2 * p["att_b"], np.float32(0)].astype(np.float32)[:, None]
+        u, state, after, scratch, x, seen, share, weight, total = (v.reshape(s) for v, s in zip(parts, shape))
         weight[:], total[:] = 0, 0
         for k, (inputs, w) in enumerate(sides):
-            x = np.ascontiguousarray(inputs[form].T)
+            for row, to in zip(inputs, x):
+                row.take(form, out=to, mode="clip")
             state[:], u[:] = 0, 0
             changing = None
             for step in range(WINDOW):
@@ -231,20 +279,21 @@ class Model:
                     # before the first step, all states are the same
                     source = at if step == 0 else slice(at.start - way, at.stop - way)
                     to = after[:, at]
-                    advance(u[: 3 * h, source], x[:, at], state[:, source], to, scratch[:, at])
+                    advance(u[: 3 * h, source], x[:, at], state[:, source], to, scratch[:, at], exp)
                     state, after = after, state
                     np.matmul(w, state, out=u)
-                    if step >= LEAST_STEPS and step % 2 == 0:
-                        moved = np.flatnonzero((to != after[:, at]).any(axis=0)) + at.start
+                    if step >= LEAST_STEPS:
+                        change = np.subtract(to, after[:, at], out=scratch[:h, at])
+                        moved = np.flatnonzero(np.abs(change, out=change).max(axis=0) > settled) + at.start
                         if len(moved) < words // 4:
                             changing, own, push = moved, state.take(moved, axis=1), u.take(moved, axis=1)
-                else:
+                elif len(changing):
                     changing = changing + way
                     inside = slice(*np.searchsorted(changing, [0, words]))
                     changing, own, push = changing[inside], own[:, inside], push[: 3 * h, inside]
                     to = np.empty(own.shape, np.float32)
-                    advance(push, x.take(changing, axis=1), own, to, np.empty(push.shape, np.float32))
-                    moved = (to != state.take(changing, axis=1)).any(axis=0)
+                    advance(push, x.take(changing, axis=1), own, to, np.empty(push.shape, np.float32), exp)
+                    moved = (np.abs(to - state.take(changing, axis=1)) > settled).any(axis=0)
                     changing, own = changing[moved], to.compress(moved, axis=1)
                     push = w @ own
                     state[:, changing] = own
@@ -258,7 +307,7 @@ class Model:
                 shown = seen[t]
                 shown += u[3 * h :, t : t + n]
                 look = shown[:h]
-                np.exp(look, out=look)
+                exp(look, out=look)
                 look += 1
                 np.divide(-2, look, out=look)
                 look += 1

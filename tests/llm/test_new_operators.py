@@ -363,3 +363,31 @@ def test_toxicity_computes_changing_states_only(monkeypatch):
         got = model.all_logits(text, start, of)
         assert np.abs(got - model.logits(text, start, of)).max() < 1e-4
         assert sum(done) < share * 2 * toxicity.WINDOW * len(text.form), (bias, sum(done) / (2 * toxicity.WINDOW * len(text.form)))
+
+
+def test_toxicity_worst_window_takes_fewer_steps(monkeypatch):
+    """The two passes find the largest of all windows' logits, with less than two thirds of the steps; with gates that never let go, with all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ferryman.llm import toxicity
+    from ferryman.llm.textblock import U64, text_buffer
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["w%d" % i for i in range(400)], n)) for n in (900, 5, 32, 0, 33, 2500, 40)]
+    text = toxicity.Text(*text_buffer(pa.array(texts, pa.large_string())))
+    start, of = text.windows()
+    done, step = [], toxicity.advance
+    monkeypatch.setattr(toxicity, "advance", lambda *a: (done.append(a[0].shape[1]), step(*a)))
+    for seed in range(3):
+        # the last: activations beyond the range of the first pass's exponential
+        for bias, share, scale in ((0, 0.66, 1), (-2, 0.66, 1), (6, 1.1, 1), (0, 1.1, 40)):
+            model = toxicity.Model(np.zeros(0, U64), np.zeros(0, np.float32), seed)
+            for side in "fb":
+                model.p[f"x{side}"] *= scale
+                model.p[f"b{side}"][: toxicity.HIDDEN] = bias
+            want = np.full(len(texts), -np.inf)
+            np.maximum.at(want, of, model.logits(text, start, of))
+            done.clear()
+            assert np.allclose(model.worst(text), want, atol=1e-4), (seed, bias, scale)
+            assert sum(done) < share * 2 * toxicity.WINDOW * len(text.form), (seed, bias, scale, sum(done) / (2 * toxicity.WINDOW * len(text.form)))
