@@ -18,6 +18,7 @@ many as they are; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: distinct words that a task holds encoded at most, before it starts anew
 CACHE_WORDS = 1_000_000
+#: bytes of text that are encoded at a time: what the hashes of a block's words take is some 60 times as much
+ENCODE_BYTES = 250_000
 
 
 class Vocabulary:
@@ -164,7 +167,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.endings = Endings(self.vocabulary)
-        self.known: dict[int, int] = {}
+        #: keys of the words met, in order, and the number that each has among their ids
+        self.known, self.number = np.zeros(0, U64), np.zeros(0, np.int32)
         self.ids, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +182,24 @@ class Encoder:
         distinct, where, turn = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > self.cache_words:
             self.forget()
-        new = [(marked[begin[w] : begin[w + 1]].tobytes().decode(), k) for k, w in zip(distinct.tolist(), where.tolist(), strict=True) if k not in self.known]
-        if new:
+        unmet = np.ones(len(distinct), bool)
+        if len(self.known):
+            unmet = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+        if unmet.any():
+            new = [(marked[begin[w] : begin[w + 1]].tobytes().decode(), i) for i, w in enumerate(where[unmet].tolist())]
             new.sort()
-            found = list(encode_sorted([w for w, _ in new], self.vocabulary, self.endings))
-            self.known.update((k, len(self.off) - 1 + i) for i, (_, k) in enumerate(new))
-            self.ids = np.concatenate([self.ids, np.fromiter((x for f in found for x in f), np.int32)])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(f) for f in found])])
-        number = np.array([self.known[k] for k in distinct.tolist()], np.int64)[turn]
+            turns = np.array([i for _, i in new])
+            count, ids = np.zeros(len(new), np.int64), array("i")
+            for i, found in enumerate(encode_sorted([w for w, _ in new], self.vocabulary, self.endings)):
+                count[i] = len(found)
+                ids.extend(found)
+            number = np.empty(len(new), np.int32)
+            number[turns] = np.arange(len(self.known), len(self.known) + len(new))
+            at = np.searchsorted(self.known, distinct[unmet])
+            self.known, self.number = np.insert(self.known, at, distinct[unmet]), np.insert(self.number, at, number)
+            self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.int32)])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(count)])
+        number = self.number[np.searchsorted(self.known, distinct)][turn]
         count = self.off[number + 1] - self.off[number]
         end = np.cumsum(count)
         take = np.arange(end[-1]) + np.repeat(self.off[number] - end + count, count)
@@ -220,7 +234,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch, data, off in blocks(batches):
+        for batch, data, off in blocks(batches, most=ENCODE_BYTES):
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), _lists(*encoder.encode(data, off))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, ids array<int>")
@@ -247,7 +261,7 @@ def encode_and_check(docs: DataFrame, vocabulary: Vocabulary | None = None) -> D
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
-        for batch, data, off in blocks(batches):
+        for batch, data, off in blocks(batches, most=ENCODE_BYTES):
             ids, at = encoder.encode(data, off)
             texts = decoder.decode(ids, at)
             whole = data.tobytes()

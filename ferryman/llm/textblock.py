@@ -86,15 +86,15 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each batch in slices of at most BLOCK_BYTES of text or BLOCK_ROWS rows, one row at least."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch in slices of at most so many bytes of text or BLOCK_ROWS rows, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, off = text_buffer(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(off, off[at] + BLOCK_BYTES, "right")) - 1
+            to = int(np.searchsorted(off, off[at] + most, "right")) - 1
             to = min(max(to, at + 1), at + BLOCK_ROWS, batch.num_rows)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to

@@ -391,3 +391,36 @@ def test_toxicity_worst_window_takes_fewer_steps(monkeypatch):
             done.clear()
             assert np.allclose(model.worst(text), want, atol=1e-4), (seed, bias, scale)
             assert sum(done) < share * 2 * toxicity.WINDOW * len(text.form), (seed, bias, scale, sum(done) / (2 * toxicity.WINDOW * len(text.form)))
+
+
+def test_encoder_memory_is_bounded():
+    """Encoding 6 MB of text takes less than 60 MB beside texts and vocabulary, also of words that are all distinct."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ferryman.llm import sentencepiece
+
+    class Frame:
+        """Stands in for a DataFrame: gives out the function that a task runs."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):  # noqa: N802
+            return task
+
+    task = sentencepiece.encode_and_check(Frame(), sentencepiece.Vocabulary.read())
+    rng = random.Random(3)
+    frequent = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(frequent) for _ in range(2000)) for _ in range(500)] + [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert batch.nbytes > 6_000_000
+    tracemalloc.start()
+    try:
+        got = sum(b.num_rows for b in task(iter([batch])) if all(b.column(4).to_pylist()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == len(texts)
+    assert peak < 60_000_000, peak
