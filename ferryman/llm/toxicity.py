@@ -181,10 +181,10 @@ class Model:
         x = self.inputs(text, np.arange(len(text.keys))) if x is None else x
         fore, aft = x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"]
         out = np.empty(len(start), np.float32)
-        for i in range(0, len(start), 4096):
-            steps, mask = window_steps(text, start[i : i + 4096], of[i : i + 4096])
+        for i in range(0, len(start), 1024):
+            steps, mask = window_steps(text, start[i : i + 1024], of[i : i + 1024])
             states = np.concatenate([self.run(fore, steps, mask, "f"), self.run(aft, steps, mask, "b")], axis=2)
-            out[i : i + 4096] = self.pool(states, mask)[0]
+            out[i : i + 1024] = self.pool(states, mask)[0]
         return out
 
     def worst(self, text: Text) -> np.ndarray:
