@@ -18,7 +18,7 @@ every score is 0; rows that repeat are scored alike; further columns are not rea
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,12 @@ from .textblock import U64, Words, blocks, column, lowered, text_buffer
 WINDOW = 32
 #: training looks at windows this many words apart; scoring looks at all
 FIT_STEP = 16
-#: windows that slide along the words together
-CHUNK = 16384
+#: windows that slide along the words together; what they need stays in a core's cache
+CHUNK = 3584
 #: after so many steps of a chunk, states that no longer change are looked for
 LEAST_STEPS = 8
 #: in the first pass over all windows, a state that a step changes by no more than this has settled; in the second, one that it leaves as it is
-SETTLED = 2e-3
+SETTLED = 5e-4
 #: windows whose first logit comes so near to the best of their text go through the second pass; at least NEAR_ERRORS times the largest error met
 NEAR, NEAR_ERRORS = 0.01, 4
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -52,35 +52,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def power(t: np.ndarray, out: np.ndarray) -> None:
-    """About exp(v) in place, for t = (1 + v / 64) / sqrt(2): (1 + y + y^2 / 2)^64 with y = v / 64, half the time of np.exp; a sigmoid from it is right to 6e-5."""
-    np.multiply(t, t, out=out)
-    out += 0.5
-    for _ in range(6):
-        out *= out
+def advance(u: np.ndarray, a: np.ndarray, state: np.ndarray, to: np.ndarray, scratch: np.ndarray) -> None:
+    """One step of many states, a column each, into ``to``; u and a: what the state and the word add to the gates (halved) and the candidate (the state's halved).
 
-
-def advance(u: np.ndarray, a: np.ndarray, state: np.ndarray, to: np.ndarray, scratch: np.ndarray, exp=np.exp) -> None:
-    """One step of many states, a column each, into ``to``; u and a: what the state and the word add to the gates (negated) and the candidate (twice), as ``exp`` takes them.
-
-    Sigmoid and tanh are taken from the exponential (tanh(v) = 1 - 2 / (1 + exp(2 v))), where infinity is a closed gate.
+    Sigmoids are taken from tanh (sigmoid(v) = (1 + tanh(v / 2)) / 2), which is quicker than an exponential and a quotient.
     """
     h = len(state)
     gates, new = scratch[: 2 * h], scratch[2 * h :]
     np.add(u[: 2 * h], a[: 2 * h], out=gates)
-    exp(gates, out=gates)
+    np.tanh(gates, out=gates)
     gates += 1
-    np.divide(u[2 * h :], gates[h:], out=new)
+    np.multiply(gates[h:], u[2 * h :], out=new)
     new += a[2 * h :]
-    exp(new, out=new)
-    new += 1
-    np.divide(-2, new, out=new)
-    new += 1
+    np.tanh(new, out=new)
     np.subtract(state, new, out=to)
-    to /= gates[:h]
+    to *= gates[:h]
+    to *= 0.5
     to += new
 
 
+def aligned(size: int) -> np.ndarray:
+    """Memory that begins at a multiple of 64 bytes, where vector instructions are quickest."""
+    room = np.empty(size + 16, np.float32)
+    return room[-room.ctypes.data // 4 % 16 :][:size]
+
+
 class Text:
     """Words of a block: for each the number of its distinct form, and the trigrams of each form."""
 
@@ -206,7 +202,8 @@ class Model:
             near = max(near, NEAR_ERRORS * float(np.abs(exact - logit[again]).max(initial=0)))
             logit[again], done[again] = exact, True
             out = np.full(len(text.count), -np.inf)
-            np.maximum.at(out, of, logit)
+            if len(first):
+                out[of[first]] = np.maximum.reduceat(logit, first)
             again = np.flatnonzero(~done & (logit >= out[of] - near))
             if not len(again):
                 return out
@@ -218,26 +215,16 @@ class Model:
         x = self.inputs(text, np.arange(len(text.keys))) if x is None else x
         out[short] = self.logits(text, start[short], of[short], x)
         h, p = HIDDEN, self.p
-        # the gates' share comes negated and the candidate's and the attention's twice, as their exponentials take them
-        sign = np.repeat(np.array([-1, 2], np.float32), [2 * h, h])
-        sides, steepest = [], 0.0
+        # halved where ``advance`` takes a half
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * h, h])
+        sides = []
         for k, side in enumerate("fb"):
             own = slice(k * h, (k + 1) * h)
             # one product takes the state on to the next step, to the attention and to the output
-            w = np.concatenate([(p[f"h{side}"] * sign).T, 2 * p["att"][own].T, p["out"][None, own]])
-            a = ((x @ p[f"x{side}"] + p[f"b{side}"]) * sign).T
-            steepest = max(steepest, float(np.abs(a).max(initial=0) + np.abs(w).sum(axis=1).max()))
-            sides.append((a, w))
-        bias = np.r_[2 * p["att_b"], np.float32(0)][:, None]
-        # states within ``settled`` don't need the exponential to the last digit, unless its argument might be out of range
-        exp = power if settled and 2 * steepest + np.abs(bias).max() < 60 else np.exp
-        if exp is power:
-            scale, one = 1 / (64 * np.sqrt(2)), 1 / np.sqrt(2)
-            sides = [(a * scale + one, np.r_[w[:-1] * scale, w[-1:]]) for a, w in sides]
-            bias = np.r_[bias[:-1] * scale + one, bias[-1:]]
-        sides = [tuple(np.ascontiguousarray(v, np.float32) for v in side) for side in sides]
-        bias = bias.astype(np.float32)
-        room = np.empty((12 * h + 4 + WINDOW * (h + 1)) * (CHUNK + WINDOW - 1), np.float32)
+            w = np.concatenate([p[f"h{side}"].T / 2, p["att"][own].T, p["out"][None, own]])
+            a = (x @ p[f"x{side}"] + p[f"b{side}"]) * half
+            sides.append((a.astype(np.float32), np.ascontiguousarray(w, np.float32)))
+        room = aligned((14 * h + 6 + WINDOW * (h + 1)) * (CHUNK + 3 * WINDOW))
         whole = np.flatnonzero(~short)
         first_word = start[whole]
         i = 0
@@ -245,80 +232,123 @@ class Model:
             # windows that start within a chunk of words, some of which may run over the end of a text and are left out
             first = first_word[i]
             j = int(np.searchsorted(first_word, first + CHUNK))
-            with np.errstate(over="ignore"):
-                out[whole[i:j]] = self.sliding(text, sides, bias, exp, first, int(first_word[j - 1] - first) + 1, room, settled)[first_word[i:j] - first]
+            out[whole[i:j]] = self.sliding(text, sides, first, int(first_word[j - 1] - first) + 1, room, settled)[first_word[i:j] - first]
             i = j
         return out
 
-    def sliding(self, text: Text, sides: list, bias: np.ndarray, exp: Callable, first: int, n: int, room: np.ndarray, settled: float) -> np.ndarray:
+    def sliding(self, text: Text, sides: list, first: int, n: int, room: np.ndarray, settled: float) -> np.ndarray:
         """Logits of the n windows that start at the words from ``first`` on.
 
-        A step of all windows is a slice of the words: column j holds the state at word j after one step more, from
-        that of the word before. Where a state comes out as it was one step earlier (the network has forgotten the
-        first word of the window; but for ``settled`` at most), all that follow from it do as well; once few still
-        change, only those are computed.
+        Forward runs go first; what they add to the attention is kept for each word of the windows, or, of states that have
+        settled, once for all windows that hold the word, with what a later step changed. Backward runs then meet them from
+        the last word of the windows on. The weight of a word at which both directions have settled is the same for all windows
+        that hold it so; it is computed again only where a state changes.
         Every result goes into ``room``, which the chunks share: new memory costs more than the arithmetic.
         """
         h, p = HIDDEN, self.p
         words = n + WINDOW - 1
-        form = text.form[first : first + words]
-        size = np.array([(4 * h + 1) * words, h * words, h * words, 3 * h * words, 3 * h * words, WINDOW * (h + 1) * n, n, n, n])
-        shape = [(-1, words)] * 5 + [(WINDOW, h + 1, n)] + [(1, n)] * 3
-        parts = np.split(room[: size.sum()], np.cumsum(size)[:-1])
-        u, state, after, scratch, x, seen, share, weight, total = (v.reshape(s) for v, s in zip(parts, shape))
+        # rows that are multiples of 64 bytes
+        columns, wide = (words + 16) // 16 * 16, (n + 15) // 16 * 16
+        shape = [(4 * h + 1, columns), (h, columns), (h, columns), (3 * h, columns), (3 * h, columns + 2 * WINDOW), (h + 1, columns), (h + 1, columns), (1, columns), (WINDOW, h + 1, wide), (2, wide)]
+        parts = np.split(room, np.cumsum([np.prod(s) for s in shape]))
+        u, state, after, scratch, x, ahead, shown, weights, seen, (weight, total) = (v.reshape(s) for v, s in zip(parts, shape))
+        add, bias = u[3 * h :], np.r_[p["att_b"], 0].astype(np.float32)[:, None]
         weight[:], total[:] = 0, 0
-        for k, (inputs, w) in enumerate(sides):
-            for row, to in zip(inputs, x):
-                row.take(form, out=to, mode="clip")
-            state[:], u[:] = 0, 0
-            changing = None
-            for step in range(WINDOW):
-                way = 1 if k == 0 else -1
-                if changing is None:
-                    at = slice(step, words) if k == 0 else slice(0, words - step)
-                    # before the first step, all states are the same
-                    source = at if step == 0 else slice(at.start - way, at.stop - way)
-                    to = after[:, at]
-                    advance(u[: 3 * h, source], x[:, at], state[:, source], to, scratch[:, at], exp)
-                    state, after = after, state
-                    np.matmul(w, state, out=u)
-                    if step >= LEAST_STEPS:
-                        change = np.subtract(to, after[:, at], out=scratch[:h, at])
-                        moved = np.flatnonzero(np.abs(change, out=change).max(axis=0) > settled) + at.start
-                        if len(moved) < words // 4:
-                            changing, own, push = moved, state.take(moved, axis=1), u.take(moved, axis=1)
-                elif len(changing):
-                    changing = changing + way
-                    inside = slice(*np.searchsorted(changing, [0, words]))
-                    changing, own, push = changing[inside], own[:, inside], push[: 3 * h, inside]
-                    to = np.empty(own.shape, np.float32)
-                    advance(push, x.take(changing, axis=1), own, to, np.empty(push.shape, np.float32), exp)
-                    moved = (np.abs(to - state.take(changing, axis=1)) > settled).any(axis=0)
-                    changing, own = changing[moved], to.compress(moved, axis=1)
-                    push = w @ own
-                    state[:, changing] = own
-                    u[3 * h :, changing] = push[3 * h :]
-                # the word of this step in each window
-                t = step if k == 0 else WINDOW - 1 - step
-                if k == 0:
-                    np.add(u[3 * h :, t : t + n], bias, out=seen[t])
-                    continue
-                # both directions have passed this word
-                shown = seen[t]
-                shown += u[3 * h :, t : t + n]
-                look = shown[:h]
-                exp(look, out=look)
-                look += 1
-                np.divide(-2, look, out=look)
-                look += 1
-                np.matmul(p["att_v"][None, :], look, out=share)
-                np.minimum(share, 30, out=share)
-                np.exp(share, out=share)
-                weight += share
-                share *= shown[h:]
-                total += share
-        total /= weight
-        return total[0] + p["out_b"][0]
+        x[:, :WINDOW], x[:, WINDOW + words :] = 0, 0
+
+        def runs(side: int) -> Iterator[tuple]:
+            x[:, WINDOW : WINDOW + words] = sides[side][0].take(text.form[first : first + words], axis=0).T
+            return self.steps(x, sides[side][1], side == 1, words, u, state, after, scratch, settled)
+
+        def attend(fore: np.ndarray, aft: np.ndarray, shown: np.ndarray, share: np.ndarray) -> None:
+            """Weights of some words, from what both directions add to the attention, and in the last row of ``shown`` their outputs times these."""
+            np.add(fore, aft, out=shown)
+            np.tanh(shown[:h], out=shown[:h])
+            np.matmul(p["att_v"][None, :], shown[:h], out=share)
+            np.minimum(share, 30, out=share)
+            np.exp(share, out=share)
+            shown[h:] *= share
+
+        dense, undo = 0, {}
+        for step, (at, changed, before) in enumerate(runs(0)):
+            if at == step:
+                np.add(add[:, :n], bias, out=seen[step, :, :n])
+                dense = step + 1
+            elif len(changed):
+                undo[step] = changed, before + bias
+        np.add(add, bias, out=ahead)
+        shared, none = None, (np.zeros(0, np.int64), bias[:, :0])
+        for step, (at, changed, _) in enumerate(runs(1)):
+            t = WINDOW - 1 - step
+            both = at < step and t >= dense
+            if not both:
+                fore = seen[t, :, :n] if t < dense else ahead[:, t + 1 - dense :][:, :n]
+                attend(fore, add[:, WINDOW + at - step :][:, :n], shown[:, :n], weights[:, :n])
+                weight[:n] += weights[0, :n]
+                total[:n] += shown[h, :n]
+            elif shared is None:
+                # by word, from the first on at which the forward states have settled
+                low, many = dense - 1, words - at - (dense - 1)
+                shared = weights[0, :many], shown[h, :many]
+                attend(ahead[:, :many], add[:, low + 1 + at :][:, :many], shown[:, :many], weights[:, :many])
+            else:
+                again = np.concatenate([undone, changed - 1 - at - low])
+                again = again[(again >= 0) & (again < many)]
+                if len(again):
+                    part, share = np.empty((h + 1, len(again)), np.float32), np.empty((1, len(again)), np.float32)
+                    attend(ahead.take(again, axis=1), add.take(again + low + 1 + at, axis=1), part, share)
+                    shared[0][again], shared[1][again] = share[0], part[h]
+            if both:
+                weight[:n] += shared[0][t - low :][:n]
+                total[:n] += shared[1][t - low :][:n]
+            # back to the forward states of the word before
+            undone, before = undo.get(t, none)
+            if len(undone):
+                ahead[:, undone] = before
+        return total[:n] / weight[:n] + p["out_b"][0]
+
+    def steps(self, x: np.ndarray, w: np.ndarray, back: bool, words: int, u: np.ndarray, state: np.ndarray, after: np.ndarray, scratch: np.ndarray, settled: float) -> Iterator[tuple]:
+        """Runs of ``WINDOW`` steps from each word on, a column each (backward ones: one column further on), whose products with ``w`` come into u.
+
+        Where a state comes out as that of another run which was at the word one step earlier (the network has forgotten the
+        first word of the window; but for ``settled`` at most), all that follow from it do as well; once few still
+        change, only those are computed, and the columns stay with the words that they have come to.
+        Yields, after each step, the step that the columns stand at; and once they stay, the columns changed by this step and, forward, what they added to the attention before.
+        """
+        h = HIDDEN
+        state[:], u[:] = 0, 0
+        way, changing, at = -1 if back else 1, None, 0
+        for step in range(WINDOW):
+            if changing is None:
+                at, begin = step, WINDOW - 1 - step if back else WINDOW + step
+                advance(u[: 3 * h], x[:, begin : begin + u.shape[1]], state, after, scratch)
+                state, after = after, state
+                np.matmul(w, state, out=u)
+                if step >= LEAST_STEPS:
+                    # columns at a word of the chunk, and those which were there a step earlier
+                    low, high = (step + 1, words + 1) if back else (0, words - step)
+                    change = np.subtract(state[:, low:high], after[:, low + way : high + way], out=scratch[:h, low:high])
+                    moved = np.flatnonzero(np.abs(change, out=change).max(axis=0) > settled) + low
+                    if len(moved) < words // 4:
+                        changing, own, push = moved, state.take(moved, axis=1), u.take(moved, axis=1)
+                yield at, None, None
+                continue
+            if not len(changing):
+                yield at, changing, None
+                continue
+            changing = changing + way
+            # one run at most has left the chunk
+            inside = slice(int(changing[0] < low), len(changing) - int(changing[-1] >= high))
+            changing, own, push = changing[inside], own[:, inside], push[: 3 * h, inside]
+            to = np.empty(own.shape, np.float32)
+            advance(push, x.take(changing + begin, axis=1), own, to, np.empty(push.shape, np.float32))
+            moved = np.abs(to - state.take(changing, axis=1)).max(axis=0) > settled
+            changing, own = changing[moved], to.compress(moved, axis=1)
+            push = w @ own
+            before = None if back else u[3 * h :].take(changing, axis=1)
+            state[:, changing] = own
+            u[3 * h :, changing] = push[3 * h :]
+            yield at, changing, before
 
     def gradients(self, text: Text, start: np.ndarray, of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over some windows, by backpropagation through time."""

@@ -393,6 +393,48 @@ def test_toxicity_worst_window_takes_fewer_steps(monkeypatch):
             assert sum(done) < share * 2 * toxicity.WINDOW * len(text.form), (seed, bias, scale, sum(done) / (2 * toxicity.WINDOW * len(text.form)))
 
 
+def test_toxicity_weighs_settled_words_once(monkeypatch):
+    """A word at which both directions have settled gets one attention weight for all windows that hold it so; also across chunks, also where states go on changing."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ferryman.llm import toxicity
+    from ferryman.llm.textblock import U64, text_buffer
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, v, *a, **k):
+            if v.ndim == 2:
+                weights.append(v.size)
+            return np.exp(v, *a, **k)
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["w%d" % i for i in range(400)], n)) for n in (900, 5, 32, 0, 33, 1500, 40)]
+    text = toxicity.Text(*text_buffer(pa.array(texts, pa.large_string())))
+    start, of = text.windows()
+    short = text.count[of] < toxicity.WINDOW
+    weights = []
+    for chunk, bias, share in ((7, -4, None), (100, -4, None), (700, -4, 0.75), (700, -2, 0.9), (700, 6, None)):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        model = toxicity.Model(np.zeros(0, U64), np.zeros(0, np.float32))
+        for side in "fb":
+            model.p[f"h{side}"] *= 0.5
+            model.p[f"b{side}"][: toxicity.HIDDEN] = bias
+        want = model.logits(text, start, of)
+        assert np.abs(model.all_logits(text, start, of) - want).max() < 1e-4, (chunk, bias)
+        x = model.inputs(text, np.arange(len(text.keys)))
+        own = model.logits(text, start[short], of[short], x)
+        with monkeypatch.context() as patch:
+            patch.setattr(toxicity.Model, "logits", lambda *a: own)
+            patch.setattr(toxicity, "np", Counted())
+            weights.clear()
+            got = model.all_logits(text, start, of, 1e-4, x)
+        assert np.abs(got - want).max() < 5e-3, (chunk, bias)
+        assert share is None or 0 < sum(weights) < share * toxicity.WINDOW * len(start), (bias, sum(weights) / toxicity.WINDOW / len(start))
+
+
 def test_encoder_memory_is_bounded():
     """Encoding 6 MB of text takes less than 60 MB beside texts and vocabulary, also of words that are all distinct."""
     import tracemalloc
