@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import re
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryman.functions.num import py_round
 from ferryman.functions.text import line_count_newlines, splitlines_count, token_count
+from ferryman.session import materialize
 
 # fixed values: allowed upload extensions per source platform (UI contract)
 SOURCE_FILE_EXT = {
@@ -77,14 +81,158 @@ def utf8_ignore(raw: Column) -> Column:
     return F.replace(s, F.lit(esc + "\ue001"), F.lit(esc))
 
 
+#: ours: files and bytes that a task of the scan reads, about; rows and bytes of a batch between Python and the JVM
+FILES_A_TASK, BYTES_A_TASK = 1000, 64 << 20
+ROWS_A_BATCH, BYTES_A_BATCH = 10_000, 8 << 20
+#: path below the root, and the partition columns among its folders
+_LISTED = "root string, path string, length long, folder boolean, names array<string>, vals array<string>"
+
+
 def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """A1: one row per file; bytes -> UTF-8 with undecodable bytes dropped.
 
-    ``binaryFile`` reads each file whole on an executor; partition folders in
-    the path become columns. Invalid sequences become U+FFFD under
-    ``make_valid_utf8`` and are then removed.
+    Which files count and how ``name=value`` folders become columns is as with Spark's file index,
+    which keeps every path in the driver. Here the tasks list the folders, one level
+    of the tree after the other, and write what they find; the files of that list are then
+    dealt to tasks that read them, also those that Spark's file scans skip (empty ones, those
+    beside partition folders). The driver gets counts, the names of the partition columns and the kinds of their values.
 
-    Spark's file scans skip zero-length files. These are the paths of the file index
+    Tasks reach the files through pyarrow. A store that it does not reach is read by Spark's index.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {path}.")
+    roots = [(s.getPath().toString(), _store_uri(s.getPath().toUri().toASCIIString()), s.isDirectory(), s.getLen()) for s in found]
+    if not all(_reached(uri) for _, uri, _, _ in roots):
+        return _scan_by_index(spark, path, glob)
+    files, folders = _listed_files(spark, roots)
+    if glob:
+        name = F.regexp_extract(F.concat("root", F.lit("/"), "path"), "([^/]*)/?$", 1)
+        files = files.filter(F.regexp_like(name, F.lit(f"^(?:{jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()})$")))
+    n = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(n.files, 4 * spark.sparkContext.defaultParallelism), n.files // FILES_A_TASK, n.bytes // BYTES_A_TASK)
+    full = F.when(F.col("path") == "", F.col("root")).otherwise(F.concat(F.regexp_replace("root", "/$", ""), F.lit("/"), F.col("path")))
+    rows = files.select(full.alias("path"), "vals", "root", F.col("path").alias("below"))
+    read = rows.repartition(tasks, "path").mapInArrow(_reader({root: uri for root, uri, _, _ in roots}),
+                                                      "path string, length long, vals array<string>, content binary")
+    return read.select("path", "length", *[F.get("vals", F.lit(i)).cast(t).alias(c) for i, c, t in folders],
+                       utf8_ignore(F.col("content")).alias("text"))
+
+
+def _store_uri(uri: str) -> str:
+    return re.sub("^file:/+", "file:///", uri)
+
+
+def _reached(uri: str) -> bool:
+    try:
+        store, root = pa_fs.FileSystem.from_uri(uri)
+        return store.get_file_info(root).type != pa_fs.FileType.NotFound
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def _lister(uris: dict[str, str]):
+    """Task that turns rows (root, path) of folders into those of what lies in them. As the reader's, it travels with all
+    that it calls, so that executors need no copy of this package."""
+    def hidden(name: str) -> bool:  # names that Spark's file sources pass over
+        return ((name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")) \
+            and not name.startswith(("_common_metadata", "_metadata"))
+
+    def unescaped(x: str) -> str:
+        return re.sub("%([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), x)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("root", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_()),
+                            ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string()))])
+        for root, folder in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))):
+            store, top = pa_fs.FileSystem.from_uri(uris[root])
+            pairs = [part.split("=", 1) for part in folder.split("/") if "=" in part]
+            names, vals = [unescaped(k) for k, _ in pairs], [None if v == "__HIVE_DEFAULT_PARTITION__" else unescaped(v) for _, v in pairs]
+            inside = [x for x in store.get_file_info(pa_fs.FileSelector(f"{top}/{folder}" if folder else top)) if not hidden(x.base_name)]
+            for i in range(0, len(inside), ROWS_A_BATCH):
+                some = inside[i:i + ROWS_A_BATCH]
+                yield pa.RecordBatch.from_pydict({
+                    "root": [root] * len(some), "path": [f"{folder}/{x.base_name}" if folder else x.base_name for x in some],
+                    "length": [x.size or 0 for x in some], "folder": [x.type == pa_fs.FileType.Directory for x in some],
+                    "names": [names] * len(some), "vals": [vals] * len(some)}, schema=schema)
+    return task
+
+
+def _listed_files(spark: SparkSession, roots: list[tuple[str, str, bool, int]]) -> tuple[DataFrame, list[tuple[int, str, str]]]:
+    """The files that Spark's file index takes from the roots, and place, name and type of the partition columns."""
+    lister = _lister({root: uri for root, uri, _, _ in roots})
+    files = spark.createDataFrame([(root, "", size, False, [], []) for root, _, is_dir, size in roots if not is_dir], _LISTED)
+    level, n = spark.createDataFrame([(root, "") for root, _, is_dir, _ in roots if is_dir], "root string, path string"), len(roots)
+    while n:
+        tasks = max(min(n, 4 * spark.sparkContext.defaultParallelism), n // FILES_A_TASK)
+        listed = materialize(level.repartition(tasks, "root", "path").mapInArrow(lister, _LISTED), "corpus_list")
+        files = files.unionAll(listed.filter("not folder"))
+        level = listed.filter("folder").select("root", "path")
+        n = level.count()
+    parted = files.filter(F.size("names") > 0)
+    least, most = parted.agg(F.min("names"), F.max("names")).first()
+    if least is None:  # no partition folders: only what lies in the roots themselves
+        return files.filter(~F.contains("path", F.lit("/"))), []
+    if least != most:
+        raise SparkRuntimeException(f"[CONFLICTING_PARTITION_COLUMN_NAMES] Conflicting partition column names detected: {least}, {most}")
+    if taken := {"path", "length", "text"} & set(least):
+        raise AnalysisException(f"[COLUMN_ALREADY_EXISTS] The column `{min(taken)}` already exists.")
+    kinds = parted.agg(*[F.collect_set(_kind(F.get("vals", F.lit(i)))).alias(f"k{i}") for i in range(len(least))],
+                       *[F.max(F.length(F.regexp_extract(F.get("vals", F.lit(i)), r"^[+-]?0*(\d+)$", 1))).alias(f"d{i}") for i in range(len(least))]).first()
+    typed = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
+    return files, [(i, c, _type(set(kinds[f"k{i}"]), kinds[f"d{i}"]) if typed else "string") for i, c in enumerate(least)]
+
+
+def _kind(v: Column) -> Column:
+    """What the value of a partition folder looks like; null is left out."""
+    whole = F.regexp_like(v, F.lit(r"^[+-]?\d+$"))
+    return (F.when(v.isNull(), F.lit(None))
+            .when(whole & v.try_cast("int").isNotNull(), "int")
+            .when(whole & v.try_cast("bigint").isNotNull(), "bigint")
+            .when(F.regexp_like(v, F.lit(r"^[+-]?0*\d{1,38}$")), "decimal")
+            .when(F.regexp_like(v, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(NaN|Infinity)$")), "double")
+            .when(F.regexp_like(v, F.lit(r"^\d{4}-\d\d-\d\d$")) & v.try_cast("date").isNotNull(), "date")
+            .when(F.regexp_like(v, F.lit(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d+)?$")) & v.try_cast("timestamp").isNotNull(), "timestamp")
+            .otherwise("string"))
+
+
+def _type(kinds: set[str], digits: int) -> str:
+    """The narrowest type that holds all kinds, as Spark's partition discovery joins them."""
+    for fits in ("int",), ("int", "bigint"), ("date",), ("date", "timestamp"), ("int", "double"):
+        if kinds and kinds <= set(fits):
+            return fits[-1]
+    if "decimal" in kinds and kinds <= {"int", "bigint", "decimal"}:
+        return f"decimal({max(digits, 20 if 'bigint' in kinds else 0)},0)"
+    return "string"
+
+
+def _reader(uris: dict[str, str]):
+    """Task that reads the files whole."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("vals", pa.list_(pa.string())), ("content", pa.binary())])
+        stores = {root: pa_fs.FileSystem.from_uri(uri) for root, uri in uris.items()}
+        rows, held = [], 0
+        for path, vals, root, below in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))):
+            store, top = stores[root]
+            with store.open_input_stream(f"{top}/{below}" if below else top, compression=None) as f:
+                content = f.read()
+            rows.append((path, len(content), vals, content))
+            held += len(content)
+            if held >= BYTES_A_BATCH or len(rows) >= ROWS_A_BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+    return task
+
+
+def _scan_by_index(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """The scan by Spark's reader, for stores that pyarrow does not reach: the paths are held in the driver.
+
+    ``binaryFile`` reads each file whole on an executor; partition folders in
+    the path become columns. The empty files are the paths of the file index
     that the scan does not return, found by an anti join on paths (which reads no
     content) and added with empty text; their partition folders become columns as well. The
     index's paths are dealt to the tasks inside the JVM: no list of them passes

@@ -106,3 +106,49 @@ def test_script_files_lie_in_few_folders(spark, tmpdir_path):
     assert len(got) == len(lines) == len({r.script_id for r in got})
     for r in got:
         assert r.length == len(r.text.encode()) and sorted(r.text.splitlines(True)) == sorted("".join(lines[r.script_id]).splitlines(True))
+
+
+def test_corpus_scan_keeps_no_list_of_files_in_the_driver(spark, tmpdir_path):
+    for i in range(60):
+        os.makedirs(tmpdir_path + f"/c/part={i % 3}", exist_ok=True)
+        with open(tmpdir_path + f"/c/part={i % 3}/s{i}.sas", "w") as f:
+            f.write("x" * i)
+    df = corpus.corpus_scan(spark, tmpdir_path + "/c")
+    assert not [f for f in df.inputFiles() if f.endswith(".sas")]
+    assert sorted((os.path.basename(r.path), r.length, r.part, r.text) for r in df.collect()) == \
+        sorted((f"s{i}.sas", i, i % 3, "x" * i) for i in range(60))
+
+
+def test_corpus_scan_reads_files_beside_partition_folders(spark, tmpdir_path):
+    for name, body in ("k=1/a.sas", "run;"), ("k=2/b.sas", ""), ("beside.sas", "data x;"), ("sub/c.sas", "quit;"), ("_hidden/d.sas", "no"):
+        os.makedirs(os.path.dirname(f"{tmpdir_path}/c/{name}"), exist_ok=True)
+        with open(f"{tmpdir_path}/c/{name}", "w") as f:
+            f.write(body)
+    got = {os.path.basename(r.path): (r.k, r.length, r.text) for r in corpus.corpus_scan(spark, tmpdir_path + "/c").collect()}
+    assert got == {"a.sas": (1, 4, "run;"), "b.sas": (2, 0, ""), "beside.sas": (None, 7, "data x;"), "c.sas": (None, 5, "quit;")}
+
+
+def test_corpus_scan_types_partition_columns_as_sparks_index(spark, tmpdir_path):
+    folders = ["a=1/b=9999999999/c=1.5/d=2020-01-01/e=x%3Ay/f=123456789012345678901/g=2020-01-01 10%3A00%3A00/h=__HIVE_DEFAULT_PARTITION__",
+               "a=007/b=1/c=2/d=2020-01-02/e=3/f=1/g=2020-01-01 10%3A00%3A01/h=1", "a=-3/b=2/c=7/d=2020-02-29/e=é +/f=2/g=2020-02-29 00%3A00%3A00/h=2"]
+    for i, folder in enumerate(folders):
+        os.makedirs(f"{tmpdir_path}/c/{folder}/more")
+        for j in range(2):
+            with open(f"{tmpdir_path}/c/{folder}/more/{i}{j}.{'sas' if j else 'SAS'}", "w") as f:
+                f.write("data;")
+    for glob in None, "*.{sas,txt}", "?0.SAS":
+        now, index = corpus.corpus_scan(spark, tmpdir_path + "/c", glob), corpus._scan_by_index(spark, tmpdir_path + "/c", glob)
+        assert now.schema.simpleString() == index.schema.simpleString()
+        assert sorted(map(str, now.collect())) == sorted(map(str, index.collect()))
+
+
+def test_corpus_scan_of_a_glob_of_one_file_and_of_a_store_that_only_spark_reads(spark, tmpdir_path):
+    for name in "u/a.sas", "v/b.sas", "w.sas":
+        os.makedirs(os.path.dirname(f"{tmpdir_path}/c/{name}"), exist_ok=True)
+        with open(f"{tmpdir_path}/c/{name}", "w") as f:
+            f.write(name)
+    texts = lambda path: sorted(r.text for r in corpus.corpus_scan(spark, path).collect())
+    assert texts(tmpdir_path + "/c/*") == ["u/a.sas", "v/b.sas", "w.sas"]
+    assert texts(tmpdir_path + "/c/w.sas") == texts(tmpdir_path + "/c") == ["w.sas"]
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.scripts.link./all", "file://" + tmpdir_path)
+    assert texts("viewfs://scripts/all/c/u") == ["u/a.sas"]
