@@ -13,6 +13,7 @@ record files, stream sources -- are derived once per application and
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import groupby
@@ -37,6 +38,7 @@ DDL_TYPES = ["Tables", "Views", "Procedures", "Functions", "General"]
 FIXTURE_EXTS = [".sas", ".sql", ".xml", ".cbl", ".cob", ".txt", ".SAS"]
 CONV_TARGETS = ["pyspark", "snowflake", "dbt", "databricks"]
 SCRIPTS_A_FOLDER = 1000
+SCRIPT_SLICES = 4
 CONV_MODELS = ["gpt-4o-mini", "gpt-4-turbo", "gpt-35-turbo", "gemini-1.5-pro", "other"]
 
 
@@ -176,25 +178,34 @@ def script_files(spark: SparkSession, sf_dir: str) -> str:
 
     The rows of one id share a file, a line break behind each; rows without id share ``script_.txt``.
     The tasks write the files themselves: Spark's writer takes a folder, two permission changes
-    and a serial rename in the driver for each file.
+    and a serial rename in the driver for each file. Of many rows, a slice of the ids is written after the other,
+    and its shuffle files removed, so that those of all texts are never on disk at once.
     """
     def write(path: str) -> None:
         rows = scripts(spark, sf_dir).select("script_id", F.col("text").cast("binary").alias("text"))
-        n = max(4 * spark.sparkContext.defaultParallelism, rows.count() // SCRIPTS_A_FOLDER)
-        rows.repartition(n, "script_id").sortWithinPartitions("script_id", "text") \
-            .mapInArrow(_file_writer(path), "files long").write.format("noop").mode("overwrite").save()
+        least = 4 * spark.sparkContext.defaultParallelism
+        n = max(least, rows.count() // SCRIPTS_A_FOLDER)
+        slices = min(SCRIPT_SLICES, n // least)
+        for k in range(slices):
+            # another hash than that of the partitions, all of which would not be met otherwise
+            rows.filter(F.pmod(F.xxhash64("script_id"), F.lit(slices)) == k) \
+                .repartition(n // slices, "script_id").sortWithinPartitions("script_id", "text") \
+                .mapInArrow(_file_writer(path, k * (n // slices)), "files long").write.format("noop").mode("overwrite").save()
+            if slices > 1:  # Spark's cleaner acts on the driver's garbage collection
+                gc.collect()
+                spark.sparkContext._jvm.System.gc()
         done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(done).close()
     return written_once(spark, sf_dir, "script_files", write)
 
 
-def _file_writer(path: str):
-    """Task that writes rows (script_id, text) in order of their id as files, into a folder that gets its name
+def _file_writer(path: str, first: int):
+    """Task that writes rows (script_id, text) in order of their id as files, into a folder, numbered from ``first`` on, that gets its name
     when it is whole: what an attempt leaves that broke off has a name that scans skip."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa_fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
         part, n = TaskContext.get(), 0
-        whole, own = f"{root}/part={part.partitionId()}", f"{root}/_part-{part.taskAttemptId()}"
+        whole, own = f"{root}/part={first + part.partitionId()}", f"{root}/_part-{part.taskAttemptId()}"
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         for script_id, same in groupby(rows, key=itemgetter(0)):
             if n == 0:

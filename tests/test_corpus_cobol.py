@@ -152,3 +152,17 @@ def test_corpus_scan_of_a_glob_of_one_file_and_of_a_store_that_only_spark_reads(
     assert texts(tmpdir_path + "/c/w.sas") == texts(tmpdir_path + "/c") == ["w.sas"]
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.scripts.link./all", "file://" + tmpdir_path)
     assert texts("viewfs://scripts/all/c/u") == ["u/a.sas"]
+
+
+def test_script_files_written_in_slices_hold_every_script(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(fx, "SCRIPTS_A_FOLDER", 4)
+    rows = [(i, f"data t{i};") for i in range(300)] + [(5, "again"), (None, "a"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(tmpdir_path + "/documents.parquet")
+    folder = fx.script_files(spark, tmpdir_path).removeprefix("file:")
+    numbers = [int(f.removeprefix("part=")) for f in os.listdir(folder) if f.startswith("part=")]
+    assert 4 * spark.sparkContext.defaultParallelism < len(numbers) <= 75 and max(numbers) < 75
+    lines = {}
+    for i, t in rows:
+        lines[i] = lines.get(i, ()) + ((t or ""),)
+    got = [(r.script_id, tuple(sorted(r.text.splitlines()))) for r in corpus_scan(spark, tmpdir_path).collect()]
+    assert len(got) == len(lines) and dict(got) == {i: tuple(sorted(t)) for i, t in lines.items()}
