@@ -84,8 +84,8 @@ def utf8_ignore(raw: Column) -> Column:
 #: ours: files and bytes that a task of the scan reads, about; rows and bytes of a batch between Python and the JVM
 FILES_A_TASK, BYTES_A_TASK = 1000, 64 << 20
 ROWS_A_BATCH, BYTES_A_BATCH = 10_000, 8 << 20
-#: path below the root, and the partition columns among its folders
-_LISTED = "root string, path string, length long, folder boolean, names array<string>, vals array<string>"
+#: path below the root, the folder above the partition columns among its folders, and these
+_LISTED = "root string, path string, length long, folder boolean, base string, names array<string>, vals array<string>"
 
 
 def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -143,27 +143,34 @@ def _lister(uris: dict[str, str]):
     def unescaped(x: str) -> str:
         return re.sub("%([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), x)
 
+    def partition(folder: str) -> tuple[str, list[str], list[str | None]]:  # the lowest ``name=value`` folders that follow each other
+        parts = folder.split("/")
+        end = max((i + 1 for i, x in enumerate(parts) if "=" in x), default=0)
+        begin = max((i + 1 for i, x in enumerate(parts[:end]) if "=" not in x), default=0)
+        pairs = [x.split("=", 1) for x in parts[begin:end]]
+        return "/".join(parts[:begin]) if pairs else folder, [unescaped(k) for k, _ in pairs], \
+            [None if v == "__HIVE_DEFAULT_PARTITION__" else unescaped(v) for _, v in pairs]
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("root", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_()),
-                            ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string()))])
+                            ("base", pa.string()), ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string()))])
         for root, folder in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))):
             store, top = pa_fs.FileSystem.from_uri(uris[root])
-            pairs = [part.split("=", 1) for part in folder.split("/") if "=" in part]
-            names, vals = [unescaped(k) for k, _ in pairs], [None if v == "__HIVE_DEFAULT_PARTITION__" else unescaped(v) for _, v in pairs]
+            base, names, vals = partition(folder)
             inside = [x for x in store.get_file_info(pa_fs.FileSelector(f"{top}/{folder}" if folder else top)) if not hidden(x.base_name)]
             for i in range(0, len(inside), ROWS_A_BATCH):
                 some = inside[i:i + ROWS_A_BATCH]
                 yield pa.RecordBatch.from_pydict({
                     "root": [root] * len(some), "path": [f"{folder}/{x.base_name}" if folder else x.base_name for x in some],
                     "length": [x.size or 0 for x in some], "folder": [x.type == pa_fs.FileType.Directory for x in some],
-                    "names": [names] * len(some), "vals": [vals] * len(some)}, schema=schema)
+                    "base": [base] * len(some), "names": [names] * len(some), "vals": [vals] * len(some)}, schema=schema)
     return task
 
 
 def _listed_files(spark: SparkSession, roots: list[tuple[str, str, bool, int]]) -> tuple[DataFrame, list[tuple[int, str, str]]]:
     """The files that Spark's file index takes from the roots, and place, name and type of the partition columns."""
     lister = _lister({root: uri for root, uri, _, _ in roots})
-    files = spark.createDataFrame([(root, "", size, False, [], []) for root, _, is_dir, size in roots if not is_dir], _LISTED)
+    files = spark.createDataFrame([(root, "", size, False, "", [], []) for root, _, is_dir, size in roots if not is_dir], _LISTED)
     level, n = spark.createDataFrame([(root, "") for root, _, is_dir, _ in roots if is_dir], "root string, path string"), len(roots)
     while n:
         tasks = max(min(n, 4 * spark.sparkContext.defaultParallelism), n // FILES_A_TASK)
@@ -172,9 +179,12 @@ def _listed_files(spark: SparkSession, roots: list[tuple[str, str, bool, int]])
         level = listed.filter("folder").select("root", "path")
         n = level.count()
     parted = files.filter(F.size("names") > 0)
-    least, most = parted.agg(F.min("names"), F.max("names")).first()
+    base = F.lower(F.concat("root", F.lit("/"), "base"))
+    least, most, above, beside = files.agg(*[f(F.when(F.size("names") > 0, F.col("names"))) for f in (F.min, F.max)], F.min(base), F.max(base)).first()
     if least is None:  # no partition folders: only what lies in the roots themselves
         return files.filter(~F.contains("path", F.lit("/"))), []
+    if above != beside:
+        raise SparkRuntimeException(f"[CONFLICTING_DIRECTORY_STRUCTURES] Conflicting directory structures detected: {above}, {beside}")
     if least != most:
         raise SparkRuntimeException(f"[CONFLICTING_PARTITION_COLUMN_NAMES] Conflicting partition column names detected: {least}, {most}")
     if taken := {"path", "length", "text"} & set(least):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from ferryman.operators import cobol, corpus
@@ -120,12 +122,19 @@ def test_corpus_scan_keeps_no_list_of_files_in_the_driver(spark, tmpdir_path):
 
 
 def test_corpus_scan_reads_files_beside_partition_folders(spark, tmpdir_path):
-    for name, body in ("k=1/a.sas", "run;"), ("k=2/b.sas", ""), ("beside.sas", "data x;"), ("sub/c.sas", "quit;"), ("_hidden/d.sas", "no"):
+    for name, body in ("k=1/a.sas", "run;"), ("k=2/b.sas", ""), ("beside.sas", "data x;"), ("_hidden/d.sas", "no"), ("k=1/sub/c.sas", "quit;"):
         os.makedirs(os.path.dirname(f"{tmpdir_path}/c/{name}"), exist_ok=True)
         with open(f"{tmpdir_path}/c/{name}", "w") as f:
             f.write(body)
     got = {os.path.basename(r.path): (r.k, r.length, r.text) for r in corpus.corpus_scan(spark, tmpdir_path + "/c").collect()}
-    assert got == {"a.sas": (1, 4, "run;"), "b.sas": (2, 0, ""), "beside.sas": (None, 7, "data x;"), "c.sas": (None, 5, "quit;")}
+    assert got == {"a.sas": (1, 4, "run;"), "b.sas": (2, 0, ""), "beside.sas": (None, 7, "data x;"), "c.sas": (1, 5, "quit;")}
+    for folder in "sub", "sub/k=3", "j=1":  # as with Spark's index
+        os.makedirs(f"{tmpdir_path}/{folder}/c/{folder}")
+        for name in "c/k=1/a.sas", f"c/{folder}/e.sas":
+            os.makedirs(os.path.dirname(f"{tmpdir_path}/{folder}/{name}"), exist_ok=True)
+            open(f"{tmpdir_path}/{folder}/{name}", "w").close()
+        with pytest.raises(SparkRuntimeException, match="CONFLICTING"):
+            corpus.corpus_scan(spark, f"{tmpdir_path}/{folder}/c")
 
 
 def test_corpus_scan_types_partition_columns_as_sparks_index(spark, tmpdir_path):
